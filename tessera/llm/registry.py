@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import op2_chat, op5_mixing
 from tessera.llm.op4_bpe import op4_byte_level_bpe
+from tessera.llm.op10_langid import op10_language_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_byte_level_bpe": op4_byte_level_bpe}
+    return {
+        "op2_chat_prefix_targets": op2_chat.op2_chat_prefix_targets,
+        "op4_byte_level_bpe": op4_byte_level_bpe,
+        "op5_poisson_mix": op5_mixing.op5_poisson_mix,
+        "op10_language_id": op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_prefix_targets": op2_chat.ORACLE, "op5_poisson_mix": op5_mixing.ORACLE}
