@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op2_chat, op5_mixing, op7_rabit, op8_simhash, op9_kdshard
+from tessera.llm import op2_chat, op3_multiindex, op5_mixing, op7_rabit, op8_simhash, op9_kdshard
 from tessera.llm.op1_quality import op1_kneser_ney_quality
 from tessera.llm.op4_bpe import op4_byte_level_bpe
 from tessera.llm.op10_langid import op10_language_id
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney_quality": op1_kneser_ney_quality,
         "op2_chat_prefix_targets": op2_chat.op2_chat_prefix_targets,
+        "op3_inverted_multi_index": op3_multiindex.op3_inverted_multi_index,
         "op4_byte_level_bpe": op4_byte_level_bpe,
         "op5_poisson_mix": op5_mixing.op5_poisson_mix,
         "op7_rotated_codes": op7_rabit.op7_rotated_codes,
