@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op2_chat, op3_multiindex, op5_mixing, op7_rabit, op8_simhash, op9_kdshard
+from tessera.llm import op2_chat, op3_multiindex, op5_mixing, op6_maintext, op7_rabit, op8_simhash, op9_kdshard
 from tessera.llm.op1_quality import op1_kneser_ney_quality
 from tessera.llm.op4_bpe import op4_byte_level_bpe
 from tessera.llm.op10_langid import op10_language_id
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_inverted_multi_index": op3_multiindex.op3_inverted_multi_index,
         "op4_byte_level_bpe": op4_byte_level_bpe,
         "op5_poisson_mix": op5_mixing.op5_poisson_mix,
+        "op6_recurrent_blocks": op6_maintext.op6_recurrent_blocks,
         "op7_rotated_codes": op7_rabit.op7_rotated_codes,
         "op8_simhash_pivots": op8_simhash.op8_simhash_pivots,
         "op9_kd_tree_shards": op9_kdshard.op9_kd_tree_shards,
