@@ -1,17 +1,14 @@
-"""Catalogue of the engine's queries: name -> (Spark query, DuckDB oracle or None)."""
+"""Catalogue of the engine's queries: name -> Spark query, and name -> DuckDB oracle."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from tessera.plans import aggregates, dependencies, joins, packing, retrieval, scoring, texts, vectors, windows  # noqa: F401  each registers its queries
+from tessera.plans.base import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
