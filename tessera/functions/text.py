@@ -116,7 +116,7 @@ def first_sentence(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     plain = F.translate(F.lower(text), PUNCTUATION, "")
-    return F.array_join(words(F.regexp_replace(plain, r"\b(a|an|the)\b", " ")), " ")
+    return F.array_join(words(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " ")), " ")
 
 
 def normalize_zh_answer(text: Column, punctuation: str = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏") -> Column:

@@ -1 +1,261 @@
-"""Queries."""
+"""Text queries: cleaning, normalising, parsing of checker output and JSON.  Markers are put around real texts first."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import diagnostics, text
+from tessera.plans.base import query
+
+_MARKED = "concat('intro ', CASE WHEN doc_id % 4 = 0 THEN '<start>' WHEN doc_id % 4 = 1 THEN '```python' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN '<end>' WHEN doc_id % 3 = 1 THEN '</end> ```' ELSE '### Explanation x' END, ' outro')"
+MARKED = f"m AS (SELECT doc_id, {_MARKED} AS t FROM documents)"
+UNFENCE = "replace(replace({}, '```python', ''), '```', '')"
+
+
+def marked(t):
+    return t("documents").select("doc_id", F.expr(_MARKED).alias("t"))
+
+
+def _clean(t, name):
+    return marked(t).select("doc_id", F.md5(text.cleaner(name)(F.col("t"))).alias("digest"))
+
+
+_START = "instr(t, '<start>') + 7"
+_BASIC = UNFENCE.format(f"CASE WHEN contains(t, '<start>') THEN CASE WHEN contains(t, '<end>') THEN substr(t, {_START}, greatest(0, instr(t, '<end>') - ({_START}))) ELSE substr(t, {_START}) END ELSE t END")
+_LOOSE = UNFENCE.format(
+    f"CASE WHEN contains(t, '<start>') THEN CASE WHEN contains(t, '<end>') THEN substr(t, {_START}, greatest(0, instr(t, '<end>') - ({_START}))) WHEN contains(t, '</end>') THEN substr(t, {_START}, greatest(0, instr(t, '</end>') - ({_START}))) ELSE substr(t, {_START}) END ELSE t END"
+)
+_CUT = "CASE WHEN contains(t, '###') THEN substr(t, 1, instr(t, '###') - 1) ELSE t END"
+
+
+@query(f"WITH {MARKED} SELECT doc_id, md5({_BASIC}) AS digest FROM m")
+def clean_output_basic(t):
+    return _clean(t, "basic")
+
+
+@query(f"WITH {MARKED} SELECT doc_id, md5({_LOOSE}) AS digest FROM m")
+def clean_output_loose(t):
+    return _clean(t, "loose")
+
+
+@query(f"WITH {MARKED}, b AS (SELECT doc_id, {_BASIC} AS t FROM m) SELECT doc_id, md5(CASE WHEN contains(t, '### Explanation') THEN substr(t, 1, instr(t, '### Explanation') - 1) ELSE t END) AS digest FROM b")
+def clean_output_lora(t):
+    return _clean(t, "lora")
+
+
+@query(f"WITH {MARKED}, b AS (SELECT doc_id, {_CUT} AS t FROM m) SELECT doc_id, md5({_BASIC}) AS digest FROM b")
+def clean_output_errorfix(t):
+    return _clean(t, "errorfix")
+
+
+@query(f"WITH {MARKED} SELECT doc_id, md5({_BASIC}) AS digest FROM m")
+def clean_output_review(t):
+    return _clean(t, "review")
+
+
+@query(f"""WITH {MARKED}, b AS (SELECT doc_id, t, substr(t, instr(t, '```python') + 9) AS a FROM m)
+SELECT doc_id, md5(CASE WHEN contains(t, '```python') THEN trim(CASE WHEN contains(a, '```') THEN substr(a, 1, instr(a, '```') - 1) ELSE a END, E' \\t\\n\\r\\f\\v') ELSE {_LOOSE} END) AS digest FROM b""")
+def clean_output_wrapper_first(t):
+    return _clean(t, "py_wrapper_first")
+
+
+@query("""SELECT doc_id, md5(trim(replace(replace(text, '```python', ''), '```', ''), E' \\t\\n\\r\\f\\v')) AS digest FROM documents""")
+def clean_output_finalcode(t):
+    rows = t("documents").select("doc_id", F.concat(F.lit("so: <finalcode>"), "text", F.lit("</finalcode> done")).alias("t"))
+    return rows.select("doc_id", F.md5(text.cleaner("finalcode")(F.col("t"))).alias("digest"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')) AS digest FROM documents""")
+def normalize_answers(t):
+    return t("documents").select("doc_id", F.md5(text.normalize_answer(F.col("text"))).alias("digest"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+', '', 'g')) AS digest FROM documents""")
+def normalize_zh_answers(t):
+    return t("documents").select("doc_id", F.md5(text.normalize_zh_answer(F.col("text"))).alias("digest"))
+
+
+@query("""WITH n AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS found FROM documents) SELECT doc_id, CASE WHEN len(found) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(found, lambda x: x = '3')) / len(found)::DOUBLE END AS score FROM n""")
+def number_scores(t):
+    return t("documents").select("doc_id", text.number_score(F.col("text"), F.lit("3")).alias("score"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id::VARCHAR END AS paragraph FROM documents""")
+def paragraph_ids(t):
+    truth = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("see Paragraph "), F.col("doc_id").cast("string"), F.lit(": "), "text")).otherwise(F.lit("no number"))
+    return t("documents").select("doc_id", text.paragraph_id(truth).alias("paragraph"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '1e-' || p_size WHEN p_partkey % 3 = 1 THEN '2.5e' || p_size ELSE 'x' || p_size END AS value FROM part""")
+def scientific_notation(t):
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" 1.0E-0"), size)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("2.50e+"), size)).otherwise(F.concat(F.lit("x"), size))
+    return t("part").select("p_partkey", text.normalize_scientific(raw).alias("value"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split('  ' || replace(text, chr(10), chr(10) || '  '), chr(10)), lambda x: substr(x, 3)), chr(10))) AS digest FROM documents""")
+def normalize_indents(t):
+    indented = F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit("\n  ")))
+    return t("documents").select("doc_id", F.md5(text.normalize_indentation(indented)).alias("digest"))
+
+
+@query("""SELECT event_id, props LIKE '%7%' AS deprecated FROM events""")
+def deprecation_mentions(t):
+    log = F.concat(F.lit("log: "), F.when(F.contains("props", F.lit("7")), "FUTUREwarning raised").otherwise("fine"))
+    return t("events").select("event_id", text.mentions_deprecation(log).alias("deprecated"))
+
+
+@query("""SELECT doc_id, contains(right(text, 15), 'the') OR contains(right(text, 15), '.') AS stopped FROM documents""")
+def stop_words(t):
+    return t("documents").select("doc_id", text.stop_word_at_end(F.col("text"), ("the", ".")).alias("stopped"))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents), g AS (SELECT doc_id, trim(s, E' \\t\\n\\r\\f\\v') AS s, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT doc_id, max(n) AS n FROM g WHERE s <> '' GROUP BY 1)
+SELECT d.doc_id, coalesce(m.n, 0) > 3 AS repetitive FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id""")
+def repetitive_answers(t):
+    """Sentences counted by partial sums, not pairwise inside a text."""
+    docs = t("documents").select("doc_id", "text")
+    s = docs.select("doc_id", F.explode(F.split("text", r"\.")).alias("s")).select("doc_id", F.xxhash64(text.squeeze(F.col("s"))).alias("h"), (text.squeeze(F.col("s")) != "").alias("full")).filter("full")
+    m = s.groupBy("doc_id", "h").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    return docs.select("doc_id").join(m, "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) > 3).alias("repetitive"))
+
+
+@query("""SELECT doc_id, split_part(text, '.', 1) AS sentence FROM documents""")
+def first_sentences(t):
+    return t("documents").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query("""WITH p AS (SELECT p_partkey, ['scipy.fftpack.dct', 'matplotlib.axes._axes.Axes.plot', 'pylab.plot', 'a.scipy.fftpack', 'np.sum'][(p_partkey % 5 + 1)::INT] AS path FROM part)
+SELECT p_partkey, replace(CASE WHEN starts_with(path, 'scipy.fftpack') THEN 'scipy.fft' || substr(path, 14) WHEN starts_with(path, 'matplotlib.axes._axes') THEN 'matplotlib.axes' || substr(path, 22) ELSE path END, 'pylab', 'pyplot') AS normal,
+ replace(replace(replace(path, 'scipy.fftpack', 'scipy.fft'), 'matplotlib.axes._axes', 'matplotlib.axes'), 'pylab', 'pyplot') AS mapped FROM p""")
+def api_path_rules(t):
+    paths = F.array(*[F.lit(x) for x in ("scipy.fftpack.dct", "matplotlib.axes._axes.Axes.plot", "pylab.plot", "a.scipy.fftpack", "np.sum")])
+    path = F.element_at(paths, F.col("p_partkey").cast("int") % 5 + 1)
+    return t("part").select("p_partkey", text.normalize_api_path(path).alias("normal"), text.map_corpus_path(path).alias("mapped"))
+
+
+LOG = "'a.py:' || (event_id % 3 + 1) || ': error: bad ' || event_type || chr(10) || 'a.py:' || (event_id % 3 + 1) || ': note: see http' || chr(10) || 'Found 1 error'"
+
+
+@query("""SELECT event_id, ['Line ' || (event_id % 3 + 1) || ': ' || ['x = 1', 'y = 2', 'z'][(event_id % 3 + 1)::INT] || chr(10) || 'Error: bad ' || event_type] AS lines FROM events""")
+def parse_checker_lines(t):
+    """Checker text to the source lines and messages of its errors."""
+    rows = t("events").select("event_id", F.expr(LOG).alias("log"), F.lit("x = 1\ny = 2\nz").alias("code"))
+    return rows.select("event_id", diagnostics.checker_lines(F.col("log"), F.col("code")).alias("lines"))
+
+
+@query("""SELECT event_id, 'a.py:' || (event_id % 3 + 1) || ': error: bad ' || event_type || chr(10) || 'Found 1 error' AS kept FROM events""")
+def checker_noise_filter(t):
+    return t("events").select("event_id", diagnostics.without_noise(F.expr(LOG)).alias("kept"))
+
+
+@query("""WITH e AS (SELECT event_id, (event_id % 9)::INT AS a, (event_id % 4)::INT AS f, value FROM events)
+SELECT event_id, a AS ran, CASE WHEN f > 0 THEN f ELSE 0 END AS failures, CASE WHEN f > 1 THEN f - 1 ELSE 0 END AS errors, f = 0 AS ok FROM e""")
+def parse_unittest_log(t):
+    e = t("events").select("event_id", (F.col("event_id") % 9).cast("string").alias("a"), (F.col("event_id") % 4).cast("int").alias("f"))
+    counts = F.concat(F.lit("failures="), F.col("f").cast("string"), F.when(F.col("f") > 1, F.concat(F.lit(", errors="), (F.col("f") - 1).cast("string"))).otherwise(""))
+    log = F.concat(F.lit("...\nRan "), "a", F.lit(" tests in 0.300s\n\n"), F.when(F.col("f") > 0, F.concat(F.lit("FAILED ("), counts, F.lit(")"))).otherwise("OK"))
+    parsed = diagnostics.unittest_summary(log)
+    return e.select("event_id", *[parsed[c].alias(c) for c in ("ran", "failures", "errors", "ok")])
+
+
+MESSAGES = (
+    'Cannot access attribute "foo" for class "Bar"',
+    'Cannot call method "go" on type "Car"',
+    'Import "numpy.x" could not be resolved',
+    '"dot" is not a known attribute of module "numpy"',
+    'Line 3: y = np.linalg.norm(x, axis=1)\nError: No parameter named "axis"',
+    "Format strings are only supported in Python 3.6 and greater: f'x'",
+    "something else",
+)
+_KINDS = "['foo', 'go', 'numpy.x', 'dot', 'axis', 'f-string', NULL], ['Bar', 'Car', 'numpy.x', 'numpy', 'np.linalg.norm', 'string', NULL], ['attribute', 'method', 'import', 'module_attribute', 'parameter', 'syntax', NULL], [NULL, NULL, 'numpy.x', 'numpy', NULL, NULL, NULL]"
+
+
+@query(f"""WITH k AS (SELECT [{_KINDS}] AS k), e AS (SELECT event_id, (event_id % 7 + 1)::INT AS i FROM events) SELECT event_id, k[1][i] AS api, k[2][i] AS owner, k[3][i] AS kind, k[4][i] AS module FROM e, k""")
+def error_api(t):
+    message = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), F.col("event_id").cast("int") % 7 + 1)
+    found = diagnostics.error_api(message)
+    return t("events").select("event_id", *[found[c].alias(c) for c in ("api", "owner", "kind", "module")])
+
+
+@query("""SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events""")
+def event_props_json(t):
+    return t("events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
+
+
+@query("""SELECT event_id, '[{"k": 1}]' || event_type AS fixed FROM events""")
+def trailing_comma_fix(t):
+    return t("events").select("event_id", F.concat(text.fix_trailing_commas(F.lit('[{"k": 1, },\n ]')), "event_type").alias("fixed"))
+
+
+@query("""SELECT event_id, list_transform(regexp_extract_all(props || ' junk ' || props, '\\{[^{}]*\\}'), lambda x: (x::JSON->>'k')::BIGINT) AS ks FROM events""")
+def json_objects(t):
+    both = F.concat("props", F.lit(" junk "), "props")
+    return t("events").select("event_id", F.transform(diagnostics.objects_in(both), lambda x: F.get_json_object(x, "$.k").cast("long")).alias("ks"))
+
+
+@query("""SELECT event_id, 'Task ' || event_type || ': use k=' || (props::JSON->>'k') || '.' AS prompt FROM events""")
+def prompt_templates(t):
+    from tessera.operators.plugins import prompt
+
+    k = F.get_json_object("props", "$.k")
+    return t("events").select("event_id", prompt("report", "v1")(F.col("event_type"), k).alias("prompt"))
+
+
+@query("""SELECT doc_id, '<prefix>' || substr(text, 1, length(text) // 2) || '<suffix>' || right(text, length(text) // 4) || '<middle>' AS fim FROM documents""")
+def fim_text(t):
+    half, quarter = F.expr("length(text) div 2"), F.expr("cast(length(text) div 4 as int)")
+    return t("documents").select("doc_id", F.concat(F.lit("<prefix>"), F.substr("text", F.lit(1), half.cast("int")), F.lit("<suffix>"), F.right("text", quarter), F.lit("<middle>")).alias("fim"))
+
+
+@query("""SELECT d.doc_id, d.lang AS pkg, d.source AS version, CASE WHEN l.quality = 1 THEN 'label' || chr(10) || chr(10) || d.text ELSE 'label' END AS query, l.quality::VARCHAR AS answer FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def instruction_pairs(t):
+    """Instruction and, where there is one, input, parted by a blank line."""
+    rows = t("documents").join(t("labels"), "doc_id").withColumn("input", F.when(F.col("quality") == 1, F.col("text")).otherwise(""))
+    asked = F.when(F.col("input") != "", F.concat(F.lit("label\n\n"), "input")).otherwise("label")
+    return rows.select("doc_id", F.col("lang").alias("pkg"), F.col("source").alias("version"), asked.alias("query"), F.col("quality").cast("string").alias("answer"))
+
+
+@query("""SELECT conv_id, left(string_agg('Q' || turn || ': ' || text || chr(10), '' ORDER BY turn), 2000) AS context FROM conversations GROUP BY conv_id""")
+def qa_context(t):
+    """All (query, answer) of an item in order, cut to a number of characters."""
+    rows = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("Q"), F.col("turn").cast("string"), F.lit(": "), "text", F.lit("\n")).alias("x")))).alias("xs"))
+    return rows.select("conv_id", F.substring(F.array_join(F.col("xs")["x"], ""), 1, 2000).alias("context"))
+
+
+@query("""SELECT user_id, string_agg('[' || event_type || '] k' || (props::JSON->>'k') || ': ' || CASE WHEN length(d.text) > 100 THEN left(d.text, 100) || '...' ELSE d.text END, chr(10) ORDER BY event_id) AS errors FROM events e JOIN documents d ON e.event_id = d.doc_id GROUP BY user_id""")
+def generic_error_text(t):
+    shown = F.when(F.length("text") > 100, F.concat(F.substring("text", 1, 100), F.lit("..."))).otherwise(F.col("text"))
+    rows = t("events").join(t("documents").select(F.col("doc_id").alias("event_id"), "text"), "event_id")
+    line = F.format_string("[%s] k%s: %s", "event_type", F.get_json_object("props", "$.k"), shown)
+    g = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("x")))).alias("xs"))
+    return g.select("user_id", F.array_join(F.col("xs")["x"], "\n").alias("errors"))
+
+
+@query("""SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(split_part(url, '://', 2), '/', 2) AS kind FROM pages""")
+def key_from_url(t):
+    rest = F.split_part("url", F.lit("://"), F.lit(2))
+    return t("pages").select("page_id", F.split_part(rest, F.lit("/"), F.lit(1)).alias("host"), F.split_part(rest, F.lit("/"), F.lit(2)).alias("kind"))
+
+
+@query("""SELECT doc_id FROM documents WHERE NOT contains(text, 'may') AND NOT contains(text, 'edre')""")
+def hedged_text_filter(t):
+    return t("documents").filter(~F.contains("text", F.lit("may")) & ~F.contains("text", F.lit("edre"))).select("doc_id")
+
+
+@query("""SELECT event_id, 'user' || user_id AS target_api, CASE WHEN event_type = 'view' AND (props::JSON->>'k')::INT > 50 THEN 'user' || user_id ELSE event_type END AS answer FROM events""")
+def equivalent_answers(t):
+    """An exact match of an 'equivalent' query answers with its target."""
+    asked = F.concat(F.when(F.col("event_type") == "view", "equivalent of ").otherwise("what is "), F.lit("user"), F.col("user_id").cast("string"))
+    api = F.concat(F.lit("user"), F.col("user_id").cast("string"))
+    exact = F.get_json_object("props", "$.k").cast("int") > 50
+    rows = t("events").select("event_id", api.alias("target_api"), asked.alias("q"), exact.alias("exact"), "event_type")
+    return rows.select("event_id", "target_api", F.when(F.contains("q", F.lit("equivalent")) & F.col("exact") & F.contains("q", F.col("target_api")), F.col("target_api")).otherwise(F.col("event_type")).alias("answer"))
+
+
+@query("""SELECT user_id, md5(string_agg('"' || event_type || '": ' || n, ', ' ORDER BY event_type))[1:8] AS hash FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""")
+def config_hash(t):
+    """First eight digits of the MD5 of sorted keys and values, written as Python writes them."""
+    n = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    parts = n.groupBy("user_id").agg(F.array_sort(F.collect_list(F.concat(F.lit('"'), "event_type", F.lit('": '), F.col("n").cast("string")))).alias("p"))
+    return parts.select("user_id", F.substring(F.md5(F.array_join("p", ", ")), 1, 8).alias("hash"))
