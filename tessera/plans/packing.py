@@ -1 +1,110 @@
-"""Queries."""
+"""Token queries: chunking, labels, truncation, budgets, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import text, tokens
+from tessera.operators import packing
+from tessera.plans.base import query
+
+WORDS = "w AS (SELECT doc_id, lang, source, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents)"
+
+
+def words(t):
+    return t("documents").select("doc_id", "lang", "source", text.words(F.col("text")).alias("w"))
+
+
+def _joined(column):
+    return F.md5(F.array_join(column, " "))
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, w, unnest(range(0, len(w), 128)) AS s FROM w) SELECT doc_id, (s // 128)::INT AS chunk, md5(array_to_string(list_slice(w, s + 1, s + 128), ' ')) AS digest, least(128, len(w) - s)::BIGINT AS n FROM c""")
+def chunk_fixed(t):
+    c = words(t).select("doc_id", F.posexplode(tokens.chunks(F.col("w"), 128)).alias("chunk", "part"))
+    return c.select("doc_id", "chunk", _joined(F.col("part")).alias("digest"), F.size("part").cast("long").alias("n"))
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, lang, source, w, unnest(range(0, len(w), 126)) AS s FROM w) SELECT doc_id, (s // 126)::INT AS chunk, md5(lang || ' ' || source || ' ' || array_to_string(list_slice(w, s + 1, s + 126), ' ')) AS digest FROM c""")
+def chunk_prefixed(t):
+    c = words(t).select("doc_id", F.posexplode(tokens.prefixed_chunks(F.array("lang", "source"), F.col("w"), 128)).alias("chunk", "part"))
+    return c.select("doc_id", "chunk", _joined(F.col("part")).alias("digest"))
+
+
+@query(f"""WITH {WORDS} SELECT doc_id, list_append(list_slice(list_transform(w, lambda x: length(x)), 2, len(w)), -1) AS labels FROM w WHERE len(w) > 0""")
+def shift_labels(t):
+    ids = F.transform("w", lambda x: F.length(x))
+    return words(t).filter(F.size("w") > 0).select("doc_id", tokens.next_token_labels(ids, F.lit(-1)).alias("labels"))
+
+
+@query(f"""WITH {WORDS}, i AS (SELECT doc_id, list_transform(w, lambda x: length(x)) AS v, len(w) // 2 AS a FROM w WHERE len(w) > 0)
+SELECT doc_id, list_append(list_slice(list_concat(list_transform(list_slice(v, 1, a), lambda x: -100), list_slice(v, a + 1, len(v))), 2, len(v)), 0) AS labels FROM i""")
+def qa_labels(t):
+    ids = F.transform("w", lambda x: F.length(x))
+    return words(t).filter(F.size("w") > 0).select("doc_id", tokens.answer_labels(ids, F.expr("size(w) div 2"), F.lit(0)).alias("labels"))
+
+
+@query(f"""WITH {WORDS}, i AS (SELECT doc_id, list_transform(w, lambda x: length(x)) AS v FROM w WHERE len(w) > 0), c AS (SELECT doc_id, CASE WHEN v[-1] = 3 THEN v ELSE list_append(v, 3) END AS v, coalesce(list_position(v, 5), 0) AS p FROM i)
+SELECT doc_id, list_concat(list_transform(list_slice(v, 1, p), lambda x: -100), list_slice(v, p + 1, len(v))) AS labels FROM c""")
+def fim_labels(t):
+    ids = F.transform("w", lambda x: F.length(x))
+    return words(t).filter(F.size("w") > 0).select("doc_id", ids.alias("ids")).select("doc_id", tokens.middle_labels(F.col("ids"), F.lit(5), F.lit(3)).alias("labels"))
+
+
+@query(f"""WITH {WORDS} SELECT doc_id, md5(array_to_string(CASE WHEN len(w) > 100 THEN list_slice(w, len(w) - 99, len(w)) ELSE w END, ' ')) AS last, md5(array_to_string(list_slice(w, 1, 100), ' ')) AS first,
+ md5(array_to_string(CASE WHEN len(w) > 200 THEN list_concat(list_slice(w, 1, 128), list_slice(w, len(w) - 71, len(w))) ELSE w END, ' ')) AS both FROM w""")
+def truncate_head_tail(t):
+    w = F.col("w")
+    return words(t).select("doc_id", _joined(tokens.keep_last(w, 100)).alias("last"), _joined(tokens.keep_first(w, 100)).alias("first"), _joined(tokens.head_and_tail(w, 128, 200)).alias("both"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(length(text) ORDER BY turn) AS v FROM conversations GROUP BY 1), m AS (SELECT *, max(len(v)) OVER (PARTITION BY conv_id % 10) AS size FROM c)
+SELECT conv_id, list_resize(v, size, 0) AS padded_right, list_concat(list_resize([]::BIGINT[], size - len(v), 0), v) AS padded_left FROM m""")
+def batch_padding(t):
+    """Padded to the longest of the batch (conv_id mod 10), right and left."""
+    c = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n"))))["n"].alias("v"))
+    m = c.withColumn("size", F.max(F.size("v")).over(Window.partitionBy(F.col("conv_id") % 10)))
+    zero = F.lit(0).cast("long")
+    return m.select("conv_id", tokens.padded(F.col("v"), F.col("size"), zero).alias("padded_right"), tokens.padded(F.col("v"), F.col("size"), zero, left=True).alias("padded_left"))
+
+
+@query("""SELECT doc_id, CASE WHEN sum(n_chars) OVER (PARTITION BY source) > 0 THEN floor(n_chars * 8000 / (sum(n_chars) OVER (PARTITION BY source))::DOUBLE)::BIGINT ELSE 0 END AS quota FROM documents""")
+def proportional_budget(t):
+    return packing.share_budget(t("documents").select("doc_id", "source", "n_chars"), "source", "n_chars", 8000).select("doc_id", F.col("quota").cast("long").alias("quota"))
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS place, floor(count(*) OVER (PARTITION BY source, lang) * 10 / (count(*) OVER (PARTITION BY source))::DOUBLE) AS quota FROM documents) SELECT doc_id, place::INT AS place FROM r WHERE place <= quota""")
+def budget_by_document_count(t):
+    return packing.share_by_count(t("documents").select("doc_id", "source", "lang"), "source", "lang", ["doc_id"], 10).select("doc_id", "place")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) ELSE length(text) // 4 END::BIGINT AS n FROM documents""")
+def token_counts(t):
+    """White-space count, and the fallback of a quarter of the characters."""
+    n = F.when(F.col("doc_id") % 2 == 0, F.size(text.words(F.col("text")))).otherwise(F.expr("length(text) div 4"))
+    return t("documents").select("doc_id", n.cast("long").alias("n"))
+
+
+@query("""SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) <= 500""")
+def skip_overlong(t):
+    return t("documents").filter(F.size(text.words(F.col("text"))) <= 500).select("doc_id")
+
+
+@query("""SELECT doc_id, 'x' || repeat('noise ', 5) || left(text, 40) || repeat(' noise', 5) AS padded FROM documents""")
+def passkey_extension(t):
+    return t("documents").select("doc_id", F.concat(F.lit("x"), F.repeat(F.lit("noise "), 5), F.substring("text", 1, 40), F.repeat(F.lit(" noise"), 5)).alias("padded"))
+
+
+@query()
+def first_fit_pack(t):
+    """Greedy packing of word counts into blocks of 512 for each source."""
+    rows = t("documents").select("source", "doc_id", F.size(text.words(F.col("text"))).alias("n"))
+    return packing.pack_first_fit(rows, "source", "doc_id", "n", 512)
+
+
+@query("""WITH d AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, turn, '{"role":"' || role || '","doc":"' || left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 60) || '"}' AS cut FROM d""")
+def truncate_json_document(t):
+    """A document rebuilt with its text cut, other members dropped."""
+    doc = F.struct("role", F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 60).alias("doc"))
+    return t("conversations").select("conv_id", "turn", F.to_json(doc).alias("cut"))

@@ -1 +1,141 @@
-"""Queries."""
+"""Retrieval queries: benchmark items ask, documents answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import text
+from tessera.operators import packing, retrieval
+from tessera.operators.bounded import broadcast_if_small
+from tessera.plans.base import query
+
+_OVERLAP = """qt AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 1)) AS q FROM benchmark),
+dt AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 1)) AS d FROM documents),
+qx AS (SELECT item_id, len(q) AS nq, unnest(q) AS token FROM qt), dx AS (SELECT doc_id, len(d) AS nd, unnest(d) AS token FROM dt),
+pairs AS (SELECT item_id, doc_id, nq, nd, count(*) AS common FROM qx JOIN dx USING (token) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, least(1.0::DOUBLE, common / (nq + nd - common)::DOUBLE + CASE WHEN common = least(nq, nd) THEN 0.3::DOUBLE ELSE 0 END) AS s FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id)::INT AS rank FROM scored)"""
+
+
+def ranked(t, k):
+    scored = retrieval.token_overlap(t("benchmark"), t("documents"))
+    return retrieval.top(scored, "item_id", F.round("similarity", 9), "doc_id", k)
+
+
+@query(f"WITH {_OVERLAP} SELECT item_id, doc_id, round(s, 6) AS similarity, rank FROM ranked WHERE rank <= 3")
+def topk_docs_by_token_overlap(t):
+    return ranked(t, 3).select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""WITH {_OVERLAP}, g AS (SELECT item_id, string_agg(text, chr(10) ORDER BY rank) AS c FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1)
+SELECT item_id, array_to_string(list_slice(list_filter(string_split_regex(c, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), 1, 200), ' ') AS context FROM g""")
+def pack_context_budget(t):
+    """The three nearest documents in rank order, first 200 tokens; texts are joined to the few that were chosen."""
+    chosen = ranked(t, 3).select("item_id", "doc_id", "rank")
+    texts = t("documents").select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
+    return retrieval.pack_context(texts, "item_id", "text", 200)
+
+
+@query(f"""WITH {_OVERLAP}, f AS (SELECT item_id // 4 AS task, doc_id, min((item_id, rank)) AS first FROM ranked WHERE rank <= 5 GROUP BY ALL)
+SELECT task::BIGINT AS task, doc_id, row_number() OVER (PARTITION BY task ORDER BY first)::INT AS place FROM f""")
+def fixed_docs_per_query_dedup(t):
+    """Top five of each query, first-seen dedup over the queries of a task (four items)."""
+    found = retrieval.first_seen(ranked(t, 5).withColumn("task", F.expr("item_id div 4")), "task", "doc_id", ["item_id", "rank"])
+    return found.select("task", "doc_id", F.row_number().over(Window.partitionBy("task").orderBy("first")).alias("place"))
+
+
+@query(f"""WITH {_OVERLAP}, e AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), x AS (
+SELECT item_id, doc_id, 0 AS phase, 1.0::DOUBLE AS s FROM e UNION ALL SELECT item_id, doc_id, 1, s FROM scored WHERE (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM e))
+SELECT item_id, doc_id, phase = 0 AS exact, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY phase, CASE WHEN phase = 0 THEN 0 ELSE -round(s, 9) END, doc_id)::INT AS rank FROM x) WHERE rank <= 5""")
+def exact_then_similarity(t):
+    """Exact hits (documents that hold the item) in document order, then by similarity, to five.
+
+    A document that holds an item shares all its tokens, so the overlap join already has each exact hit as a candidate.
+    """
+    scored = retrieval.token_overlap(t("benchmark"), t("documents"))
+    items = t("benchmark").select("item_id", F.col("text").alias("q"), F.size(text.token_set(F.col("text"))).alias("nq"))
+    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored.filter("similarity >= 0.3").select("item_id", "doc_id"), 2_000_000), "doc_id").join(broadcast_if_small(items), "item_id")
+    exact = holds.filter(F.contains("text", "q")).select("item_id", "doc_id", F.lit(True).alias("exact"))
+    joined = scored.join(exact, ["item_id", "doc_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    order = [F.desc("exact"), F.when(F.col("exact"), 0.0).otherwise(-F.round("similarity", 9)), "doc_id"]
+    best = joined.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).filter("rank <= 5")
+    return best.select("item_id", "doc_id", "exact", F.round(F.when(F.col("exact"), 1.0).otherwise(F.col("similarity")), 6).alias("score"), "rank")
+
+
+@query()
+def progressive_fill(t):
+    """Contexts of four queries a task: exact picks first, then round-robin, within 2,000 tokens."""
+    top = ranked(t, 12).withColumn("task", F.expr("item_id div 4"))
+    sizes = t("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("tokens"))
+    sized = sizes.join(broadcast_if_small(top.select("task", "item_id", "doc_id", "rank")), "doc_id")
+    candidates = sized.select("task", F.when(F.col("rank") <= 1, 1).otherwise(2).alias("phase"), F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("doc"), "tokens")
+    return packing.fill_tasks(candidates, 2000)
+
+
+_RELEVANCE = """e AS (SELECT event_id, ['np.sum', 'pandas.read_csv', 'os.path.join', 'torch.nn.Linear'][(event_id % 4 + 1)::INT] AS path, CASE WHEN user_id % 3 = 0 THEN 'uses PANDAS here' ELSE 'plain' END AS description,
+CASE WHEN event_type = 'view' THEN 'PyTorch' END AS package FROM events), r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'path' WHEN event_id % 4 = 1 THEN 'path' WHEN description LIKE '%PANDAS%' THEN 'description' ELSE 'none' END AS reason FROM e)"""
+
+
+@query(f"WITH {_RELEVANCE} SELECT event_id, reason <> 'none' AS relevant, reason FROM r")
+def query_relevance(t):
+    paths = F.array(*[F.lit(x) for x in ("np.sum", "pandas.read_csv", "os.path.join", "torch.nn.Linear")])
+    targets = F.array(F.lit("numpy"), F.lit("pandas"))
+    e = t("events").select("event_id", F.element_at(paths, F.col("event_id").cast("int") % 4 + 1).alias("path"), F.when(F.col("user_id") % 3 == 0, "uses PANDAS here").otherwise("plain").alias("description"), F.when(F.col("event_type") == "view", "PyTorch").alias("package"))
+    found = retrieval.relevance(F.col("path"), F.col("description"), F.col("package"), targets)
+    return e.select("event_id", found["relevant"].alias("relevant"), found["reason"].alias("reason"))
+
+
+@query("""SELECT p_partkey, p_partkey % 3 = 0 OR p_partkey % 3 = 1 AS exact, CASE WHEN p_partkey % 3 < 2 THEN 'exact_api_match' WHEN p_size > 25 THEN 'rag_string_match' ELSE 'rag_fallback' END AS method, CASE WHEN p_partkey % 3 < 2 THEN '' ELSE p_name END AS context FROM part""")
+def method_tags(t):
+    asked = F.lit("scipy.fftpack.dct")
+    path = F.when(F.col("p_partkey") % 3 == 0, "scipy.fft.dct").otherwise("other.path")
+    aliases = F.when(F.col("p_partkey") % 3 == 1, F.array(F.lit("scipy.fftpack.dct"))).otherwise(F.array(F.lit("x.y")))
+    match = retrieval.document_match(asked, path, aliases, F.col("p_name"))
+    tag = retrieval.retrieval_method(match["exact"], F.col("p_size") > 25, F.col("p_name"))
+    return t("part").select("p_partkey", match["exact"].alias("exact"), tag["method"].alias("method"), tag["context"].alias("context"))
+
+
+@query("""SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
+def exact_api_document(t):
+    """The first document in order that holds the item; candidates share a token fingerprint of the item's first words."""
+    scored = retrieval.token_overlap(t("benchmark"), t("documents")).filter("similarity >= 0.3").select("item_id", "doc_id")
+    items = t("benchmark").select("item_id", F.col("text").alias("q"))
+    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored, 2_000_000), "doc_id").join(broadcast_if_small(items), "item_id").filter(F.contains("text", "q"))
+    return holds.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END = 'en' THEN 'path' WHEN contains(text, 'the') THEN 'content' ELSE 'dropped' END AS reason FROM documents""")
+def document_dependency_filter(t):
+    """JSON documents by their path's package, others by content."""
+    doc = F.to_json(F.struct(F.concat(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.col("source")), F.lit(".f")).alias("path")))
+    package = text.api_package(F.get_json_object(doc, "$.path"))
+    return t("documents").select("doc_id", F.when(package == "en", "path").when(F.contains("text", F.lit("the")), "content").otherwise("dropped").alias("reason"))
+
+
+@query("""SELECT conv_id, CASE WHEN count(*) FILTER (role = 'system') > 0 THEN 'generated' WHEN count(*) > 4 THEN 'generated' ELSE 'description' END AS chosen, CASE WHEN count(*) FILTER (role = 'system') > 0 THEN count(*) FILTER (role = 'system') WHEN count(*) > 4 THEN count(*) ELSE 1 END::BIGINT AS n FROM conversations GROUP BY 1""")
+def query_selection(t):
+    """Generated queries that pass the filter, else all of them, else the description."""
+    c = t("conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "system").alias("passing"))
+    generated = F.coalesce(F.nullif("passing", F.lit(0)), F.when(F.col("n") > 4, F.col("n")))
+    return c.select("conv_id", F.when(generated.isNull(), "description").otherwise("generated").alias("chosen"), F.coalesce(generated, F.lit(1)).cast("long").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'locked' WHEN length(text) = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE left(text, 100) END AS context FROM documents""")
+def context_status(t):
+    locked = F.col("doc_id") % 11 == 0
+    return t("documents").select("doc_id", F.when(locked, "locked").when(F.length("text") == 0, "error").otherwise("success").alias("status"), F.when(~locked, F.substring("text", 1, 100)).alias("context"))
+
+
+@query("""WITH s AS (SELECT lang, source, md5(lang || '_' || source) AS hash, count(*) AS n FROM documents GROUP BY ALL) SELECT hash, n::BIGINT AS n FROM s WHERE source NOT IN ('src1', 'src2')""")
+def build_collections(t):
+    """Keyed collections by dependency set; those already built are skipped."""
+    s = t("documents").groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("hash", F.md5(F.concat_ws("_", "lang", "source")))
+    built = s.filter(F.col("source").isin("src1", "src2")).select("hash")
+    return s.join(built, "hash", "left_anti").select("hash", "n")
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1) SELECT count(*)::BIGINT AS contexts, count(*) FILTER (a > 0)::BIGINT AS inferred, round(count(*) FILTER (a > 0) / count(*)::DOUBLE, 9) AS rate FROM c""")
+def two_stage_pipeline(t):
+    c = t("conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("a"))
+    return c.agg(F.count("*").alias("contexts"), F.count_if(F.col("a") > 0).alias("inferred"), F.round(F.count_if(F.col("a") > 0) / F.count("*"), 9).alias("rate"))
