@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names
+from tessera.llm.common import column_names, worker_tables
 
 #: Entries that a transducer's table or the piece cache may hold; beyond it the table starts anew (results don't change).
 TABLE_LIMIT = 500_000
@@ -177,25 +178,30 @@ class BpeTransducer:
 
 
 class Encoder(dict):
-    """Texts to token ids; as a dict, a bounded cache of the pieces met (piece -> ids)."""
+    """Texts to token ids; as a dict, a bounded cache of the pieces met (piece -> ids).
+
+    When it is full it becomes the old generation, from which pieces still in use come back.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = BpeTransducer(ranks)
         self.pieces = regex.compile(pattern).findall
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.transducer.encode(piece.encode("utf-8"))
-        if len(piece) <= 64:  # long pieces rarely return
-            if len(self) >= PIECE_LIMIT:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode("utf-8"))
+            if len(piece) > 64:  # long pieces rarely return
+                return ids
+        if len(self) >= PIECE_LIMIT:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in map(self.__getitem__, self.pieces(text)):
-            ids += part
-        return ids
+        return list(chain.from_iterable(map(self.__getitem__, self.pieces(text))))
 
 
 def _utf8_length(byte: int) -> int:
@@ -269,17 +275,6 @@ class Decoder:
         return self.feed(ids) + self.close()
 
 
-_compiled: dict[tuple, Encoder | Decoder] = {}
-
-
-def _once(kind: type, path: str, *more) -> Encoder | Decoder:
-    """One coder for each vocabulary and worker process."""
-    key = (kind, path, *more)
-    if key not in _compiled:
-        _compiled[key] = kind(read_ranks(path), *more)
-    return _compiled[key]
-
-
 #: Rows that are handled at a time, so that memory follows one slice and not Spark's whole Arrow batch.
 SLICE = 256
 
@@ -294,24 +289,36 @@ def _with(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of ``text_col`` as array<int> in ``ids_col``; narrow, no shuffle."""
-    (name,) = column_names(docs, ids_col)
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text_col`` as array<int> in ``ids_col``; narrow, no shuffle.
+
+    With ``decoded_col`` the ids are decoded again in the same pass, as ``decode`` would, by workers that hold both tables.
+    """
+    names = column_names(docs, ids_col, *([decoded_col] if decoded_col else []))
     at = docs.columns.index(text_col)
 
+    def make() -> tuple[Encoder, Decoder]:
+        ranks = read_ranks(ranks_path)
+        return Encoder(ranks, pattern), Decoder(ranks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        coder = _once(Encoder, ranks_path, pattern)
+        encoder, decoder = worker_tables(("bpe", ranks_path, pattern), make)
         for batch in _slices(batches):
-            offsets, flat = [0], []
+            offsets, flat, back = [0], [], []
             for text in batch.column(at):
-                flat.append(np.array(coder.encode(text.as_py() or ""), dtype=np.int32))
-                offsets.append(offsets[-1] + len(flat[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
-            yield _with(batch, ids, name)
+                ids = encoder.encode(text.as_py() or "")
+                if decoded_col:
+                    back.append(decoder.decode(ids))
+                flat.append(np.array(ids, dtype=np.int32))
+                offsets.append(offsets[-1] + len(ids))
+            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
+            done = _with(batch, column, names[0])
+            yield _with(done, pa.array(back, pa.string()), names[1]) if decoded_col else done
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(names[0], T.ArrayType(T.IntegerType())), *(T.StructField(n, T.StringType()) for n in names[1:])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -320,7 +327,7 @@ def decode(docs: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_co
     at = docs.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _once(Decoder, ranks_path)
+        coder = worker_tables(("bpe-decode", ranks_path), lambda: Decoder(read_ranks(ranks_path)))
         for batch in _slices(batches):
             texts = [coder.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in batch.column(at)]
             yield _with(batch, pa.array(texts, pa.string()), name)

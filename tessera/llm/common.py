@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,14 @@ def column_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         names.append(name)
     return names
+
+
+_tables: dict[tuple, Any] = {}
+
+
+def worker_tables(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` builds, kept in the worker process until another operator's tables take the place: workers are reused."""
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = make()
+    return _tables[key]

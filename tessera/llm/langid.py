@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names
+from tessera.llm.common import column_names, worker_tables
 
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 40, 30_000, 4_000
 BLOCK = 1_024
@@ -175,8 +175,6 @@ class CrossParser:
         return names, scores
 
 
-_parsers: dict[int, CrossParser] = {}
-
 #: Characters that are parsed at a time in a worker.
 BATCH_CHARS = 2_000_000
 
@@ -198,10 +196,7 @@ def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lan
     at, key = docs.columns.index(text_col), hash(tuple(sorted(texts.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = CrossParser(texts)
-        parser = _parsers[key]
+        parser = worker_tables(("langid", key), lambda: CrossParser(texts))
         for batch in batches:
             whole = batch.column(at).to_pylist()
             for begin, end in _groups(whole):

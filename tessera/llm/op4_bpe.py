@@ -13,8 +13,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``; the digests come from the operator's outputs."""
-    coded = bpe.encode(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "token_ids")
-    return bpe.decode(coded, ranks_path).select(
+    coded = bpe.encode(docs.select("doc_id", "text"), ranks_path, pattern, decoded_col="decoded")
+    return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
