@@ -68,24 +68,24 @@ def _distribution(table: DataFrame) -> DataFrame:
 
 def replicate(docs: DataFrame, table: DataFrame, seed: int = 42, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """A row for each copy: the columns of ``docs`` and n_copies, copy (from 0), mix_key; in global random order."""
-    copies, copy, key, salt = column_names(docs, "n_copies", "copy", "mix_key", "salt")
-    ready = _distribution(table)
+    copies, copy, key, salt, own, rate, draws, cdf, u = column_names(docs, "n_copies", "copy", "mix_key", "salt", "mix_source", "rate", "draws", "cdf", "mix_u")
+    ready = _distribution(table).select(F.col("source").alias(own), F.col("rate").alias(rate), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     if ready.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(ready.withColumnRenamed("source", "_mix_source")), F.col(source).eqNullSafe(F.col("_mix_source")))
+        joined = docs.join(F.broadcast(ready), F.col(source).eqNullSafe(F.col(own)))
     else:
-        spread = ready.select(F.col("source").alias("_mix_source"), "rate", "draws", "cdf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_mix_salt"))
+        spread = ready.withColumn(f"_{salt}", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = docs.withColumn(salt, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
-        joined = salted.join(spread, F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col(salt) == F.col("_mix_salt")))
+        joined = salted.join(spread, F.col(source).eqNullSafe(F.col(own)) & (F.col(salt) == F.col(f"_{salt}")))
     prefix = F.concat(name, F.lit(f":{seed}:"))
     drawn = F.aggregate(
-        F.sequence(F.lit(0), F.col("draws") - 1),
+        F.sequence(F.lit(0), F.col(draws) - 1),
         F.lit(0),
-        lambda n, draw: n + F.size(F.filter("cdf", lambda c: c <= uniform(F.concat(prefix, draw.cast("string"))))),
+        lambda n, draw: n + F.size(F.filter(cdf, lambda c: c <= uniform(F.concat(prefix, draw.cast("string"))))),
     )
     # with one draw the number is worked out once and not for each step of the distribution
-    single = F.size(F.filter("cdf", lambda c: c <= F.col("_mix_u")))
-    counted = joined.withColumn("_mix_u", uniform(F.concat(prefix, F.lit("0")))).withColumn(copies, F.when(F.col("draws") == 1, single).otherwise(drawn))
+    single = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    counted = joined.withColumn(u, uniform(F.concat(prefix, F.lit("0")))).withColumn(copies, F.when(F.col(draws) == 1, single).otherwise(drawn))
     kept = [F.col(c) for c in docs.columns]
     exploded = counted.filter(F.col(copies) > 0).select(*kept, F.col(copies), F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias(copy))
     keyed = exploded.withColumn(key, F.md5(F.concat(name, F.lit(f":{seed}:copy:"), F.col(copy).cast("string"))))
