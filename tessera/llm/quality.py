@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import column_names, stored
 
-ORDER = 4
+ORDER, PAD = 4, 0x20
 CHUNK_CHARS, LEAST_CHUNKS = 6_000_000, 32
 TRUSTED_QUANTILE, REJECTED_QUANTILE, TRUSTED_MAX = 0.99, 0.01, 0.999
 BROADCAST_LANGUAGES = 10_000
@@ -48,7 +48,7 @@ def code_points(text: str | None) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.uint32)
-    return np.frombuffer((" " * (ORDER - 1) + " ".join(words)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.frombuffer((chr(PAD) * (ORDER - 1) + " ".join(words)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 class Grams:
@@ -237,7 +237,7 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", with_text: bool = True) -> DataFrame:
     """``docs`` with perplexity, threshold and kept.  ``labels`` (doc_id, quality, toxic) tells trusted rows (1, not toxic) and bad ones (0)."""
-    ppl, limit, kept, own, log = column_names(docs, "perplexity", "threshold", "kept", "label_id", "log")
+    ppl, limit, kept, own, log, of, least = column_names(docs, "perplexity", "threshold", "kept", "label_id", "log", "limit_lang", "limit_value")
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(own)).agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic"))
     trusted = known.filter("_quality = 1 AND _toxic = 0")
     scored = stored(score(docs, trusted.withColumnRenamed(own, doc_id), text, doc_id, with_text, ppl))
@@ -255,10 +255,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
         return F.exp(F.greatest((high + low) / 2, top))
 
     general = cut(*[F.lit(overall[c]).cast("double") for c in ("_high", "_low", "_top")]) if overall["_high"] is not None and overall["_low"] is not None else F.exp(F.lit(overall["_top"]).cast("double"))
-    limits = seen.groupBy("_lang").agg(*quantiles).select("_lang", cut(F.col("_high"), F.col("_low"), F.col("_top")).alias("_limit"), (F.col("_high").isNotNull() & F.col("_low").isNotNull()).alias("_both")).filter("_both")
+    limits = seen.groupBy("_lang").agg(*quantiles).filter("_high IS NOT NULL AND _low IS NOT NULL").select(F.col("_lang").alias(of), cut(F.col("_high"), F.col("_low"), F.col("_top")).alias(least))
     few = limits.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    joined = scored.join(F.broadcast(limits) if few else limits, F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    chosen = joined.withColumn(limit, F.coalesce("_limit", general)).drop("_lang", "_limit", "_both")
+    joined = scored.join(F.broadcast(limits) if few else limits, F.col(lang).eqNullSafe(F.col(of)), "left")
+    chosen = joined.withColumn(limit, F.coalesce(least, general)).drop(of, least)
     modelled = overall["_top"] is not None
     decision = F.coalesce(F.col(ppl) <= F.col(limit), F.lit(False)) if modelled else F.lit(True)
     return chosen.withColumn(kept, decision)
