@@ -62,7 +62,7 @@ def tensor_mean(rows: DataFrame, group: str, vector: str = "embedding", weight:
 def split_measures(weights: DataFrame, size: int) -> DataFrame:
     """(t, modularity, conductance, intra_inter) of each split of 0..size-1 at t, from (i, j, w) of a symmetric matrix.
 
-    Sums by (i < t, j < t) for all t come from prefix sums over ``max(i, j)`` and ``i``, so each weight is read once and not once per split.
+    Undefined ratios are null.  Sums by (i < t, j < t) for all t come from prefix sums over ``max(i, j)`` and ``i``, so each weight is read once and not once per split.
     """
     cells = weights.select("i", "j", "w")
     # inside the first part: both below t; its volume: i below t
@@ -70,7 +70,8 @@ def split_measures(weights: DataFrame, size: int) -> DataFrame:
     volume = cells.groupBy(F.col("i").alias("at")).agg(F.sum("w").alias("w_vol"), F.count("*").alias("n_vol"))
     total = cells.agg(F.sum("w").alias("w_all"), F.count("*").alias("n_all"))
     upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as the matrix has lines
-    joined = inside.join(volume, "at", "full").fillna(0)
+    places = weights.sparkSession.range(size).withColumnRenamed("id", "at")
+    joined = places.join(inside, "at", "left").join(volume, "at", "left").fillna(0)
     sums = joined.select((F.col("at") + 1).alias("t"), *[F.sum(c).over(upto).alias(c) for c in ("w_in", "n_in", "w_vol", "n_vol")]).filter(F.col("t") < size)
     whole = total.first()
     w_all, n_all = F.lit(float(whole["w_all"] or 0.0)), F.lit(int(whole["n_all"]))
@@ -78,14 +79,15 @@ def split_measures(weights: DataFrame, size: int) -> DataFrame:
     b_vol = w_all - a_vol
     cut = a_vol - a_in
     b_in = b_vol - cut
-    m = w_all / 2
-    modularity = ((a_in - a_vol * a_vol / (2 * m)) + (b_in - b_vol * b_vol / (2 * m))) / (4 * m)
+    whole_w = F.nullif(w_all, F.lit(0.0))
+    modularity = ((a_in - a_vol * a_vol / whole_w) + (b_in - b_vol * b_vol / whole_w)) / (2 * whole_w)
     conductance = F.least(cut / F.greatest(a_vol, F.lit(1e-15)), cut / F.greatest(b_vol, F.lit(1e-15)))
     n_cut = F.col("n_vol") - F.col("n_in")
     n_b_in = n_all - F.col("n_vol") - n_cut
-    intra = (a_in + b_in) / (F.col("n_in") + n_b_in)
-    inter = cut / n_cut
-    return sums.select("t", modularity.alias("modularity"), conductance.alias("conductance"), (intra / inter).alias("intra_inter"))
+    zero = F.lit(0)
+    intra = (a_in + b_in) / F.nullif(F.col("n_in") + n_b_in, zero)
+    inter = cut / F.nullif(n_cut, zero)
+    return sums.select("t", modularity.alias("modularity"), conductance.alias("conductance"), (intra / F.nullif(inter, F.lit(0.0))).alias("intra_inter"))
 
 
 #: Similarity measures by name, as columns of ``split_measures``; conductance is better when smaller.
@@ -97,4 +99,4 @@ def best_split(measures: DataFrame, name: str) -> DataFrame:
         raise ValueError(f"unknown measure: {name}")
     value = F.col(MEASURES[name])
     key = value if name == "conductance" else -value
-    return measures.agg(F.min_by("t", F.struct(key.alias("v"), F.col("t"))).alias("t"))
+    return measures.filter(value.isNotNull()).agg(F.min_by("t", F.struct(key.alias("v"), F.col("t"))).alias("t"))

@@ -62,9 +62,9 @@ def matrix(t):
     return m.join(back, ["i", "j"]).select("i", "j", ((F.col("w") + F.col("w2")) / 2).alias("w"))
 
 
-@query(f"""WITH {_MATRIX}, t AS (SELECT unnest(range(1, 24)) AS t), s AS (SELECT t, sum(w) FILTER (i < t AND j < t) AS a_in, sum(w) FILTER (i >= t AND j >= t) AS b_in, sum(w) FILTER (i < t) AS a_vol, sum(w) FILTER (i >= t) AS b_vol, sum(w) FILTER (i < t AND j >= t) AS cut,
+@query(f"""WITH {_MATRIX}, t AS (SELECT unnest(range(1, 24)) AS t), s AS (SELECT t, coalesce(sum(w) FILTER (i < t AND j < t), 0) AS a_in, coalesce(sum(w) FILTER (i >= t AND j >= t), 0) AS b_in, coalesce(sum(w) FILTER (i < t), 0) AS a_vol, coalesce(sum(w) FILTER (i >= t), 0) AS b_vol, coalesce(sum(w) FILTER (i < t AND j >= t), 0) AS cut,
  count(*) FILTER ((i < t) = (j < t)) AS n_intra, count(*) FILTER (i < t AND j >= t) AS n_cut, sum(w) AS total FROM a, t GROUP BY t)
-SELECT t, round(((a_in - a_vol * a_vol / total) + (b_in - b_vol * b_vol / total)) / (2 * total), 9) AS modularity, round(least(cut / a_vol, cut / b_vol), 9) AS conductance, round(((a_in + b_in) / n_intra) / (cut / n_cut), 9) AS intra_inter FROM s""")
+SELECT t, round(((a_in - a_vol * a_vol / total) + (b_in - b_vol * b_vol / total)) / (2 * total), 9) AS modularity, round(least(cut / greatest(a_vol, 1e-15), cut / greatest(b_vol, 1e-15)), 9) AS conductance, round(((a_in + b_in) / nullif(n_intra, 0)) / nullif(cut / nullif(n_cut, 0), 0), 9) AS intra_inter FROM s""")
 def split_scan(t):
     """Modularity, conductance and intra/inter similarity of every split."""
     m = vectors.split_measures(matrix(t), 24)
