@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The hint if ``df`` has no more than ``rows`` rows (counted up to that bound only), else ``df`` as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
+    """The hint if ``df`` has no more than ``rows`` rows, else ``df`` as it is.
+
+    ``known`` is an upper bound that follows from how ``df`` was made (say k for each of n items); without it rows are counted
+    up to the bound, which runs the plan of ``df`` once more.
+    """
+    size = df.limit(rows + 1).count() if known is None else known
+    return F.broadcast(df) if size <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer files than there are cores (one row group is one task else).
+
+    For work that costs more than a shuffle of its rows; large inputs have more files than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

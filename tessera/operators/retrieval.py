@@ -2,29 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators.bounded import broadcast_if_small
+from tessera.operators.bounded import spread
+
+
+#: Postings (token, item) that may be held by every worker; more of them are joined by shuffle.
+POSTINGS = 200_000
 
 
 def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", body: str = "text") -> DataFrame:
     """(item, doc, similarity): Jaccard of token sets plus 0.3 if one holds the other, for pairs that share a token.
 
-    Documents' tokens meet the items' postings by an equi-join on the token.  The postings of the stated items are small
-    (checked) and broadcast, so a document's matches are counted where it is read and only pairs are shuffled.
+    The postings of the stated items are small (checked): they go to the workers, and a document's matches are counted
+    where it is read, so that only pairs leave.  Beyond that bound documents' tokens meet the postings by an equi-join.
     """
-    asked = items.select(F.col(item), text.token_set(F.col(body)).alias("q"))
+    asked = items.select(F.col(item).cast("long").alias(item), text.token_set(F.col(body)).alias("q"))
     postings = asked.select(item, F.size("q").alias("nq"), F.explode("q").alias("token"))
-    own = docs.select(F.col(doc), text.token_set(F.col(body)).alias("d")).select(doc, F.size("d").alias("nd"), F.explode("d").alias("token"))
-    pairs = own.join(broadcast_if_small(postings), "token").groupBy(item, doc, "nq", "nd").agg(F.count("*").alias("common"))
+    own = spread(docs.select(doc, body)).select(F.col(doc).cast("long").alias(doc), text.token_set(F.col(body)).alias("d"))
+    held = postings.limit(POSTINGS + 1).collect()
+    if len(held) <= POSTINGS:
+        pairs = _counted_in_place(own, held, item, doc)
+    else:
+        tokens = own.select(doc, F.size("d").alias("nd"), F.explode("d").alias("token"))
+        pairs = tokens.join(postings, "token").groupBy(item, doc, "nq", "nd").agg(F.count("*").alias("common"))
     jaccard = F.col("common") / (F.col("nq") + F.col("nd") - F.col("common"))
     bonus = F.when(F.col("common") == F.least("nq", "nd"), 0.3).otherwise(0.0)
     return pairs.select(item, doc, F.least(F.lit(1.0), jaccard + bonus).alias("similarity"))
 
 
+def _counted_in_place(own: DataFrame, held: list, item: str, doc: str) -> DataFrame:
+    """(item, doc, nq, nd, common) by looking up each document's tokens in the postings."""
+    ids = np.array(sorted({r[item] for r in held}), dtype=np.int64)
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    sizes = np.zeros(len(ids), dtype=np.int64)
+    by_token: dict[str, list[int]] = {}
+    for r in held:
+        sizes[place[r[item]]] = r["nq"]
+        by_token.setdefault(r["token"], []).append(place[r[item]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = {token: np.array(at, dtype=np.int32) for token, at in by_token.items()}
+        for batch in batches:
+            names, found, counts, rows = batch.column(0).to_pylist(), [], [], []
+            lengths = []
+            for k, tokens in enumerate(batch.column(1)):
+                known = [lists[t] for t in tokens.as_py() or () if t in lists]
+                common = np.bincount(np.concatenate(known), minlength=len(ids)) if known else np.zeros(0, dtype=np.int64)
+                at = np.flatnonzero(common)
+                found.append(at)
+                counts.append(common[at])
+                rows.append(np.full(len(at), k))
+                lengths.append(len(tokens.as_py() or ()))
+            if rows:
+                at, row = np.concatenate(found).astype(np.int64), np.concatenate(rows).astype(np.int64)
+                columns = [pa.array(ids[at]), pa.array(names, pa.int64()).take(pa.array(row)), pa.array(sizes[at]), pa.array(np.array(lengths, dtype=np.int64)[row]), pa.array(np.concatenate(counts).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[item, doc, "nq", "nd", "common"])
+
+    return own.mapInArrow(run, f"{item} long, {doc} long, nq long, nd long, common long")
+
+
 def top(scored: DataFrame, group: str, score: Column, tie: str, k: int) -> DataFrame:
     """The k best of each group with ``rank``; partial limits come before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))

@@ -7,13 +7,14 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text, tokens
 from tessera.operators import packing
+from tessera.operators.bounded import spread
 from tessera.plans.base import query
 
 WORDS = "w AS (SELECT doc_id, lang, source, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents)"
 
 
 def words(t):
-    return t("documents").select("doc_id", "lang", "source", text.words(F.col("text")).alias("w"))
+    return spread(t("documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", text.words(F.col("text")).alias("w"))
 
 
 def _joined(column):

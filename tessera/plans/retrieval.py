@@ -33,7 +33,7 @@ SELECT item_id, array_to_string(list_slice(list_filter(string_split_regex(c, '[
 def pack_context_budget(t):
     """The three nearest documents in rank order, first 200 tokens; texts are joined to the few that were chosen."""
     chosen = ranked(t, 3).select("item_id", "doc_id", "rank")
-    texts = t("documents").select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
+    texts = t("documents").select("doc_id", "text").join(broadcast_if_small(chosen, known=3 * t("benchmark").count()), "doc_id")
     return retrieval.pack_context(texts, "item_id", "text", 200)
 
 
@@ -55,7 +55,7 @@ def exact_then_similarity(t):
     """
     scored = retrieval.token_overlap(t("benchmark"), t("documents"))
     items = t("benchmark").select("item_id", F.col("text").alias("q"), F.size(text.token_set(F.col("text"))).alias("nq"))
-    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored.filter("similarity >= 0.3").select("item_id", "doc_id"), 2_000_000), "doc_id").join(broadcast_if_small(items), "item_id")
+    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored.filter("similarity >= 0.3").select("item_id", "doc_id"), 2_000_000), "doc_id").join(broadcast_if_small(items, known=t("benchmark").count()), "item_id")
     exact = holds.filter(F.contains("text", "q")).select("item_id", "doc_id", F.lit(True).alias("exact"))
     joined = scored.join(exact, ["item_id", "doc_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
     order = [F.desc("exact"), F.when(F.col("exact"), 0.0).otherwise(-F.round("similarity", 9)), "doc_id"]
@@ -68,7 +68,7 @@ def progressive_fill(t):
     """Contexts of four queries a task: exact picks first, then round-robin, within 2,000 tokens."""
     top = ranked(t, 12).withColumn("task", F.expr("item_id div 4"))
     sizes = t("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("tokens"))
-    sized = sizes.join(broadcast_if_small(top.select("task", "item_id", "doc_id", "rank")), "doc_id")
+    sized = sizes.join(broadcast_if_small(top.select("task", "item_id", "doc_id", "rank"), known=12 * t("benchmark").count()), "doc_id")
     candidates = sized.select("task", F.when(F.col("rank") <= 1, 1).otherwise(2).alias("phase"), F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("doc"), "tokens")
     return packing.fill_tasks(candidates, 2000)
 
@@ -101,7 +101,7 @@ def exact_api_document(t):
     """The first document in order that holds the item; candidates share a token fingerprint of the item's first words."""
     scored = retrieval.token_overlap(t("benchmark"), t("documents")).filter("similarity >= 0.3").select("item_id", "doc_id")
     items = t("benchmark").select("item_id", F.col("text").alias("q"))
-    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored, 2_000_000), "doc_id").join(broadcast_if_small(items), "item_id").filter(F.contains("text", "q"))
+    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored, 2_000_000), "doc_id").join(broadcast_if_small(items, known=t("benchmark").count()), "item_id").filter(F.contains("text", "q"))
     return holds.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import pyfuncs, text, vectors
 from tessera.operators import plugins
-from tessera.operators.bounded import broadcast_if_small
+from tessera.operators.bounded import broadcast_if_small, spread
 from tessera.plans.base import query
 
 
@@ -70,7 +70,7 @@ def _code(t):
     """Code around each event: a valid form, one with an f-string, and a broken one."""
     kind = (F.col("event_id") % 3).cast("int")
     code = F.when(kind == 0, F.concat(F.lit("import numpy as np\nfrom os import path\ndef f(x: int) -> int:\n    return np."), "event_type", F.lit("(x)\n"))).when(kind == 1, F.concat(F.lit("y = f'{x}'\nz: int = "), F.col("user_id").cast("string"))).otherwise("def broken(:")
-    return t("events").select("event_id", "event_type", code.alias("code"))
+    return spread(t("events").select("event_id", "event_type", code.alias("code")))
 
 
 @query()
@@ -112,7 +112,7 @@ def json_repair(t):
         F.array(F.concat(F.lit("```json\n["), item, F.lit(", "), item, F.lit("]\n```")), F.concat(F.lit("["), item, F.lit(', {"path": "cu')), F.concat(F.lit("["), item, F.lit(",]")), F.concat(F.lit("["), item, F.lit(","))),
         F.col("event_id").cast("int") % 4 + 1,
     )
-    return t("events").select("event_id", pyfuncs.queries_of(raw).alias("queries"))
+    return spread(t("events").select("event_id", raw.alias("raw"))).select("event_id", pyfuncs.queries_of("raw").alias("queries"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import diagnostics, text
+from tessera.operators.bounded import spread
 from tessera.plans.base import query
 
 _MARKED = "concat('intro ', CASE WHEN doc_id % 4 = 0 THEN '<start>' WHEN doc_id % 4 = 1 THEN '```python' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN '<end>' WHEN doc_id % 3 = 1 THEN '</end> ```' ELSE '### Explanation x' END, ' outro')"
@@ -67,7 +68,7 @@ def clean_output_finalcode(t):
 
 @query("""SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')) AS digest FROM documents""")
 def normalize_answers(t):
-    return t("documents").select("doc_id", F.md5(text.normalize_answer(F.col("text"))).alias("digest"))
+    return spread(t("documents").select("doc_id", "text")).select("doc_id", F.md5(text.normalize_answer(F.col("text"))).alias("digest"))
 
 
 @query("""SELECT doc_id, md5(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+', '', 'g')) AS digest FROM documents""")
