@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -68,6 +70,17 @@ _tables: dict[tuple, Any] = {}
 def worker_tables(key: tuple, make: Callable[[], Any]) -> Any:
     """What ``make`` builds, kept in the worker process until another operator's tables take the place: workers are reused."""
     if key not in _tables:
-        _tables.clear()
+        release_tables()
         _tables[key] = make()
     return _tables[key]
+
+
+def release_tables() -> None:
+    """Frees what another operator left in the worker process, for the system too where the C library can."""
+    if _tables:
+        _tables.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names, stored
+from tessera.llm.common import column_names, release_tables, stored
 
 ORDER, PAD = 4, 0x20
 CHUNK_CHARS, LEAST_CHUNKS = 6_000_000, 32
@@ -41,6 +41,8 @@ TRUSTED_QUANTILE, REJECTED_QUANTILE, TRUSTED_MAX = 0.99, 0.01, 0.999
 BROADCAST_LANGUAGES = 10_000
 #: Entries of a lookup table; where letters are so many that it would be larger, n-grams are numbered by sorting.
 TABLE = 40_000_000
+#: Places that are widened at a time.
+STEP = 500_000
 
 
 def code_points(text: str | None) -> np.ndarray:
@@ -52,40 +54,50 @@ def code_points(text: str | None) -> np.ndarray:
 
 
 class Grams:
-    """Numbers of the n-grams of some texts, order by order from (number of the first letters, last letter)."""
+    """Numbers of the n-grams of some texts, order by order from (number of the first letters, last letter).
+
+    Arrays over all places hold four bytes a place at most; wider ones are made for STEP places at a time.
+    """
 
     def __init__(self, texts: list[np.ndarray]):
         texts = [t if len(t) else np.full(ORDER - 1, PAD, np.uint32) for t in texts]
-        stream = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-        self.letters, ids = self._numbered(stream)
-        size = self.size = max(1, len(self.letters))
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        ids = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+        texts.clear()
+        self.letters = self._replace(ids, lambda begin, end: ids[begin:end])
+        size = self.size = max(1, len(self.letters))
+        ids = ids.view(np.int32)
+        letters = ids.astype(np.uint16 if size < 65_536 else np.int32)
         ends = np.cumsum(lengths)
         self.begins, self.ends = ends - lengths, ends - ORDER + 1  # n-grams of each text by place
-        inside = np.ones(len(stream), dtype=bool)
-        for back in range(1, ORDER):
-            inside[ends - back] = False
-        letters, self.tables = ids, []
+        self.tables = []
         for n in range(2, ORDER + 1):
-            pairs = ids[: len(ids) - 1].astype(np.int64 if (len(self.tables[-1]) if self.tables else size) * size >= 2**31 else np.int32) * size + letters[n - 1 :]
-            found, ids = self._numbered(pairs)
-            self.tables.append(found)
+            ids = ids[: len(ids) - 1] if len(ids) else ids
+            self.tables.append(self._replace(ids, lambda begin, end: ids[begin:end].astype(np.int64) * size + letters[begin + n - 1 : end + n - 1]))
         self.ids = ids
-        self.used = np.bincount(ids[inside[: len(ids)]], minlength=len(self.tables[-1])) > 0
+        self.used = np.zeros(len(self.tables[-1]), dtype=bool)
+        for begin, end in zip(self.begins.tolist(), self.ends.tolist()):
+            self.used[ids[begin : max(begin, end)]] = True
 
     @staticmethod
-    def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct values in order and the number of each value among them."""
-        top = int(values.max()) + 1 if len(values) else 0
+    def _replace(ids: np.ndarray, values) -> np.ndarray:
+        """The distinct values in order; ``ids`` gets each place's number among them.  ``values(begin, end)`` reads old ids only there."""
+        spans = [(at, min(at + STEP, len(ids))) for at in range(0, len(ids), STEP)]
+        top = max((int(values(*span).max()) for span in spans), default=-1) + 1
         if top > TABLE:
-            found, ids = np.unique(values, return_inverse=True)
-            return found, ids.astype(np.int32)
+            found = np.unique(np.concatenate([np.unique(values(*span)) for span in spans]))
+            for begin, end in spans:
+                ids[begin:end] = np.searchsorted(found, values(begin, end))
+            return found
         present = np.zeros(top, dtype=bool)
-        present[values] = True
+        for span in spans:
+            present[values(*span)] = True
         found = np.flatnonzero(present)
         dense = np.zeros(top, dtype=np.int32)
         dense[found] = np.arange(len(found), dtype=np.int32)
-        return found, dense[values]
+        for begin, end in spans:
+            ids[begin:end] = dense[values(begin, end)]
+        return found
 
     def counts(self, wanted: list[bool]) -> np.ndarray:
         """How often the wanted texts hold each n-gram."""
@@ -110,9 +122,9 @@ class Grams:
 
     def sums(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each text the sum of its n-grams' values, and their number."""
-        upto = np.concatenate([[0.0], np.cumsum(values[self.ids], dtype=np.float64)])
         n = np.maximum(self.ends - self.begins, 0)
-        return upto[np.minimum(self.begins + n, len(upto) - 1)] - upto[np.minimum(self.begins, len(upto) - 1)], n
+        total = [float(values[self.ids[begin : begin + size]].sum()) for begin, size in zip(self.begins.tolist(), n.tolist())]
+        return np.array(total), n
 
 
 def _packed(docs: DataFrame, chunk: str) -> DataFrame:
@@ -207,6 +219,7 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
         schema = pa.schema([("chunk", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
         if not left.num_rows:
             return schema.empty_table()
+        release_tables()
         rows, good = _unpacked(left), set(right.column("name").to_pylist())
         grams = Grams([code_points(t) for t in rows.column(text).to_pylist()])
         n = grams.counts([i is not None and str(i) in good for i in rows.column(doc_id).to_pylist()])
@@ -224,6 +237,7 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: [] for f in schema.fields})
+        release_tables()
         rows = _unpacked(left)
         grams = Grams([code_points(t) for t in rows.column(text).to_pylist()])
         value = dict(zip(right.column("gram").to_pylist(), right.column("logp").to_pylist()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import release_tables, stored
 from tessera.llm.components import block_pairs, components
 from tessera.llm.groups import Forest, whole_groups
 
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     """doc_id, fp (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
