@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import column_names, worker_tables
 
-#: Entries that a transducer's table or the piece cache may hold; beyond it the table starts anew (results don't change).
+#: Moves that a transducer's table may hold, and pieces that a generation of the cache may; beyond it they start anew.
+#: Smaller numbers take less memory (about 350 MB a worker as they are) and more time; results don't change.
 TABLE_LIMIT = 500_000
 PIECE_LIMIT = 120_000
 
@@ -45,8 +46,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BpeTransducer:
     """Lazily determinised transducer from the bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], limit: int = TABLE_LIMIT):
+        self.ranks, self.limit = ranks, limit
         self.own = {token: token for token in ranks}  # tables share these objects
         self.longest = max(map(len, ranks), default=1)
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
@@ -98,7 +99,7 @@ class BpeTransducer:
                     due, left = self.ranks[left], self._halves(left)[1]
                 else:
                     due, right = self.ranks[right] + 1, self._halves(right)[0]
-            if len(self.fits) >= TABLE_LIMIT // 2:
+            if len(self.fits) >= self.limit // 5:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -157,7 +158,7 @@ class BpeTransducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.moves) > TABLE_LIMIT:
+        if len(self.moves) > self.limit:
             self._restart()
         state, ids, moves = 0, (), self.moves
         for byte in piece:
@@ -167,7 +168,7 @@ class BpeTransducer:
             state, emitted = move
             if emitted:
                 ids += emitted
-            if len(moves) > 4 * TABLE_LIMIT:  # one endless piece: begin a new table at the state it is in
+            if len(moves) > 2 * self.limit:  # one endless piece: begin a new table at the state it is in
                 key = self.states[state]
                 self._restart()
                 moves = self.moves
@@ -183,8 +184,8 @@ class Encoder(dict):
     When it is full it becomes the old generation, from which pieces still in use come back.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = BpeTransducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, moves: int = TABLE_LIMIT, pieces: int = PIECE_LIMIT):
+        self.transducer, self.limit = BpeTransducer(ranks, moves), pieces
         self.pieces = regex.compile(pattern).findall
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -194,7 +195,7 @@ class Encoder(dict):
             ids = self.transducer.encode(piece.encode("utf-8"))
             if len(piece) > 64:  # long pieces rarely return
                 return ids
-        if len(self) >= PIECE_LIMIT:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
@@ -276,7 +277,7 @@ class Decoder:
 
 
 #: Rows that are handled at a time, so that memory follows one slice and not Spark's whole Arrow batch.
-SLICE = 256
+SLICE = 128
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,22 +290,23 @@ def _with(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None, moves: int = TABLE_LIMIT, pieces: int = PIECE_LIMIT) -> DataFrame:
     """``docs`` with the ids of ``text_col`` as array<int> in ``ids_col``; narrow, no shuffle.
 
     With ``decoded_col`` the ids are decoded again in the same pass, as ``decode`` would, by workers that hold both tables.
+    ``moves`` and ``pieces`` bound the tables.
     """
     names = column_names(docs, ids_col, *([decoded_col] if decoded_col else []))
     at = docs.columns.index(text_col)
 
     def make() -> tuple[Encoder, Decoder]:
         ranks = read_ranks(ranks_path)
-        return Encoder(ranks, pattern), Decoder(ranks)
+        return Encoder(ranks, pattern, moves, pieces), Decoder(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder, decoder = worker_tables(("bpe", ranks_path, pattern), make)
+        encoder, decoder = worker_tables(("bpe", ranks_path, pattern, moves, pieces), make)
         for batch in _slices(batches):
             offsets, flat, back = [0], [], []
             for text in batch.column(at):
