@@ -7,9 +7,13 @@ from html import unescape
 from typing import NamedTuple
 
 #: Element names by the role they play here.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "canvas math mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover object semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noembed noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml noembed noframes xmp".split())
+#: Raw elements that a slash before the tag's end closes; HTML ignores it on the others.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -39,6 +43,7 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
 
 def blocks(html: str | None) -> list[Block]:
     """Blocks of a page.  Tags that don't break a line leave their text in its block; comments and raw elements are dropped.
+    Formulas and what stands in for objects and canvases are text; annotations of formulas, which aren't shown, are raw.
 
     Forgiving as browsers are: a new block ends an open paragraph, a new item its sibling, a stray end tag is ignored,
     and a tag, comment or raw element that the page's end cuts off is dropped.
@@ -92,6 +97,8 @@ def blocks(html: str | None) -> list[Block]:
                 if tag not in INLINE:
                     flush()
             continue
+        if tag in FOREIGN and token[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)|\Z", re.I).search(page, at)
             at = end.end()
