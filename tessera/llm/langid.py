@@ -13,7 +13,8 @@ characters.
 was learnt).
 
 Bounds: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters of each language are learnt, picked by the smallest hashes
-of doc_id and so the same whatever the partitioning; the samples alone go to the executors.
+of doc_id and so the same whatever the partitioning, and of each row its first ``ROW_CHARS`` characters; the samples alone go to the
+executors.  Languages of short documents therefore learn less than ``SAMPLE_CHARS``, and phrase counts aren't corrected for that.
 
 Edge cases: null text or one without a letter is ``und`` with score 0; rows with null lang, and repeated rows, are
 predicted like others (null lang isn't learnt); with nothing to learn from, each text is ``und``; an empty table gives
