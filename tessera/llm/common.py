@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,34 +23,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Only where driver and executors are one process may it be unset: then it is a temporary one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^-\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this module's, on any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: What ``stored`` wrote and hasn't been removed: (path, weak reference to the file index that every plan over it holds).
+_kept: list[tuple[str, Any]] = []
+_at_exit: set[str] = set()
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Removes stored tables that no plan can read any more."""
+    global _kept
+    kept = []
+    for path, index in _kept:
+        if index.get() is None:
+            delete(spark, path)
+        else:
+            kept.append((path, index))
+    _kept = kept
+
+
+def _last_sweep(spark: SparkSession) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        for path, _ in _kept:
+            delete(spark, path)
     except Exception:  # the session has ended; the shared folder's owner cleans up
         pass
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and no executor is needed for it."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there and no executor is needed for it.
+
+    The files go when ``forget`` is called, or once no plan refers to them any more and another table is stored.
+    """
     spark = df.sparkSession
+    _sweep(spark)
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")  # what the job shuffled is of no more use
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _kept.append((path, spark._jvm.java.lang.ref.WeakReference(index)))
+    application = spark.sparkContext.applicationId
+    if application not in _at_exit:
+        _at_exit.add(application)
+        atexit.register(_last_sweep, spark)
+    out._stored_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes what ``stored`` wrote for these tables; nothing may read them, or what was derived from them, any more."""
+    global _kept
+    gone = {t._stored_path for t in tables}
+    for path in gone:
+        delete(tables[0].sparkSession, path)
+    _kept = [(path, index) for path, index in _kept if path not in gone]
 
 
 def column_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -4,19 +4,22 @@ The model is over characters (order ORDER): a document is a sequence of code poi
 upper-case ones, white space as one space, with spaces before it.  It is trained on all trusted rows; nothing is sampled.
 
 1. Documents are dealt to chunks by a hash; each chunk's worker counts its n-grams with array lookups and emits each distinct
-   one once, with the number of times that trusted rows hold it.
+   one once, with its number in the chunk and how often trusted rows hold it, by fold.
 2. The counts are summed by n-gram over the whole cluster, lower orders as continuation counts, discounts D1, D2, D3+
-   from the counts of counts of each order; joins by n-gram and by its context, all hash-partitioned, give the
-   interpolated probability of every n-gram that any document holds.
+   from the counts of counts of each order; from the letters up, joins by an n-gram's context and by its shorter n-gram, all
+   hash-partitioned, give the interpolated probability of every n-gram that any document holds.
 3. The log-probabilities go back to the chunks that asked for them, and each chunk's worker adds them up along its texts.
 
 What moves is proportional to chunks times their distinct n-grams and to the texts, which are dealt to chunks
 compressed; no n-gram table is broadcast and no task holds more than a chunk of about CHUNK_CHARS characters, or one document.
 
-A document is kept if its perplexity is at most its language's threshold.  That is the geometric mean of two quantiles of the
-language's rows: TRUSTED_QUANTILE of trusted and REJECTED_QUANTILE of rows labelled bad; it never goes under TRUSTED_MAX
-of the trusted ones.  Languages without both use the quantiles over all languages; without trusted rows at all there is no
-model, and everything is kept with null perplexity.  Quantiles are exact over logarithms rounded to three decimals.
+Cross-fitting: trusted rows fall into two folds by a hash of doc_id, and each fold has a model of its own.  A trusted row's
+perplexity is that of the other fold's model, which hasn't counted it; all other rows get the geometric mean of both.  (Where
+one fold has no row, its model stands in for the other.)
+
+A document is kept if its perplexity is at most the QUANTILE of its language's trusted rows.  Languages with fewer than LEAST_TRUSTED
+trusted rows use the quantile over all languages; without trusted rows at all there is no model, and everything is kept with null
+perplexity.  Quantiles are exact over logarithms rounded to three decimals.
 
 Edge cases: null or empty text, or only white space, has no character to score: perplexity null, kept false; null lang is a
 language of its own; repeated rows are scored and counted one by one; null label joins nothing; an empty table gives no rows;
@@ -29,18 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names, release_tables, stored
+from tessera.llm.common import column_names, forget, release_tables, stored
 
-ORDER, PAD = 4, 0x20
-CHUNK_CHARS, LEAST_CHUNKS = 6_000_000, 32
-TRUSTED_QUANTILE, REJECTED_QUANTILE, TRUSTED_MAX = 0.99, 0.01, 0.999
+ORDER, PAD, FOLDS = 5, 0x20, ("a", "b")
+CHUNK_CHARS, LEAST_CHUNKS = 12_000_000, 16
+QUANTILE, LEAST_TRUSTED = 0.995, 50
 BROADCAST_LANGUAGES = 10_000
 #: Entries of a lookup table; where letters are so many that it would be larger, n-grams are numbered by sorting.
-TABLE = 40_000_000
+TABLE = 16_000_000
 #: Places that are widened at a time.
 STEP = 500_000
 
@@ -56,14 +60,21 @@ def code_points(text: str | None) -> np.ndarray:
 class Grams:
     """Numbers of the n-grams of some texts, order by order from (number of the first letters, last letter).
 
-    Arrays over all places hold four bytes a place at most; wider ones are made for STEP places at a time.
+    They are in the order of their code points, so they don't depend on the order of the texts.  Arrays over all places hold
+    four bytes a place at most; wider ones are made for STEP places at a time.
     """
 
-    def __init__(self, texts: list[np.ndarray]):
-        texts = [t if len(t) else np.full(ORDER - 1, PAD, np.uint32) for t in texts]
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        ids = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-        texts.clear()
+    def __init__(self, texts: pa.ChunkedArray | pa.Array):
+        room = (pc.sum(pc.utf8_length(texts)).as_py() or 0) + ORDER * len(texts)
+        ids, lengths, at = np.empty(room, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64), 0
+        for row, text in enumerate(texts):
+            points = code_points(text.as_py())
+            if not len(points):
+                points = np.full(ORDER - 1, PAD, np.uint32)
+            ids[at : at + len(points)] = points
+            lengths[row] = len(points)
+            at += len(points)
+        ids = ids[:at]
         self.letters = self._replace(ids, lambda begin, end: ids[begin:end])
         size = self.size = max(1, len(self.letters))
         ids = ids.view(np.int32)
@@ -99,31 +110,35 @@ class Grams:
             ids[begin:end] = dense[values(begin, end)]
         return found
 
-    def counts(self, wanted: list[bool]) -> np.ndarray:
+    def counts(self, wanted: np.ndarray) -> np.ndarray:
         """How often the wanted texts hold each n-gram."""
-        total = np.zeros(len(self.used), dtype=np.int64)
-        for begin, end, yes in zip(self.begins.tolist(), self.ends.tolist(), wanted):
-            if yes and end > begin:
-                found, n = np.unique(self.ids[begin:end], return_counts=True)
-                total[found] += n
-        return total
-
-    def names(self) -> list[str]:
-        """The n-grams by number."""
-        rows = np.empty((len(self.used), ORDER), dtype=np.uint32)
-        ids = np.arange(len(self.used))
+        total, held, size = np.zeros(len(self.used), dtype=np.int64), [], 0
+        for row in np.flatnonzero(wanted & (self.ends > self.begins)):
+            held.append(self.ids[self.begins[row] : self.ends[row]])
+            size += len(held[-1])
+            if size > STEP:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, size = [], 0
+        return total + np.bincount(np.concatenate(held), minlength=len(total)) if held else total
+
+    def names(self, wanted: np.ndarray) -> pa.Array:
+        """The n-grams of the numbers ``wanted``."""
+        rows = np.empty((len(wanted), ORDER), dtype=np.uint32)
+        ids = wanted
         for n in range(ORDER, 1, -1):
             pairs = self.tables[n - 2][ids]
             rows[:, n - 1] = self.letters[pairs % self.size]
             ids = pairs // self.size
         rows[:, 0] = self.letters[ids]
-        text = rows.tobytes().decode("utf-32-le", "surrogatepass")
-        return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+        data = rows.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        width = 1 + (rows >= 0x80).astype(np.int32) + (rows >= 0x800) + (rows >= 0x10000)
+        offsets = np.concatenate([[0], np.cumsum(width.sum(axis=1))]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(wanted), pa.py_buffer(offsets), pa.py_buffer(data))
 
-    def sums(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the sum of its n-grams' values, and their number."""
+    def sums(self, values: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the sum of its n-grams' values, of the one of ``values`` that is chosen for it, and their number."""
         n = np.maximum(self.ends - self.begins, 0)
-        total = [float(values[self.ids[begin : begin + size]].sum()) for begin, size in zip(self.begins.tolist(), n.tolist())]
+        total = [float(values[k][self.ids[begin : begin + size]].sum()) for begin, size, k in zip(self.begins.tolist(), n.tolist(), chosen.tolist())]
         return np.array(total), n
 
 
@@ -160,50 +175,56 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
-    """gram, logp (natural) from (gram, n): interpolated modified Kneser-Ney, all orders by joins on n-gram and context."""
-    levels = {ORDER: grams.filter("n > 0").select("gram", "n")}
+    """gram, log_a, log_b (natural) from (gram, a, b): interpolated modified Kneser-Ney for each fold's counts, from the letters up.
+
+    Each order has a row for each of its n-grams that ends an n-gram of the next, so only the highest is as large as ``grams``,
+    and each is stored, for the next one's counts, its contexts and the census to be read from it.
+    """
+    levels = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many letters stand before it
-        levels[k] = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
-    censuses = [t.agg(F.lit(k).alias("k"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.sum("n").alias("total")) for k, t in levels.items()]
-    letters = grams.select(F.substring("gram", ORDER, 1).alias("gram")).distinct().agg(F.lit(0).alias("k"), *[F.lit(0).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("total"))
-    census = letters
-    for c in censuses:
-        census = census.unionByName(c)
+        counted = [F.count_if(F.col(f) > 0).alias(f) for f in FOLDS]
+        levels[k] = stored(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*counted))
+    figures = [x for f in FOLDS for x in (*[F.count_if(F.col(f) == i).alias(f"{f}{i}") for i in (1, 2, 3, 4)], F.count_if(F.col(f) > 0).alias(f"{f}_kinds"), F.sum(f).alias(f"{f}_total"))]
+    census = None
+    for k, level in levels.items():
+        row = level.agg(F.lit(k).alias("k"), F.count("*").alias("kinds"), *figures)
+        census = row if census is None else census.unionByName(row)
     facts = {r["k"]: r for r in census.collect()}
-    cut = {k: _discounts(*[facts[k][f"n{i}"] for i in (1, 2, 3, 4)]) for k in levels}
-
-    def kept(k: int, n: Column) -> Column:
-        d1, d2, d3 = cut[k]
-        return F.greatest(F.lit(0.0), n - F.when(n == 1, d1).when(n == 2, d2).otherwise(d3))
-
-    joined = grams.select("gram", F.col("n").alias(f"n{ORDER}"))
-    for k in range(ORDER, 0, -1):
-        if k < ORDER:
-            own = levels[k].select(F.col("gram").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
-            joined = joined.withColumn(f"g{k}", F.substring("gram", ORDER + 1 - k, k)).join(own, f"g{k}", "left").drop(f"g{k}")
-        if k > 1:
-            d1, d2, d3 = cut[k]
-            n = F.col("n")
-            context = levels[k].groupBy(F.substring("gram", 1, k - 1).alias(f"u{k}")).agg(
-                F.sum("n").alias(f"all{k}"), F.sum(F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)).alias(f"free{k}")
-            )
-            joined = joined.withColumn(f"u{k}", F.substring("gram", ORDER + 1 - k, k - 1)).join(context, f"u{k}", "left").drop(f"u{k}")
-    d1, d2, d3 = cut[1]
-    f = facts[1]
-    total, kinds = max(1, f["total"] or 0), facts[0]["total"] + 1
-    n_all = levels[1].agg(F.count("*")).first()[0]
-    free = d1 * f["n1"] + d2 * f["n2"] + d3 * (n_all - f["n1"] - f["n2"])
-    p = kept(1, F.coalesce("n1", F.lit(0))) / float(total) + (free if n_all else total) / float(total) / kinds
+    cut = {(k, f): _discounts(*[facts[k][f"{f}{i}"] for i in (1, 2, 3, 4)]) for k in levels for f in FOLDS}
+
+    def discount(k: int, f: str) -> Column:
+        d1, d2, d3 = cut[k, f]
+        return F.when(F.col(f) <= 0, 0.0).when(F.col(f) == 1, d1).when(F.col(f) == 2, d2).otherwise(d3)
+
+    letters = []
+    for f in FOLDS:
+        d1, d2, d3 = cut[1, f]
+        total, kinds = facts[1][f"{f}_total"] or 0, facts[1][f"{f}_kinds"]
+        free = d1 * facts[1][f"{f}1"] + d2 * facts[1][f"{f}2"] + d3 * (kinds - facts[1][f"{f}1"] - facts[1][f"{f}2"]) if total else 1.0
+        own = F.greatest(F.lit(0.0), F.col(f) - discount(1, f))
+        letters.append(((own + free / (facts[1]["kinds"] + 1)) / float(max(1, total))).alias(f"p_{f}"))
+    below = levels[1].select("gram", *letters)
     for k in range(2, ORDER + 1):
-        own = kept(k, F.coalesce(f"n{k}", F.lit(0)))
-        p = F.when(F.coalesce(f"all{k}", F.lit(0)) > 0, (own + F.col(f"free{k}") * p) / F.col(f"all{k}")).otherwise(p)
-        joined = joined.withColumn(f"p{k}", p)
-        p = F.col(f"p{k}")
-    return joined.select("gram", F.log(p).cast("float").alias("logp"))
+        stats = [x for f in FOLDS for x in (F.sum(f).alias(f"all_{f}"), F.sum(discount(k, f)).alias(f"free_{f}"))]
+        context = levels[k].groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(*stats)
+        shorter = below.withColumnRenamed("gram", "shorter")
+        joined = levels[k].withColumns({"context": F.substring("gram", 1, k - 1), "shorter": F.substring("gram", 2, k - 1)}).join(context, "context").join(shorter, "shorter")
+        mixed = [
+            F.when(F.col(f"all_{f}") > 0, (F.greatest(F.lit(0.0), F.col(f) - discount(k, f)) + F.col(f"free_{f}") * F.col(f"p_{f}")) / F.col(f"all_{f}")).otherwise(F.col(f"p_{f}")).alias(f"p_{f}")
+            for f in FOLDS
+        ]
+        below = joined.select("gram", *mixed)
+    trained = [f for f in FOLDS if facts[ORDER][f"{f}_total"]]
+    return below.select("gram", *[F.log(f"p_{f if f in trained else trained[0]}").cast("float").alias(f"log_{f}") for f in FOLDS])
+
+
+def fold(doc_id: Column) -> Column:
+    """0 or 1: the fold of a trusted row."""
+    return (F.crc32(doc_id.cast("string").cast("binary")) % 2).cast("int")
 
 
 def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = True, name: str = "perplexity") -> DataFrame:
-    """``docs`` with the perplexity of their text under the model of the trusted rows; ``trusted`` has their ``doc_id``.
+    """``docs`` with the perplexity of their text under the models of the trusted rows; ``trusted`` has their ``doc_id``.
 
     ``with_text=False`` leaves the text out of what comes back.
     """
@@ -212,67 +233,69 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
     chunks = max(LEAST_CHUNKS, -(-chars // CHUNK_CHARS))
     dealt = F.pmod(F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(doc_id).cast("string"))), F.lit(chunks)).cast("int")
     packed = _packed(docs.withColumn(chunk, dealt), chunk)
-    names = trusted.select(F.col(doc_id).cast("string").alias("name")).filter("name IS NOT NULL")
-    marked = names.select(F.pmod(F.xxhash64("name"), F.lit(chunks)).cast("int").alias("chunk"), "name")
+    names = trusted.select(F.col(doc_id).cast("string").alias("name"), fold(F.col(doc_id)).alias("fold")).filter("name IS NOT NULL").distinct()
+    marked = names.select(F.pmod(F.xxhash64("name"), F.lit(chunks)).cast("int").alias("chunk"), "name", "fold")
+
+    def folds(rows: pa.Table, right: pa.Table) -> np.ndarray:
+        """Of each row 0 or 1, or 2 where it isn't trusted."""
+        known = dict(zip(right.column("name").to_pylist(), right.column("fold").to_pylist()))
+        return np.array([2 if i is None else known.get(str(i), 2) for i in rows.column(doc_id).to_pylist()], dtype=np.int64)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("chunk", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
+        schema = pa.schema([("chunk", pa.int32()), ("number", pa.int32()), ("gram", pa.string()), *[(f, pa.int64()) for f in FOLDS]])
         if not left.num_rows:
             return schema.empty_table()
         release_tables()
-        rows, good = _unpacked(left), set(right.column("name").to_pylist())
-        grams = Grams([code_points(t) for t in rows.column(text).to_pylist()])
-        n = grams.counts([i is not None and str(i) in good for i in rows.column(doc_id).to_pylist()])
+        rows = _unpacked(left)
+        of = folds(rows, right)
+        grams = Grams(rows.column(text))
         used = np.flatnonzero(grams.used)
-        found = grams.names()
-        return pa.table([pa.array(np.full(len(used), left.column("chunk")[0].as_py(), np.int32)), pa.array([found[i] for i in used], pa.string()), pa.array(n[used])], schema=schema)
+        n = [pa.array(grams.counts(of == k)[used]) for k in range(2)]
+        return pa.table([pa.array(np.full(len(used), left.column("chunk")[0].as_py(), np.int32)), pa.array(used, pa.int32()), grams.names(used), *n], schema=schema)
 
-    asked = stored(packed.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(count, "chunk int, gram string, n long"))
-    grams = stored(asked.groupBy("gram").agg(F.sum("n").alias("n")))
+    asked = stored(packed.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(count, "chunk int, number int, gram string, a long, b long"))
+    grams = stored(asked.groupBy("gram").agg(*[F.sum(f).alias(f) for f in FOLDS]))
     fields = [f for f in docs.schema.fields if with_text or f.name != text]
     schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
-    known = grams.filter("n > 0").limit(1).count() > 0
-    answers = asked.select("chunk", "gram").join(probabilities(grams), "gram") if known else asked.select("chunk", "gram", F.lit(None).cast("float").alias("logp")).limit(0)
+    if not grams.filter("a > 0 OR b > 0").limit(1).count():
+        forget(asked, grams)
+        return docs.select(*[f.name for f in fields], F.lit(None).cast("double").alias(out))
+    answers = stored(asked.join(probabilities(grams), "gram").select("chunk", "number", "log_a", "log_b"))
+    forget(asked, grams)
+    told = answers.select("chunk", "number", "log_a", "log_b", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("fold"))
+    told = told.unionByName(marked.select("chunk", F.lit(None).cast("int").alias("number"), F.lit(None).cast("float").alias("log_a"), F.lit(None).cast("float").alias("log_b"), "name", "fold"))
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: [] for f in schema.fields})
         release_tables()
         rows = _unpacked(left)
-        grams = Grams([code_points(t) for t in rows.column(text).to_pylist()])
-        value = dict(zip(right.column("gram").to_pylist(), right.column("logp").to_pylist()))
-        logs = np.array([value.get(g, 0.0) for g in grams.names()], dtype=np.float64)
-        total, n = grams.sums(logs)
-        result = [float(np.exp(-t / k)) if k and value else None for t, k in zip(total.tolist(), n.tolist())]
+        marks = right.column("name").is_valid()
+        of = folds(rows, right.filter(marks))
+        grams, known = Grams(rows.column(text)), right.filter(pc.invert(marks))
+        logs = np.zeros((2, len(grams.used)), dtype=np.float32)
+        for k, f in enumerate(FOLDS):
+            logs[k, known.column("number").to_numpy()] = known.column(f"log_{f}").to_numpy()
+        total, n = grams.sums([logs[1], logs[0], logs.mean(axis=0)], of)
+        result = [float(np.exp(-t / k)) if k else None for t, k in zip(total.tolist(), n.tolist())]
         return rows.select([f.name for f in fields]).append_column(out, pa.array(result, pa.float64()))
 
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, schema)
+    return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", with_text: bool = True) -> DataFrame:
-    """``docs`` with perplexity, threshold and kept.  ``labels`` (doc_id, quality, toxic) tells trusted rows (1, not toxic) and bad ones (0)."""
-    ppl, limit, kept, own, log, of, least = column_names(docs, "perplexity", "threshold", "kept", "label_id", "log", "limit_lang", "limit_value")
+    """``docs`` with perplexity, threshold and kept.  ``labels`` (doc_id, quality, toxic) tells the trusted rows (1, not toxic)."""
+    ppl, limit, kept, own, of, most = column_names(docs, "perplexity", "threshold", "kept", "label_id", "limit_lang", "limit_value")
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(own)).agg(F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic"))
-    trusted = known.filter("_quality = 1 AND _toxic = 0")
+    trusted = known.filter("_quality = 1 AND _toxic = 0").select(own)
     scored = stored(score(docs, trusted.withColumnRenamed(own, doc_id), text, doc_id, with_text, ppl))
-    rows = scored.filter(F.col(ppl).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.round(F.log(ppl), 3).alias(log))
-    seen = rows.join(known, F.col("_id") == F.col(own)).withColumn("_good", (F.col("_quality") == 1) & (F.col("_toxic") == 0))
-    good, bad = F.when(F.col("_good"), F.col(log)), F.when(F.col("_quality") == 0, F.col(log))
-    quantiles = [
-        F.percentile(good, F.lit(TRUSTED_QUANTILE)).alias("_high"),
-        F.percentile(bad, F.lit(REJECTED_QUANTILE)).alias("_low"),
-        F.percentile(good, F.lit(TRUSTED_MAX)).alias("_top"),
-    ]
-    overall = seen.agg(*quantiles).first()
-
-    def cut(high: Column, low: Column, top: Column) -> Column:
-        return F.exp(F.greatest((high + low) / 2, top))
-
-    general = cut(*[F.lit(overall[c]).cast("double") for c in ("_high", "_low", "_top")]) if overall["_high"] is not None and overall["_low"] is not None else F.exp(F.lit(overall["_top"]).cast("double"))
-    limits = seen.groupBy("_lang").agg(*quantiles).filter("_high IS NOT NULL AND _low IS NOT NULL").select(F.col("_lang").alias(of), cut(F.col("_high"), F.col("_low"), F.col("_top")).alias(least))
+    rows = scored.filter(F.col(ppl).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.round(F.log(ppl), 3).alias("_log"))
+    seen = rows.join(trusted, F.col("_id") == F.col(own))
+    quantile = F.percentile("_log", F.lit(QUANTILE)).alias(most)
+    overall = seen.agg(quantile).first()[0]
+    limits = seen.groupBy(F.col("_lang").alias(of)).agg(quantile, F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_TRUSTED).drop("_n")
     few = limits.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
     joined = scored.join(F.broadcast(limits) if few else limits, F.col(lang).eqNullSafe(F.col(of)), "left")
-    chosen = joined.withColumn(limit, F.coalesce(least, general)).drop(of, least)
-    modelled = overall["_top"] is not None
-    decision = F.coalesce(F.col(ppl) <= F.col(limit), F.lit(False)) if modelled else F.lit(True)
-    return chosen.withColumn(kept, decision)
+    chosen = joined.withColumn(most, F.coalesce(most, F.lit(overall).cast("double"))).withColumn(limit, F.exp(most))
+    decision = F.coalesce(F.round(F.log(ppl), 3) <= F.col(most), F.lit(False)) if overall is not None else F.lit(True)
+    return chosen.withColumn(kept, decision).drop(of, most)

@@ -124,29 +124,19 @@ def test_quality_edges(spark):
     assert quality.classify(documents(spark, []), labels).count() == 0
 
 
-def test_kneser_ney_by_brute_force(spark):
-    """Every n-gram's probability against a dictionary version; each context's probabilities sum to one over the letters."""
-    r = random.Random(6)
-    texts = ["".join(r.choices("abcd ", k=60)) for _ in range(8)]
-    trusted = set(range(5))
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    scored = {x["doc_id"]: x["perplexity"] for x in quality.score(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+def plain_kneser_ney(padded, trained, kinds):
+    """P(last letter | the others) by dictionaries, from the texts numbered in ``trained``."""
     n = quality.ORDER
-    padded = [" " * (n - 1) + " ".join(t.split()) for t in texts]
-    grams = lambda t: [t[i : i + n] for i in range(len(t) - n + 1)]
-    level = {n: {}}
-    for i in trusted:
-        for g in grams(padded[i]):
+    level = {k: {} for k in range(1, n + 1)}
+    for i in trained:
+        for g in (padded[i][at : at + n] for at in range(len(padded[i]) - n + 1)):
             level[n][g] = level[n].get(g, 0) + 1
     for k in range(n - 1, 0, -1):
-        level[k] = {}
         for g in level[k + 1]:
             level[k][g[1:]] = level[k].get(g[1:], 0) + 1
-    kinds = len({g[-1] for t in padded for g in grams(t)}) + 1
 
     def discount(k, c):
-        ns = [sum(v == i for v in level[k].values()) for i in (1, 2, 3, 4)]
-        return (0, *quality._discounts(*ns))[min(c, 3)]
+        return (0, *quality._discounts(*[sum(v == i for v in level[k].values()) for i in (1, 2, 3, 4)]))[min(c, 3)]
 
     def probability(g):
         k = len(g)
@@ -155,13 +145,48 @@ def test_kneser_ney_by_brute_force(spark):
         below = probability(g[1:]) if k > 1 else 1 / kinds
         if not total:
             return below
-        free = sum(discount(k, c) for c in context.values())
         own = context.get(g, 0)
-        return (max(0.0, own - discount(k, own)) + free * below) / total
+        return (max(0.0, own - discount(k, own)) + sum(discount(k, c) for c in context.values()) * below) / total
+
+    return probability
+
 
+def test_kneser_ney_by_brute_force(spark, monkeypatch):
+    """Perplexities, thresholds and decisions against a dictionary version with a model for each fold."""
+    monkeypatch.setattr(quality, "LEAST_TRUSTED", 5)
+    r = random.Random(6)
+    texts = ["".join(r.choices("abcd ", weights=(5, 3, 1, 1, 2), k=r.randint(30, 90))) for _ in range(22)] + ["dddd cccc"]
+    langs = ["x"] * 14 + ["y"] * 4 + [None] * 5
+    trusted = set(range(0, 16))
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(20, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in quality.classify(docs, labels).collect()}
+    n = quality.ORDER
+    padded = [" " * (n - 1) + " ".join(t.split()) for t in texts]
+    kinds = len({g for t in padded for g in t[n - 1 :]}) + 1
+    of = {i: zlib.crc32(str(i).encode()) % 2 for i in trusted}
+    assert set(of.values()) == {0, 1}
+    models = [plain_kneser_ney(padded, [i for i in trusted if of[i] == k], kinds) for k in (0, 1)]
+    expected = {}
     for i, t in enumerate(padded):
-        logs = [math.log(probability(g)) for g in grams(t)]
-        assert scored[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4)
+        grams = [t[at : at + n] for at in range(len(t) - n + 1)]
+        logs = [-sum(math.log(m(g)) for g in grams) / len(grams) for m in models]
+        expected[i] = math.exp(logs[1 - of[i]] if i in trusted else sum(logs) / 2)
+        assert got[i]["perplexity"] == pytest.approx(expected[i], rel=1e-4)
+    for group in ("x", "y", None):
+        own = [math.log(expected[i]) for i in trusted if langs[i] == group] if group == "x" else [math.log(expected[i]) for i in trusted]
+        cut = math.exp(np.quantile(own, quality.QUANTILE))
+        for i, k in enumerate(langs):
+            if k == group:
+                assert got[i]["threshold"] == pytest.approx(cut, rel=2e-3)
+                assert got[i]["kept"] == (expected[i] <= cut) or abs(math.log(expected[i] / cut)) < 2e-3
+
+
+def test_model_of_one_fold_stands_in(spark):
+    docs = spark.createDataFrame([(i, f"some words here {i}") for i in range(6)], "doc_id long, text string")
+    one = next(i for i in range(6) if zlib.crc32(str(i).encode()) % 2)
+    scored = quality.score(docs, spark.createDataFrame([(one,)], "doc_id long")).collect()
+    assert all(r["perplexity"] > 1 for r in scored)
 
 
 def test_chat_edges(spark):
