@@ -57,8 +57,9 @@ class BpeTransducer:
 
     def _restart(self) -> None:
         """Only the start state: nothing emitted, nothing undecided."""
-        self.states: list[tuple[bytes, tuple[bytes | None, ...]]] = [(b"", (b"",))]  # undecided bytes, last tokens
-        self.number = {self.states[0]: 0}
+        #: Undecided bytes; the last token up to each place among them, where it matters; places where a token to come may begin.
+        self.states: list[tuple[bytes, tuple[bytes | None, ...], tuple[int, ...]]] = [(b"", (b"",), (0,))]
+        self.number = {self.states[0][:2]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
         self.emits: dict[tuple[int, ...], tuple[int, ...]] = {}
@@ -79,8 +80,8 @@ class BpeTransducer:
     def _age(self, token: bytes) -> int:
         return self.ranks[token] if len(token) > 1 else -1
 
-    def _pair_fits(self, left: bytes, right: bytes) -> bool:
-        """Whether BPE leaves ``left`` and ``right`` side by side.
+    def _follows(self, left: bytes, right: bytes) -> bool:
+        """Whether BPE leaves ``right`` as a token next to ``left`` (b"": at the beginning).
 
         Merges are undone from the youngest on; a merge across the boundary spoils the pair if it was due before the
         merge that was undone last (for one on the right also at the same rank: the leftmost goes first).
@@ -88,94 +89,95 @@ class BpeTransducer:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            due, known = 1 << 60, True
-            while True:
+            due, known = 1 << 60, self._halves(right) is not None
+            while known and left:
                 if self.ranks.get(left + right, 1 << 60) < due:
                     known = False
+                elif len(left) == len(right) == 1:
                     break
-                if len(left) == len(right) == 1:
-                    break
-                if self._age(left) > self._age(right):
+                elif self._age(left) > self._age(right):
                     due, left = self.ranks[left], self._halves(left)[1]
                 else:
                     due, right = self.ranks[right] + 1, self._halves(right)[0]
-            if len(self.fits) >= self.limit // 5:
+            if len(self.fits) >= self.limit // 2:
                 self.fits.clear()
             self.fits[key] = known
         return known
 
-    def _last(self, window: bytes, lasts: tuple[bytes | None, ...]) -> bytes | None:
-        """Last token of the encoding up to the window's end; None where it would begin before the window."""
-        end = len(window)
-        for begin in range(max(0, end - self.longest), end):
-            left = lasts[begin]
-            if left is not None and (token := window[begin:]) in self.ranks and self._halves(token) is not None:
-                if not left or self._pair_fits(left, token):
-                    return self.own[token]
-        return None
-
-    @staticmethod
-    def _path(lasts: tuple[bytes | None, ...], end: int) -> list[int]:
-        """Boundaries from the window's beginning to ``end``, following last tokens backwards."""
-        path = [end]
-        while end:
-            end -= len(lasts[end])
-            path.append(end)
-        return path[::-1]
-
     def _compile(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        window, lasts = self.states[state]
+        window, lasts, live = self.states[state]
         window += bytes((byte,))
-        lasts += (self._last(window, lasts),)
-        size, emitted = len(window), ()
-        paths = [self._path(lasts, i) for i in range(size + 1) if lasts[i] is not None and (i == size or window[i:] in self.prefixes)]
-        shared = 0
-        while all(len(p) > shared + 1 for p in paths) and len({p[shared + 1] for p in paths}) == 1:
-            shared += 1
-        if shared:
-            bounds = paths[0][: shared + 1]
-            emitted = tuple(self.ranks[window[a:b]] for a, b in zip(bounds, bounds[1:]))
-            window, lasts = window[bounds[-1] :], lasts[bounds[-1] :]
-        # an end that no later token can begin at, on no such token's path, doesn't matter: forgetting it merges states
-        used = {i - bounds[-1] if shared else i for p in paths for i in p}
-        before = lasts[0] if window in self.prefixes or not window else b""
-        key = (window, (before, *(last if i in used else None for i, last in enumerate(lasts[1:], 1))))
+        size, last, still = len(window), None, []
+        for begin in live:
+            token = window[begin:]
+            if last is None and token in self.ranks and self._follows(lasts[begin], token):
+                last = self.own[token]
+            if token in self.prefixes:
+                still.append(begin)
+        still.append(size)
+        lasts = (*lasts, last)
+        # The boundaries up to each place form a tree; what lies before the last one that all live places share is decided.
+        open_ = set(still)
+        while len(open_) > 1:
+            end = max(open_)
+            open_.discard(end)
+            open_.add(end - len(lasts[end]))
+        cut = at = open_.pop()
+        done = []
+        while at:
+            done.append(self.ranks[lasts[at]])
+            at -= len(lasts[at])
+        emitted = tuple(reversed(done))
+        # A place that no live one's boundaries touch doesn't matter, nor the token before the window if none can begin there:
+        # forgetting them merges states.
+        kept: list[bytes | None] = [None] * (size - cut + 1)
+        for end in still:
+            while end > cut and kept[end - cut] is None:
+                kept[end - cut] = lasts[end]
+                end -= len(lasts[end])
+        kept[0] = lasts[cut] if still[0] == cut else b""
+        key = (window[cut:], tuple(kept))
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
-            self.states.append(key)
+            self.states.append((*key, tuple(i - cut for i in still)))
         move = self.moves[state << 8 | byte] = (to, self.emits.setdefault(emitted, emitted))
         return move
 
     def _finish(self, state: int) -> tuple[int, ...]:
-        window, lasts = self.states[state]
-        bounds = self._path(lasts, len(window))
-        done = self.ends[state] = tuple(self.ranks[window[a:b]] for a, b in zip(bounds, bounds[1:]))
+        window, lasts, _ = self.states[state]
+        at, tokens = len(window), []
+        while at:
+            tokens.append(self.ranks[lasts[at]])
+            at -= len(lasts[at])
+        done = self.ends[state] = tuple(reversed(tokens))
         return done
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Token ids of one piece."""
+        """Token ids of one piece, in time proportional to its length."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         if len(self.moves) > self.limit:
             self._restart()
-        state, ids, moves = 0, (), self.moves
+        state, ids, moves = 0, [], self.moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
                 move = self._compile(state, byte)
+                if len(moves) > 2 * self.limit:  # one endless piece: begin a new table at the state it gets into
+                    own = self.states[move[0]]
+                    self._restart()
+                    moves = self.moves
+                    number = self.number.setdefault(own[:2], 1)
+                    self.states += [own] * number
+                    move = (number, move[1])
             state, emitted = move
             if emitted:
                 ids += emitted
-            if len(moves) > 2 * self.limit:  # one endless piece: begin a new table at the state it is in
-                key = self.states[state]
-                self._restart()
-                moves = self.moves
-                state = self.number.setdefault(key, 1)
-                self.states += [key] * state
         done = self.ends.get(state)
-        return ids + (self._finish(state) if done is None else done)
+        ids += self._finish(state) if done is None else done
+        return tuple(ids)
 
 
 class Encoder(dict):

@@ -60,8 +60,9 @@ def code_points(text: str | None) -> np.ndarray:
 class Grams:
     """Numbers of the n-grams of some texts, order by order from (number of the first letters, last letter).
 
-    They are in the order of their code points, so they don't depend on the order of the texts.  Arrays over all places hold
-    four bytes a place at most; wider ones are made for STEP places at a time.
+    Those that texts hold (``used``) are in the order of their code points whatever the order of the texts; between them are some
+    that only reach from one text into the next.  Arrays over all places hold four bytes a place at most; wider ones are made for
+    STEP places at a time.
     """
 
     def __init__(self, texts: pa.ChunkedArray | pa.Array):
@@ -251,7 +252,8 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
         grams = Grams(rows.column(text))
         used = np.flatnonzero(grams.used)
         n = [pa.array(grams.counts(of == k)[used]) for k in range(2)]
-        return pa.table([pa.array(np.full(len(used), left.column("chunk")[0].as_py(), np.int32)), pa.array(used, pa.int32()), grams.names(used), *n], schema=schema)
+        numbers = np.arange(len(used), dtype=np.int32)
+        return pa.table([pa.array(np.full(len(used), left.column("chunk")[0].as_py(), np.int32)), pa.array(numbers), grams.names(used), *n], schema=schema)
 
     asked = stored(packed.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(count, "chunk int, number int, gram string, a long, b long"))
     grams = stored(asked.groupBy("gram").agg(*[F.sum(f).alias(f) for f in FOLDS]))
@@ -274,8 +276,9 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
         of = folds(rows, right.filter(marks))
         grams, known = Grams(rows.column(text)), right.filter(pc.invert(marks))
         logs = np.zeros((2, len(grams.used)), dtype=np.float32)
+        at = np.flatnonzero(grams.used)[known.column("number").to_numpy()]
         for k, f in enumerate(FOLDS):
-            logs[k, known.column("number").to_numpy()] = known.column(f"log_{f}").to_numpy()
+            logs[k, at] = known.column(f"log_{f}").to_numpy()
         total, n = grams.sums([logs[1], logs[0], logs.mean(axis=0)], of)
         result = [float(np.exp(-t / k)) if k else None for t, k in zip(total.tolist(), n.tolist())]
         return rows.select([f.name for f in fields]).append_column(out, pa.array(result, pa.float64()))

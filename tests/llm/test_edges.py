@@ -182,6 +182,17 @@ def test_kneser_ney_by_brute_force(spark, monkeypatch):
                 assert got[i]["kept"] == (expected[i] <= cut) or abs(math.log(expected[i] / cut)) < 2e-3
 
 
+def test_numbers_of_ngrams_do_not_depend_on_the_order_of_texts():
+    import pyarrow as pa
+
+    texts = ["ab cd", "", "xy", None, "abc abd", "zz top"]
+    named = []
+    for order in (texts, texts[::-1]):
+        grams = quality.Grams(pa.array(order, pa.string()))
+        named.append(grams.names(np.flatnonzero(grams.used)).to_pylist())
+    assert named[0] == named[1] == sorted(set(named[0]))
+
+
 def test_model_of_one_fold_stands_in(spark):
     docs = spark.createDataFrame([(i, f"some words here {i}") for i in range(6)], "doc_id long, text string")
     one = next(i for i in range(6) if zlib.crc32(str(i).encode()) % 2)
