@@ -1,17 +1,17 @@
 """Byte-level BPE encoding and decoding (operator 4).
 
 Encoding. A text is cut by the vocabulary's pattern; each match is run, byte by byte, through a finite-state
-transducer compiled from the ranks.  The transducer is determinised lazily: a state is the last token already
-emitted plus the bytes that are still undecided, and a transition is worked out when it is first taken.  It rests on
+transducer compiled from the ranks.  The transducer is determinised lazily: a state is the bytes that are still undecided and what
+of the last token emitted can still matter to them, and a transition is worked out when it is first taken.  It rests on
 two facts about BPE: (1) a token sequence is the encoding of its bytes exactly if each neighbouring pair is the
 encoding of that pair's bytes, so that each prefix of a piece has one last token; (2) a token that is still to come
 must begin where the bytes read since then are the beginning of some vocabulary entry.  A boundary that all those
 places have in common can't change any more, so the tokens before it are emitted: lookahead is bounded by the longest
 vocabulary entry.  As in the public library, a piece that is itself an entry is that one token.
 
-Decoding. A second transducer reads token ids and emits text: its state is the unfinished UTF-8 sequence (three bytes
-at most), its transitions (state, id) are compiled lazily from a byte-level UTF-8 automaton.  Bytes that can't begin
-or continue a character give U+FFFD, one for each maximal ill-formed part.
+Decoding. Ids come in any portions and give text as soon as it is certain: the state between portions is the unfinished UTF-8
+sequence (three bytes at most).  Bytes that can't begin or continue a character give U+FFFD, one for each maximal ill-formed part,
+by a byte-level UTF-8 automaton; portions that are well-formed up to their unfinished end are decoded as a whole.
 
 Edge cases: a null text is encoded as the empty text (no ids); an empty text has no ids; null ids decode to an empty
 text; an id outside the vocabulary raises ValueError.  Rows are independent: repeated rows stay, other columns pass
@@ -23,13 +23,14 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import Any
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names, worker_tables
+from tessera.llm.common import column_names, no_cycles, worker_tables
 
 #: Moves that a transducer's table may hold, and pieces that a generation of the cache may; beyond it they start anew.
 #: Smaller numbers take less memory (about 350 MB a worker as they are) and more time; results don't change.
@@ -57,8 +58,9 @@ class BpeTransducer:
 
     def _restart(self) -> None:
         """Only the start state: nothing emitted, nothing undecided."""
-        #: Undecided bytes; the last token up to each place among them, where it matters; places where a token to come may begin.
-        self.states: list[tuple[bytes, tuple[bytes | None, ...], tuple[int, ...]]] = [(b"", (b"",), (0,))]
+        #: Undecided bytes; what is left of them, then the last token up to each place among them, where it matters; the places
+        #: where a token to come may begin.
+        self.states: list[tuple[bytes, tuple, tuple[int, ...]]] = [(b"", ((),), (0,))]
         self.number = {self.states[0][:2]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
@@ -80,38 +82,59 @@ class BpeTransducer:
     def _age(self, token: bytes) -> int:
         return self.ranks[token] if len(token) > 1 else -1
 
-    def _follows(self, left: bytes, right: bytes) -> bool:
-        """Whether BPE leaves ``right`` as a token next to ``left`` (b"": at the beginning).
+    def _right_edge(self, token: bytes) -> tuple[tuple[bytes, int, bool], ...]:
+        """The token, its right half, that one's right half and so on, each with the rank of the merge that ends it."""
+        edge, due = [], 1 << 60
+        while token:
+            edge.append((token, due, False))
+            due, token = self.ranks[token], self._halves(token)[1]
+        return tuple(edge)
+
+    def _spoiled(self, edge: tuple[tuple[bytes, int, bool], ...], right: bytes) -> bool:
+        """Whether BPE, with ``edge`` to the left of the token ``right``, merges across the boundary.
 
-        Merges are undone from the youngest on; a merge across the boundary spoils the pair if it was due before the
-        merge that was undone last (for one on the right also at the same rank: the leftmost goes first).
+        It does if some part on the left stands next to some left part of ``right`` when the merge of the two is due: both are
+        there already and neither has been merged further (for the one on the right also at the same rank: the leftmost goes first).
         """
+        part, due = right, 1 << 60
+        while part and edge:
+            age = self._age(part)
+            for other, end, _ in edge:
+                if end > age and due >= self._age(other) and self.ranks.get(other + part, 1 << 60) < min(end, due + 1):
+                    return True
+            due, part = self.ranks[part], self._halves(part)[0]
+        return False
+
+    def _follows(self, left: bytes, right: bytes) -> bool:
+        """Whether BPE leaves the tokens ``left`` and ``right`` side by side."""
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            due, known = 1 << 60, self._halves(right) is not None
-            while known and left:
-                if self.ranks.get(left + right, 1 << 60) < due:
-                    known = False
-                elif len(left) == len(right) == 1:
-                    break
-                elif self._age(left) > self._age(right):
-                    due, left = self.ranks[left], self._halves(left)[1]
-                else:
-                    due, right = self.ranks[right] + 1, self._halves(right)[0]
+            known = self._halves(right) is not None and not self._spoiled(self._right_edge(left), right)
             if len(self.fits) >= self.limit // 2:
                 self.fits.clear()
             self.fits[key] = known
         return known
 
+    def _narrowed(self, edge: tuple[tuple[bytes, int, bool], ...], window: bytes, at: int) -> tuple[tuple[bytes, int, bool], ...]:
+        """What of ``edge`` can spoil a token that begins with ``window``: a merge with a beginning of the window in time, or one
+        with more than the window.  ``at``: how many bytes of the window have been looked at."""
+        kept = []
+        for part, due, sure in edge:
+            sure = sure or any(self.ranks.get(part + window[:n], due) < due for n in range(at + 1, len(window) + 1))
+            if sure or part + window in self.prefixes:
+                kept.append((part, due, sure))
+        return tuple(kept)
+
     def _compile(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         window, lasts, live = self.states[state]
         window += bytes((byte,))
         size, last, still = len(window), None, []
         for begin in live:
             token = window[begin:]
-            if last is None and token in self.ranks and self._follows(lasts[begin], token):
-                last = self.own[token]
+            if last is None and token in self.ranks:
+                if self._follows(lasts[begin], token) if begin else self._halves(token) is not None and not self._spoiled(lasts[0], token):
+                    last = self.own[token]
             if token in self.prefixes:
                 still.append(begin)
         still.append(size)
@@ -128,14 +151,16 @@ class BpeTransducer:
             done.append(self.ranks[lasts[at]])
             at -= len(lasts[at])
         emitted = tuple(reversed(done))
-        # A place that no live one's boundaries touch doesn't matter, nor the token before the window if none can begin there:
-        # forgetting them merges states.
-        kept: list[bytes | None] = [None] * (size - cut + 1)
+        # A place that no live one's boundaries touch doesn't matter, nor what is left of the window where no token can begin
+        # there or be spoiled by it: forgetting them merges states.
+        kept: list[Any] = [None] * (size - cut + 1)
         for end in still:
             while end > cut and kept[end - cut] is None:
                 kept[end - cut] = lasts[end]
                 end -= len(lasts[end])
-        kept[0] = lasts[cut] if still[0] == cut else b""
+        kept[0] = ()
+        if still[0] == cut:
+            kept[0] = self._narrowed(self._right_edge(lasts[cut]), window[cut:], 0) if cut else lasts[0] and self._narrowed(lasts[0], window, size - 1)
         key = (window[cut:], tuple(kept))
         to = self.number.get(key)
         if to is None:
@@ -243,31 +268,38 @@ def utf8_step(pending: bytes, data: bytes) -> tuple[str, bytes]:
     return "".join(out), pending
 
 
+def unfinished(data: bytes) -> int:
+    """How many bytes at the end are the beginning of a character that may still be completed."""
+    for size in range(1, min(3, len(data)) + 1):
+        tail = data[-size:]
+        if not _utf8_continues(b"", tail[0]):  # no continuation byte: a character begins here or nowhere
+            begun = _utf8_length(tail[0]) > size and all(_utf8_continues(tail[:i], tail[i]) for i in range(1, size))
+            return size if begun else 0
+    return 0
+
+
 class Decoder:
-    """Streaming decoder: ``feed`` ids as they come, ``close`` at the end."""
+    """Streaming decoder: ``feed`` ids as they come, ``close`` at the end.
+
+    Its state is the unfinished character (three bytes at most).  What is well-formed up to there is decoded as a whole;
+    only where it isn't does the automaton go byte by byte.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.tables: dict[bytes, dict[int, tuple[str, bytes]]] = {}
         self.pending = b""
 
-    def _compile(self, pending: bytes, token_id: int) -> tuple[str, bytes]:
-        if token_id not in self.tokens:
-            raise ValueError(f"id outside the vocabulary: {token_id}")
-        step = self.tables.setdefault(pending, {})[token_id] = utf8_step(pending, self.tokens[token_id])
-        return step
-
     def feed(self, ids: Iterable[int]) -> str:
-        pending, out, tables = self.pending, [], self.tables
-        table = tables.setdefault(pending, {})
-        for token_id in ids:
-            step = table.get(token_id) or self._compile(pending, token_id)
-            out.append(step[0])
-            if step[1] != pending:
-                pending = step[1]
-                table = tables.setdefault(pending, {})
-        self.pending = pending
-        return "".join(out)
+        try:
+            data = self.pending + b"".join(map(self.tokens.__getitem__, ids))
+        except KeyError as e:
+            raise ValueError(f"id outside the vocabulary: {e.args[0]}") from None
+        left = unfinished(data)
+        try:
+            text, self.pending = data[: len(data) - left].decode("utf-8"), data[len(data) - left :]
+        except UnicodeDecodeError:
+            text, self.pending = utf8_step(b"", data)
+        return text
 
     def close(self) -> str:
         left, self.pending = self.pending, b""
@@ -309,17 +341,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         import numpy as np
 
         encoder, decoder = worker_tables(("bpe", ranks_path, pattern, moves, pieces), make)
-        for batch in _slices(batches):
-            offsets, flat, back = [0], [], []
-            for text in batch.column(at):
-                ids = encoder.encode(text.as_py() or "")
-                if decoded_col:
-                    back.append(decoder.decode(ids))
-                flat.append(np.array(ids, dtype=np.int32))
-                offsets.append(offsets[-1] + len(ids))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
-            done = _with(batch, column, names[0])
-            yield _with(done, pa.array(back, pa.string()), names[1]) if decoded_col else done
+        with no_cycles():
+            for batch in _slices(batches):
+                offsets, flat, back = [0], [], []
+                for text in batch.column(at):
+                    ids = encoder.encode(text.as_py() or "")
+                    if decoded_col:
+                        back.append(decoder.decode(ids))
+                    flat.append(np.array(ids, dtype=np.int32))
+                    offsets.append(offsets[-1] + len(ids))
+                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
+                done = _with(batch, column, names[0])
+                yield _with(done, pa.array(back, pa.string()), names[1]) if decoded_col else done
 
     added = [T.StructField(names[0], T.ArrayType(T.IntegerType())), *(T.StructField(n, T.StringType()) for n in names[1:])]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))

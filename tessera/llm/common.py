@@ -8,7 +8,8 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,6 +127,18 @@ def worker_tables(key: tuple, make: Callable[[], Any]) -> Any:
     return _tables[key]
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the search for cyclic garbage, which goes through large tables again and again where no cycles are made."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def release_tables() -> None:
     """Frees what another operator left in the worker process, for the system too where the C library can."""
     if _tables:

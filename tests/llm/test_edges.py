@@ -57,7 +57,33 @@ def test_bpe_equals_library():
         text = b"".join(r.choice(tokens) for _ in range(r.randint(0, 9))).decode("utf-8", "ignore") + "".join(r.choices("ab é中\n1!😀 ", k=r.randint(0, 9)))
         ids = encoder.encode(text)
         assert ids == library.encode_ordinary(text) and decoder.decode(ids) == text
-    assert encoder.encode("z" * 5000) == library.encode_ordinary("z" * 5000)
+    small = bpe.Encoder(ranks, public_tokenizers.PATTERN, moves=2000, pieces=50)  # tables that begin anew inside one piece
+    for long in ("z" * 5000, "".join(r.choices("abcdefghij", k=100_000))):
+        assert encoder.encode(long) == small.encode(long) == library.encode_ordinary(long)
+
+
+def test_bpe_time_grows_with_a_pieces_length():
+    """One word of a million letters takes seconds; its ids are those of the library, which is quick where merges are few."""
+    import time
+
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = bpe.read_ranks(VOCABULARY)
+    word = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.perf_counter()
+    ids = bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(word)
+    assert time.perf_counter() - began < 60
+    assert ids == tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(word)
+
+
+def test_streaming_decoder_in_portions():
+    r, decoder = random.Random(4), bpe.Decoder({bytes((i,)): i for i in range(256)})
+    for _ in range(3000):
+        data = bytes(r.choice((r.randrange(256), r.choice(b"\xe2\x82\xac\xf0\x9f\x98\x80\xc3\xa9a\xed\xa0\xf4"))) for _ in range(r.randint(0, 9)))
+        text, at, decoder.pending = "", 0, b""
+        while at < len(data):
+            end = at + r.randint(1, 4)
+            text, at = text + decoder.feed(data[at:end]), end
+        assert text + decoder.close() == decoder.decode(data) == data.decode("utf-8", "replace")
 
 
 def test_utf8_automaton():
