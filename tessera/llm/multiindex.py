@@ -1,17 +1,17 @@
 """Approximate nearest neighbours by an inverted multi-index (operator 3).
 
-Each half of the vectors has a codebook of CENTROIDS centroids (k-means on the SAMPLE rows with the least hashes of vec_id); an
-entry is filed in the cell of its two halves' nearest centroids, and every row is filed.  A query visits cells in order
-of its summed distance to the pair of centroids, got lazily with a heap over the two sorted lists (distance being the
-negative inner product, so that the order estimates the score), until the cells visited hold SCANNED of all entries and
-LEAST entries at least; what they hold is reranked by the exact inner product in double precision.
+Each half of the vectors has a codebook (k-means on the SAMPLE rows with the least hashes of vec_id), whose size grows with the square
+root of the rows from LEAST_CENTROIDS to MOST_CENTROIDS; an entry is filed in the cell of its two halves' nearest centroids, and every
+row is filed.  A query visits cells in order of its summed distance to the pair of centroids, got lazily with a heap over the two
+sorted lists (distance being the negative inner product, so that the order estimates the score), until the cells visited hold the
+share SHARE of all entries, however many these are; what they hold is reranked by the exact inner product in double precision.
 
-Vectors without structure are hard for any index: on random unit vectors in 64 dimensions, half the entries give a
-recall of about 0.95 at 20 neighbours (measured, see the README and tests); clustered ones need far less.
+Vectors without structure are hard for any index: on unit vectors in 64 dimensions, 0.45 of the entries give a recall of about 0.93
+at 20 neighbours (measured at several sizes, see the README and tests); clustered ones need far less.
 
 The unit of work is a first-half centroid's cells: entries of a unit over UNIT_ROWS rows are dealt to salts, and queries to
 blocks of UNIT_ROWS, so that a hot cell is no one's burden; each unit returns a query's best k at most.  Cell counts
-(CENTROIDS squared numbers) and codebooks are all that goes to the driver.
+(at most MOST_CENTROIDS squared numbers) and codebooks are all that goes to the driver.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components take no part, neither do those of
 another length than the most common one; null vec_id takes no part; of rows with one vec_id the least embedding counts;
@@ -32,8 +32,8 @@ from tessera.llm.common import stored
 from tessera.llm.groups import whole_groups
 from tessera.llm.rabit import usable
 
-CENTROIDS, SAMPLE, ROUNDS = 64, 8_192, 10
-SCANNED, LEAST, UNIT_ROWS = 0.5, 4_000, 2_048
+LEAST_CENTROIDS, MOST_CENTROIDS, SAMPLE, ROUNDS = 128, 1_024, 16_384, 10
+SHARE, UNIT_ROWS = 0.45, 2_048
 #: How far a matrix product may be from the score summed one by one.
 SLACK = 1e-9
 
@@ -84,8 +84,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each vector whose vec_id is divisible by ``every``."""
+def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHARE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each vector whose vec_id is divisible by ``every``, looking at ``share`` of all."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -93,10 +93,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     if common is None:
         return empty
     rows = rows.filter(F.size("embedding") == common["size"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    centroids = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, int(common["n"] ** 0.5 / 2)))
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     fitted = np.array([r["embedding"] for r in picked])
     half = common["size"] // 2
-    books = codebook(fitted[:, :half], CENTROIDS), codebook(fitted[:, half:], CENTROIDS)
+    books = codebook(fitted[:, :half], centroids), codebook(fitted[:, half:], centroids)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +111,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     for r in entries.groupBy("i", "j").agg(F.count("*").alias("n")).collect():
         counts[r["i"], r["j"]] = r["n"]
     n = int(counts.sum())
-    wanted = max(SCANNED * n, LEAST)
+    wanted = max(share * n, k + 1)
     salts = F.array(*[F.lit(max(1, -(-int(c) // UNIT_ROWS))) for c in counts.sum(axis=1)])
     queries = entries.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // UNIT_ROWS))
