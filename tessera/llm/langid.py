@@ -1,20 +1,25 @@
 """Language identification by cross-parsing entropy (operator 10).
 
 For each language a suffix automaton is built from a bounded sample of labelled text.  A text is parsed greedily with
-each automaton: the longest match with the sample is one phrase, then the next begins.  The fewer phrases a text
-needs for its length, the closer it is to the language; the language with the fewest phrases per character wins, ties
-going to the smaller language name.  Letters are folded to lower case, everything else counts as one space, runs of
-spaces as one.  A greedy parse is a walk through the automaton that restarts at the root when a letter can't follow,
-so it compiles to a dense table of moves which numpy follows for many blocks of text in step.  Texts are parsed whole,
-in blocks of ``BLOCK`` characters: a block's end also ends a phrase, which adds less than one phrase in a thousand
-characters.
+each automaton: the longest match with the sample is one phrase, then the next begins.  The fewer phrases a text needs, the closer it is
+to the language; since matches get longer with the logarithm of what they are looked for in, phrases count that logarithm of the
+sample's length (the cross-entropy estimate, but for the text's own length).  The least wins, ties going to the smaller language
+name.  Letters are folded to lower case, everything else counts as one space, runs of spaces as one.
 
-``score`` is 1 - fewest / runner-up phrases (0: a tie, near 1: much closer than any other; 1 where one language only
-was learnt).
+A greedy parse is a walk through the automaton that restarts at the root when a letter can't follow.  numpy follows it for many
+blocks of text in step, each from the root; where a text has several blocks, the walk that comes out of one goes on into the next until
+it meets the walk that began there, and the difference is put right.  So texts of any length are parsed whole, phrases across blocks
+included.
 
-Bounds: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters of each language are learnt, picked by the smallest hashes
-of doc_id and so the same whatever the partitioning, and of each row its first ``ROW_CHARS`` characters; the samples alone go to the
-executors.  Languages of short documents therefore learn less than ``SAMPLE_CHARS``, and phrase counts aren't corrected for that.
+``score`` is 1 - least / runner-up (0: a tie, near 1: much closer than any other; 1 where one language only was learnt).
+
+Bounds of what is learnt, by language: whole rows of ROW_CHARS characters at most, one from each of SAMPLE_ROWS hash classes of doc_id, in
+order of their hashes as long as SAMPLE_CHARS aren't exceeded; the MOST_LANGUAGES languages with the most rows.  So the same rows
+are learnt whatever the partitioning; nothing else goes to the driver, and the samples alone go to the executors.  Languages whose
+rows are all longer than ROW_CHARS aren't learnt.
+
+An automaton's moves are a table of its states by its own sample's letters, others being one class; where that would exceed TABLE
+entries the moves are sorted keys instead.
 
 Edge cases: null text or one without a letter is ``und`` with score 0; rows with null lang, and repeated rows, are
 predicted like others (null lang isn't learnt); with nothing to learn from, each text is ``und``; an empty table gives
@@ -34,8 +39,9 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import column_names, worker_tables
 
-SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 40, 30_000, 4_000
-BLOCK = 1_024
+SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS, MOST_LANGUAGES = 40, 40_000, 10_000, 500
+#: Characters that are followed in step, and entries of a table of moves.
+BLOCK, TABLE = 1_024, 8_000_000
 UNKNOWN = "und"
 
 
@@ -46,20 +52,15 @@ def learnable(doc_id: str = "doc_id", lang: str = "lang") -> Column:
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
     """Training text by language, within the bounds above; one row of each of SAMPLE_ROWS hash classes, by partial minima."""
-    fold = docs.filter(learnable(doc_id, lang) & F.col(text).isNotNull())
     key = F.xxhash64(F.col(doc_id).cast("string"))
-    least = (
-        fold.select(F.col(lang).alias("lang"), key.alias("key"))
-        .groupBy("lang", F.pmod(F.col("key").bitwiseAND(0xFFFFF), F.lit(SAMPLE_ROWS)).alias("class"))
-        .agg(F.min("key").alias("least"))
-    )
-    picked = [row["least"] for row in least.collect()]
-    if not picked:
-        return {}
-    rows = fold.select(F.col(lang).alias("lang"), key.alias("key"), F.substring(text, 1, ROW_CHARS).alias("text")).filter(F.col("key").isin(picked)).dropDuplicates().collect()
+    fold = docs.filter(learnable(doc_id, lang) & (F.length(text) <= ROW_CHARS)).select(F.col(lang).alias("lang"), key.alias("key"), F.col(text).alias("text"))
+    most = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    least = fold.join(F.broadcast(most), "lang").groupBy("lang", F.pmod(F.col("key").bitwiseAND(0xFFFFF), F.lit(SAMPLE_ROWS)).alias("class")).agg(F.min(F.struct("key", "text")).alias("least"))
     texts: dict[str, str] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["key"], r["text"])):
-        texts[row["lang"]] = (texts.get(row["lang"], "") + " " + row["text"])[:SAMPLE_CHARS]
+    for row in sorted(least.collect(), key=lambda r: (r["lang"], r["least"])):
+        longer = f"{texts.get(row['lang'], '')} {row['least']['text']}"
+        if len(longer) <= SAMPLE_CHARS:
+            texts[row["lang"]] = longer
     return texts
 
 
@@ -94,22 +95,74 @@ class SuffixAutomaton:
             last = new
 
 
+class Walker:
+    """Greedy parses with the automaton of one sample.  A place is a state times the number of letter classes."""
+
+    def __init__(self, text: np.ndarray):
+        """``text``: classes of the sample's letters, common to all languages."""
+        known = np.unique(text)
+        self.own = np.zeros(0x10000 if known.max(initial=0) < 0x10000 else int(known.max()) + 1, dtype=np.int32)  # 0: not in the sample
+        self.own[known] = np.arange(1, len(known) + 1)
+        self.size, self.length = len(known) + 1, len(text)
+        moves = SuffixAutomaton(self.own[text].tolist()).moves
+        self.root = np.ones(self.size, dtype=np.int64)
+        for c, to in moves[0].items():
+            self.root[c] = to * self.size * 2 + 1
+        self.table = self.keys = None
+        if len(moves) * self.size <= TABLE:
+            table = np.tile(self.root.astype(np.int32), (len(moves), 1))
+            for state, out in enumerate(moves[1:], 1):
+                for c, to in out.items():
+                    table[state, c] = to * self.size * 2
+            self.table = table.reshape(-1)
+            self.view = memoryview(self.table)
+        else:
+            pairs = sorted((state * self.size + c, to * self.size * 2) for state, out in enumerate(moves[1:], 1) for c, to in out.items())
+            self.keys = np.array([k for k, _ in pairs], dtype=np.int64)
+            self.targets = np.array([to for _, to in pairs], dtype=np.int64)
+
+    def moves(self, places: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """2 * the next place + (1 where a phrase begins)."""
+        if self.table is not None:
+            return self.table.take(places + letters)
+        wanted = places + letters
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where((self.keys[at] == wanted) & (places > 0), self.targets[at], self.root[letters])
+
+    def _move(self, place: int, letter: int) -> int:
+        if self.table is not None:
+            return self.view[place + letter]
+        return int(self.moves(np.array([place]), np.array([letter]))[0])
+
+    def joined(self, place: int, end: int, letters: list[int]) -> tuple[int, int]:
+        """How many more phrases begin in a block, and where it ends, if the walk enters it at ``place`` and not at the root (where it would end at ``end``)."""
+        more, other = 0, 0
+        for letter in letters:
+            move, own = self._move(place, letter), self._move(other, letter)
+            more += (move & 1) - (own & 1)
+            place, other = move >> 1, own >> 1
+            if place == other:
+                return more, end
+        return more, place
+
+
 class CrossParser:
     """Tables that count the phrases of texts for each language of ``texts``."""
 
     def __init__(self, texts: dict[str, str]):
-        self.languages = sorted(texts)
         letters = sorted({c for text in texts.values() for c in text.lower() if c.isalpha()})
         self.unseen = len(letters) + 1
-        self.size = len(letters) + 2
-        classes = np.zeros(0x110000, dtype=np.uint16)
+        classes = np.zeros(0x110000, dtype=np.uint16 if self.unseen < 0x10000 else np.int32)
         classes[[c for c in range(0x110000) if chr(c).isalpha()]] = self.unseen
         for number, letter in enumerate(letters, 1):
             classes[ord(letter)] = number
             if len(upper := letter.upper()) == 1:
                 classes[ord(upper)] = number
         self.classes = classes
-        self.tables = [self._table(texts[lang]) for lang in self.languages]
+        folded = {lang: self.fold(text) for lang, text in texts.items()}
+        self.languages = sorted(lang for lang, text in folded.items() if text.any())
+        self.walkers = [Walker(folded[lang]) for lang in self.languages]
+        self.weights = np.array([np.log(1 + w.length) for w in self.walkers])
 
     def fold(self, text: str) -> np.ndarray:
         """Classes of a text: 0 for a run of anything but letters."""
@@ -118,22 +171,10 @@ class CrossParser:
         keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
         return found[keep]
 
-    def _table(self, text: str) -> np.ndarray:
-        """Moves as 2 * (row of the next state) + (1 where a phrase begins)."""
-        moves = SuffixAutomaton(self.fold(text).tolist()).moves
-        root = np.ones(self.size, dtype=np.int32)
-        for c, to in moves[0].items():
-            root[c] = to * self.size * 2 + 1
-        table = np.tile(root, (len(moves), 1))
-        for state, out in enumerate(moves[1:], 1):
-            for c, to in out.items():
-                table[state, c] = to * self.size * 2
-        return table.reshape(-1)
-
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases [text, language] and folded lengths; length 0 for texts without a letter."""
-        folded = [self.fold(text) if text else np.zeros(0, np.uint16) for text in texts]
-        sizes = np.array([len(x) if x.any() else 0 for x in folded])
+        folded = [self.fold(text) if text else np.zeros(0, self.classes.dtype) for text in texts]
+        sizes = np.array([len(x) if x.any() else 0 for x in folded], dtype=np.int64)
         owner, start, length, base = [], [], [], 0
         for i, x in enumerate(folded):
             if sizes[i]:
@@ -145,26 +186,30 @@ class CrossParser:
         counts = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         if not owner:
             return counts, sizes
-        stream = np.concatenate(folded).astype(np.int32)
+        stream = np.concatenate(folded)
         order = np.argsort(-np.array(length), kind="stable")
-        owner, start, length = np.array(owner)[order], np.array(start)[order], np.array(length)[order]
-        active = np.searchsorted(-length, -np.arange(length[0]), side="left")  # blocks longer than each step
-        rows = [np.zeros(len(owner), dtype=np.int32) for _ in self.tables]
-        begun = [np.zeros(len(owner), dtype=np.int32) for _ in self.tables]
-        for step, n in enumerate(active.tolist()):
-            letter = stream.take(start[:n] + step)
-            for row, count, table in zip(rows, begun, self.tables):
-                move = table.take(row[:n] + letter)
-                count[:n] += move & 1
-                row[:n] = move >> 1
-        for k, count in enumerate(begun):
-            counts[:, k] = np.bincount(owner, weights=count, minlength=len(texts))
+        owners, starts, lengths = np.array(owner), np.array(start)[order], np.array(length)[order]
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()  # blocks longer than each step
+        later = np.flatnonzero(owners[1:] == owners[:-1]) + 1  # blocks that go on with a text
+        for k, walker in enumerate(self.walkers):
+            letters = walker.own.take(stream)
+            places, begun = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+            for step, n in enumerate(active):
+                move = walker.moves(places[:n], letters.take(starts[:n] + step))
+                begun[:n] += move & 1
+                places[:n] = move >> 1
+            counted, ends = np.empty_like(begun), np.empty_like(places)
+            counted[order], ends[order] = begun, places
+            for b in later.tolist():
+                more, ends[b] = walker.joined(int(ends[b - 1]), int(ends[b]), letters[start[b] : start[b] + length[b]].tolist())
+                counted[b] += more
+            counts[:, k] = np.bincount(owners, weights=counted, minlength=len(texts))
         return counts, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         counts, sizes = self.phrases(texts)
         names, scores = [], []
-        for row, size in zip(counts, sizes):
+        for row, size in zip(counts * self.weights, sizes):
             if not size or not self.languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)

@@ -113,22 +113,52 @@ def test_language_edges(spark):
     assert langid.identify(documents(spark, []), langid.sample(documents(spark, []))).count() == 0
 
 
-def test_phrases_are_a_greedy_parse():
+def greedy_phrases(parser, train, text):
+    """The parse by substring search."""
+    known, probe = ("".join(chr(0x100 + c) for c in parser.fold(t).tolist()) for t in (train, text))
+    n = at = 0
+    while at < len(probe):
+        end = at
+        while end < len(probe) and probe[at : end + 1] in known:
+            end += 1
+        n, at = n + 1, max(end, at + 1)
+    return n
+
+
+@pytest.mark.parametrize("table, block", [(8_000_000, 1024), (8_000_000, 7), (10, 16)])
+def test_phrases_are_a_greedy_parse(monkeypatch, table, block):
+    """Whole texts, across any blocks, with tables of moves and with keys."""
+    monkeypatch.setattr(langid, "TABLE", table)
+    monkeypatch.setattr(langid, "BLOCK", block)
     r = random.Random(5)
-    train = "".join(r.choices("abc ", k=300))
-    parser = langid.CrossParser({"x": train})
-    text = parser.fold(train).tolist()
-    known = {tuple(text[i:j]) for i in range(len(text)) for j in range(i + 1, min(len(text), i + 40) + 1)}
+    train = {"x": "".join(r.choices("abc ", k=300)), "y": "".join(r.choices("abd ", k=100))}
+    parser = langid.CrossParser(train)
     for _ in range(100):
-        probe = "".join(r.choices("abcd .", k=r.randint(1, 200)))
-        folded, phrases, at = parser.fold(probe).tolist(), 0, 0
-        while at < len(folded):
-            end = at
-            while end < len(folded) and tuple(folded[at : end + 1]) in known:
-                end += 1
-            phrases, at = phrases + 1, max(end, at + 1)
-        counts, sizes = parser.phrases([probe])
-        assert not sizes[0] or counts[0, 0] == phrases
+        probe = "".join(r.choices("abcde .", weights=(9, 9, 9, 9, 1, 2, 2), k=r.randint(1, 3000 if table > 10 else 300)))
+        counts, sizes = parser.phrases([None, probe, ""])
+        assert not sizes[1] or counts[1].tolist() == [greedy_phrases(parser, train[k], probe) for k in "xy"]
+        costs = {k: greedy_phrases(parser, train[k], probe) * math.log(1 + len(parser.fold(train[k]))) for k in "xy"}
+        if sizes[1]:
+            (name,), (score,) = parser.predict([probe])
+            assert name == min(costs, key=lambda k: (costs[k], k)) and score == pytest.approx(1 - min(costs.values()) / max(costs.values()))
+
+
+def test_language_of_unequal_samples():
+    """A language with a fiftieth of the other's sample still wins its own texts: phrases are weighed by the samples' lengths."""
+    r = random.Random(15)
+    words = {k: ["".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(150)] for k, letters in (("long", "aeioubdgklmnrst"), ("short", "aeiouybdgklmnpt"))}
+    text = lambda k, n: " ".join(r.choices(words[k], k=n))
+    parser = langid.CrossParser({"long": text("long", 6000), "short": text("short", 120)})
+    for k in words:
+        assert sum(name == k for name in parser.predict([text(k, 60) for _ in range(100)])[0]) >= 95
+
+
+def test_language_sample_is_bounded(spark):
+    one = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, f"wort {i} " * 50, "de") for i in range(3000)] + [(i, "word " * 100, "en") for i in range(2000)] + [(9000 + i, "x" * 20_000, "long") for i in range(9)]
+    texts = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(texts) == {"de", "en"} and all(len(t) <= langid.SAMPLE_CHARS for t in texts.values())
+    assert texts["de"].strip() in {t.strip() for _, t, _ in rows}  # one row of a repeated doc_id, whole
 
 
 def test_quality_edges(spark):
@@ -389,7 +419,7 @@ def test_code_bounds_hold():
 
 def test_nearest_neighbours(spark):
     rows = vectors(spark)
-    got = multiindex.search(clashing(spark.createDataFrame(rows, VECTORS), "rank", "score"), k=5, every=20).collect()
+    got = multiindex.search(clashing(spark.createDataFrame(rows, VECTORS), "rank", "score"), k=5, every=20, share=1.0).collect()
     own = {i: np.array(v, dtype=np.float32).astype(float) for i, v, _ in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
     asked = [i for i in own if i % 20 == 0]
     assert {r["query_id"] for r in got} == set(asked)
@@ -409,19 +439,20 @@ def test_multi_sequence_order():
     assert sums == sorted(sums) and len(cells) == len(set(cells)) == (counts > 0).sum()
 
 
-def test_recall_on_random_vectors(spark):
+@pytest.mark.parametrize("n, every", [(400, 4), (2500, 25), (9000, 200)])
+def test_recall_on_random_vectors(spark, n, every):
+    """0.9 and more against brute force at every size, with no vector looked at without its cell being visited."""
     g = np.random.default_rng(14)
-    x = g.standard_normal((9000, 64))
+    x = g.standard_normal((n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = multiindex.search(df, k=20, every=200).collect()
-    hits = 0
-    x = x.astype(np.float32).astype(float)
-    for q in range(0, 9000, 200):
+    got = multiindex.search(df, k=20, every=every).collect()
+    hits, x = 0, x.astype(np.float32).astype(float)
+    for q in range(0, n, every):
         s = x @ x[q]
         s[q] = -9
         hits += len(set(np.argsort(-s)[:20].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
-    assert hits / (20 * 45) >= 0.9
+    assert hits / (20 * len(range(0, n, every))) >= 0.9
 
 
 PAGES = "page_id long, url string, html string"
