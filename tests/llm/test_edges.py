@@ -387,7 +387,7 @@ def vectors(spark, n=120, dimension=16):
     rows = [(i, g.standard_normal(dimension).astype(float).tolist(), i % 3) for i in range(n)]
     rows += [(n + i, (np.array(rows[i % 5][1]) + 0.02 * g.standard_normal(dimension)).tolist(), rows[i % 5][2]) for i in range(40)]
     rows += [(500, None, 1), (501, [0.0] * dimension, 1), (502, [float("nan")] * dimension, 1), (503, [None] + [1.0] * (dimension - 1), 1), (504, [float("inf")] * dimension, 1), (505, rows[0][1], None), (506, [1.0, 2.0], 0), (507, [], 0)]
-    rows += [(520, rows[0][1], 0), (540, rows[0][1], 0), (0, rows[0][1], 0)]
+    rows += [(520, rows[0][1], 0), (540, rows[0][1], 0), (0, rows[0][1], 0), (0, rows[0][1], None), (0, None, 0)]
     return rows
 
 
@@ -408,13 +408,33 @@ def test_embedding_links(spark, monkeypatch):
 
 
 def test_code_bounds_hold():
+    """Estimates are those of plain products, are unbiased over rotations' signs, and their bounds leave out no pair at the threshold."""
     g = np.random.default_rng(12)
-    x = g.standard_normal((300, 64))
-    x[150:] = x[:150] + 0.35 * g.standard_normal((150, 64)) * g.random((150, 1))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code, factor = rabit.codes(x)
-    maybe = rabit.allowed(code, factor, x @ rabit.rotation(64), 0.93)
-    assert maybe[(x @ x.T) >= 0.93].all() and maybe.mean() < 0.05
+    for dimension in (5, 64, 100):
+        x = g.standard_normal((300, dimension))
+        x[150:] = x[:150] + 0.35 * g.standard_normal((150, dimension)) * g.random((150, 1))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        codes = rabit.Codes.of(x)
+        turned = x @ rabit.rotation(dimension)
+        signs = np.where(turned >= 0, 1, -1) / np.sqrt(dimension)
+        rounded = codes.least[:, None] + codes.step[:, None] * np.rint((turned - codes.least[:, None]) / codes.step[:, None])
+        assert codes.estimates(codes) == pytest.approx(signs @ rounded.T, abs=1e-9)
+        assert codes.factor == pytest.approx((signs * turned).sum(axis=1)) and codes.lack == pytest.approx(np.linalg.norm(turned - rounded, axis=1))
+        maybe = codes.allowed(codes, 0.93)
+        assert maybe[(x @ x.T) >= 0.93].all()
+        assert dimension < 64 or maybe.mean() < 0.1
+        if dimension == 64:
+            assert abs((codes.estimates(codes) / codes.factor[:, None] - x @ x.T)[~np.eye(300, dtype=bool)].mean()) < 0.01
+
+
+def test_embedding_links_of_a_hot_group(spark, monkeypatch):
+    """A third of the rows are one vector, another third near copies of it: counts include copies, which are never paired one by one."""
+    monkeypatch.setattr(rabit, "BLOCK", 32)
+    g = np.random.default_rng(17)
+    base = g.standard_normal(64)
+    rows = [(i, base.tolist(), "x") for i in range(200)] + [(200 + i, (base + 0.02 * g.standard_normal(64)).tolist(), "x") for i in range(200)] + [(400 + i, g.standard_normal(64).tolist(), "x" if i % 2 else "y") for i in range(200)]
+    got = {r["vec_id"]: r for r in rabit.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (399, 0) for i in range(400)) and all(got[i]["n_links"] == 0 for i in range(400, 600))
 
 
 def test_nearest_neighbours(spark):
