@@ -290,6 +290,13 @@ def test_mixing_edges(spark):
     assert counted["a"] == pytest.approx(1000, rel=0.1) and counted["b"] == pytest.approx(1_400_000, rel=0.01)
 
 
+def test_mixing_spreads_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i}", "en", "s", 1) for i in range(2000)], DOCS)
+    mixed = mixing.replicate(docs, spark.createDataFrame([("s", 1.0)], "source string, rate double"))
+    sizes = [r["n"] for r in mixed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.3 * min(sizes) and sum(sizes) == pytest.approx(2000, rel=0.1)
+
+
 def test_mixing_large_sources_join(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     docs = documents(spark)
