@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from typing import NamedTuple
 
@@ -20,9 +21,14 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside body div footer form main nav ol section table td th ul".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!?][^>]*\Z""", re.S)
+#: A quoted value begins after an equals sign only, and its end is followed by the end of the attribute; other quotes are just characters.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+"[^"]*+"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])|[^>])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!?][^>]*\Z""", re.S
+)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
+#: Elements at either end of a path that are named; what lies between them in pages nested deeper isn't.
+ENDS = 24
 
 
 class Block(NamedTuple):
@@ -46,10 +52,11 @@ def blocks(html: str | None) -> list[Block]:
     Formulas and what stands in for objects and canvases are text; annotations of formulas, which aren't shown, are raw.
 
     Forgiving as browsers are: a new block ends an open paragraph, a new item its sibling, a stray end tag is ignored,
-    and a tag, comment or raw element that the page's end cuts off is dropped.
+    and a tag, comment or raw element that the page's end cuts off is dropped.  A quote that doesn't enclose a value swallows nothing.
     """
     page, out = html or "", []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_: Counter[str] = Counter()  # elements of the stack by name: what isn't there needn't be looked for
     held: list[str] = []
     links, linked, at = 0, 0, 0
 
@@ -58,14 +65,17 @@ def blocks(html: str | None) -> list[Block]:
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(n for _, names in stack for n in names), text, linked))
+                shown = stack if len(stack) <= 2 * ENDS else stack[:ENDS] + stack[-ENDS:]
+                out.append(Block(tuple(n for _, names in shown for n in names), text, linked))
             held.clear()
         linked = 0
 
     def pop_to(index: int) -> None:
         nonlocal links
         flush()
-        links -= sum(name == "a" for name, _ in stack[index:])
+        gone = Counter(name for name, _ in stack[index:])
+        links -= gone["a"]
+        open_.subtract(gone)
         del stack[index:]
 
     while True:
@@ -83,10 +93,11 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if token[1]:
-            for index in range(len(stack) - 1, -1, -1):
+            for index in range(len(stack) - 1 if open_[tag] else -1, -1, -1):
                 if stack[index][0] == tag:
                     if tag in INLINE:
                         links -= tag == "a"
+                        open_[tag] -= 1
                         del stack[index]
                     else:
                         pop_to(index)
@@ -115,7 +126,8 @@ def blocks(html: str | None) -> list[Block]:
         else:
             flush()
             enders = SIBLINGS.get(tag, ())
-            for index in range(len(stack) - 1, -1, -1):
+            wanted = open_["p"] and tag in CLOSES_P or any(open_[name] for name in enders)
+            for index in range(len(stack) - 1 if wanted else -1, -1, -1):
                 name = stack[index][0]
                 if name == "p" and tag in CLOSES_P or name in enders:
                     pop_to(index)
@@ -124,6 +136,7 @@ def blocks(html: str | None) -> list[Block]:
                     break
         if not token[3].rstrip().endswith("/"):
             stack.append((tag, names_of(tag, token[3])))
+            open_[tag] += 1
         elif tag == "a":
             links -= 1
     flush()

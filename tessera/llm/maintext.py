@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.blocklstm import BlockLabeller, Pages
-from tessera.llm.common import column_names
+from tessera.llm.common import column_names, in_arrow
 from tessera.llm.htmlblocks import Block, blocks
 
 TRAINING_PAGES, EPOCHS, SEED = 700, 8, 11
@@ -129,7 +129,7 @@ class _Writer:
         if not parts:
             parts.append(f"<p>{m}{self.sentences(1, 2)}</p>")
         for kind in (ADVERTS, ADVERTS, SIDES, FORMS, NOTICES):
-            if r.random() < 0.15:
+            if r.random() < 0.3:
                 parts.insert(r.randint(0, len(parts)), self.other(kind))
         return "".join(parts)
 
@@ -195,4 +195,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", la
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(main_texts(model, htmls[begin : i + 1]), pa.string())], names=[*part.schema.names, name])
                     begin, size = i + 1, 0
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())]))
+    return pages.transform(in_arrow, run, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())]))

@@ -19,3 +19,28 @@ def test_formula_object_and_canvas_text_stays():
 
 def test_raw_elements_stay_out():
     assert [b.text for b in blocks("<p>a<script/>no</script>b</p><svg><text>no</text></svg><p>c</p>")] == ["ab", "c"]
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<div title=don't>It's text one</div><p>second it's</p>", ["It's text one", "second it's"]),
+        ('<p class="x>broken</p><p class="y">next "quoted" one</p>', ["broken", 'next "quoted" one']),
+        ("<p class='x>broken</p><p>it's next</p>", ["broken", "it's next"]),
+        ('<p title="a > b">in</p><p title=\'c > d\' id=e>out</p>', ["in", "out"]),
+        ('<a href="x"class="y">tight</a><p data-x = "1" >wide</p>', ["tight", "wide"]),
+        ('<p title="5" 6">inches</p>', ["inches"]),
+    ],
+)
+def test_quotes_swallow_no_text(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for tag in ("div", "blockquote", "b", "h2"):
+        found = blocks(f"<{tag}>x" * 20_000 + f"</{tag}></i>" * 20_000 + "<p>end</p>")
+        assert found[-1].text.endswith("end")
+    assert time.perf_counter() - began < 20
