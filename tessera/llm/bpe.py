@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names, no_cycles, worker_tables
+from tessera.llm.common import column_names, in_arrow, no_cycles, worker_tables
 
 #: Moves that a transducer's table may hold, and pieces that a generation of the cache may; beyond it they start anew.
 #: Smaller numbers take less memory (about 115 MB a worker as they are, over the vocabulary) and more time; results don't change.
@@ -355,7 +355,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 yield _with(done, pa.array(back, pa.string()), names[1]) if decoded_col else done
 
     added = [T.StructField(names[0], T.ArrayType(T.IntegerType())), *(T.StructField(n, T.StringType()) for n in names[1:])]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.transform(in_arrow, run, T.StructType([*docs.schema.fields, *added]), keeps=True)
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -369,4 +369,4 @@ def decode(docs: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_co
             texts = [coder.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in batch.column(at)]
             yield _with(batch, pa.array(texts, pa.string()), name)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return docs.transform(in_arrow, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]), keeps=True)

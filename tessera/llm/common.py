@@ -10,8 +10,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Removes a query's shuffle files as soon as it ends.
@@ -140,11 +142,55 @@ def no_cycles() -> Iterator[None]:
 
 
 def release_tables() -> None:
-    """Frees what another operator left in the worker process, for the system too where the C library can."""
-    if _tables:
-        _tables.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass
+    """Frees what another operator left in the worker process."""
+    _tables.clear()
+
+
+#: Bytes that an Arrow batch to a worker holds (one row at least), where the session doesn't say: texts are long.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Arrays from this size on go back to the system when they are freed.
+MAPPED_BYTES = 8 << 20
+_M_MMAP_THRESHOLD = -3
+
+
+@cache
+def _libc() -> Any:
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_M_MMAP_THRESHOLD, MAPPED_BYTES)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except (AttributeError, OSError):
+        return None
+
+
+@contextmanager
+def lean(keeps: bool = False) -> Iterator[None]:
+    """For a task's work in a worker, which is reused and idle in between: what was freed goes back to the system.
+
+    ``keeps``: the operator has tables in the worker, which stay; else those of others go first.
+    """
+    libc = _libc()
+    if not keeps:
+        release_tables()
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        if libc is not None:
+            libc.malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any, keeps: bool = False) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes and lean workers."""
+    small_batches(df.sparkSession)
+
+    def leanly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean(keeps):
+            yield from run(batches)
+
+    return df.mapInArrow(leanly, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))

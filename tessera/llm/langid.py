@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names, worker_tables
+from tessera.llm.common import column_names, in_arrow, worker_tables
 
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS, MOST_LANGUAGES = 40, 40_000, 10_000, 500
 #: Characters that are followed in step, and entries of a table of moves.
@@ -250,4 +250,4 @@ def identify(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lan
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_name, score_name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))
+    return docs.transform(in_arrow, run, T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]), keeps=True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import in_arrow, stored
 from tessera.llm.groups import whole_groups
 from tessera.llm.rabit import usable
 
@@ -106,7 +106,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHAR
                 i, j = nearest_centroid(x[:, :half], books[0]), nearest_centroid(x[:, half:], books[1])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=["vec_id", "embedding", "i", "j"])
 
-    entries = stored(rows.select("vec_id", "embedding").mapInArrow(file, "vec_id long, embedding array<double>, i int, j int"))
+    entries = stored(rows.select("vec_id", "embedding").transform(in_arrow, file, "vec_id long, embedding array<double>, i int, j int"))
     counts = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
     for r in entries.groupBy("i", "j").agg(F.count("*").alias("n")).collect():
         counts[r["i"], r["j"]] = r["n"]
@@ -135,7 +135,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHAR
             found = batch.select(["vec_id", "embedding"]).take(pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays([*found.columns, pa.array(units, pa.int32()), pa.array(bits, pa.binary())], names=["vec_id", "embedding", "i", "cells"])
 
-    asked = queries.select("vec_id", "embedding").mapInArrow(walk, "vec_id long, embedding array<double>, i int, cells binary")
+    asked = queries.select("vec_id", "embedding").transform(in_arrow, walk, "vec_id long, embedding array<double>, i int, cells binary")
     unit_salts = F.element_at(salts, F.col("i") + 1)
     asked = asked.select(
         "vec_id", "embedding", "i", F.explode(F.sequence(F.lit(0), unit_salts - 1)).alias("salt"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(-1).alias("j"), "cells"
@@ -180,5 +180,5 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHAR
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["i", "salt", "block"]
-    found = filed.unionByName(asked).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(rerank, "query_id long, vec_id long, score double")
-    return found.repartition(parts, "query_id").sortWithinPartitions("query_id").mapInArrow(merge, empty.schema)
+    found = filed.unionByName(asked).repartition(parts, *keys).sortWithinPartitions(*keys).transform(in_arrow, rerank, "query_id long, vec_id long, score double")
+    return found.repartition(parts, "query_id").sortWithinPartitions("query_id").transform(in_arrow, merge, empty.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import column_names, forget, release_tables, stored
+from tessera.llm.common import column_names, forget, in_arrow, lean, small_batches, stored
 
 ORDER, PAD, FOLDS = 5, 0x20, ("a", "b")
 CHUNK_CHARS, LEAST_CHUNKS = 12_000_000, 16
@@ -160,7 +160,7 @@ def _packed(docs: DataFrame, chunk: str) -> DataFrame:
                 blobs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "packed"])
 
-    return docs.mapInArrow(pack, "chunk int, packed binary")
+    return docs.transform(in_arrow, pack, "chunk int, packed binary")
 
 
 def _unpacked(packed: pa.Table) -> pa.Table:
@@ -246,15 +246,17 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
         schema = pa.schema([("chunk", pa.int32()), ("number", pa.int32()), ("gram", pa.string()), *[(f, pa.int64()) for f in FOLDS]])
         if not left.num_rows:
             return schema.empty_table()
-        release_tables()
-        rows = _unpacked(left)
-        of = folds(rows, right)
-        grams = Grams(rows.column(text))
-        used = np.flatnonzero(grams.used)
-        n = [pa.array(grams.counts(of == k)[used]) for k in range(2)]
-        numbers = np.arange(len(used), dtype=np.int32)
-        return pa.table([pa.array(np.full(len(used), left.column("chunk")[0].as_py(), np.int32)), pa.array(numbers), grams.names(used), *n], schema=schema)
-
+        with lean():
+            rows = _unpacked(left)
+            of = folds(rows, right)
+            grams = Grams(rows.column(text))
+            used = np.flatnonzero(grams.used)
+            n = [pa.array(grams.counts(of == k)[used]) for k in range(2)]
+            numbers = np.arange(len(used), dtype=np.int32)
+            chunk_of = np.full(len(used), left.column("chunk")[0].as_py(), np.int32)
+            return pa.table([pa.array(chunk_of), pa.array(numbers), grams.names(used), *n], schema=schema)
+
+    small_batches(docs.sparkSession)
     asked = stored(packed.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(count, "chunk int, number int, gram string, a long, b long"))
     grams = stored(asked.groupBy("gram").agg(*[F.sum(f).alias(f) for f in FOLDS]))
     fields = [f for f in docs.schema.fields if with_text or f.name != text]
@@ -270,18 +272,19 @@ def score(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: [] for f in schema.fields})
-        release_tables()
-        rows = _unpacked(left)
-        marks = right.column("name").is_valid()
-        of = folds(rows, right.filter(marks))
-        grams, known = Grams(rows.column(text)), right.filter(pc.invert(marks))
-        logs = np.zeros((2, len(grams.used)), dtype=np.float32)
-        at = np.flatnonzero(grams.used)[known.column("number").to_numpy()]
-        for k, f in enumerate(FOLDS):
-            logs[k, at] = known.column(f"log_{f}").to_numpy()
-        total, n = grams.sums([logs[1], logs[0], logs.mean(axis=0)], of)
-        result = [float(np.exp(-t / k)) if k else None for t, k in zip(total.tolist(), n.tolist())]
-        return rows.select([f.name for f in fields]).append_column(out, pa.array(result, pa.float64()))
+        with lean():
+            rows = _unpacked(left)
+            marks = right.column("name").is_valid()
+            of = folds(rows, right.filter(marks))
+            grams, known = Grams(rows.column(text)), right.filter(pc.invert(marks))
+            logs = np.zeros((3, len(grams.used)), dtype=np.float32)
+            at = np.flatnonzero(grams.used)[known.column("number").to_numpy()]
+            for k, f in enumerate(FOLDS):  # a fold's rows are scored by the other one's model
+                logs[1 - k, at] = known.column(f"log_{f}").to_numpy()
+            logs[2] = (logs[0] + logs[1]) / 2
+            total, n = grams.sums(list(logs), of)
+            result = [float(np.exp(-t / k)) if k else None for t, k in zip(total.tolist(), n.tolist())]
+            return rows.select([f.name for f in fields]).append_column(out, pa.array(result, pa.float64()))
 
     return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add, schema)
 

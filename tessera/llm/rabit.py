@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, stored
+from tessera.llm.common import forget, in_arrow, stored
 from tessera.llm.components import block_pairs, components
 from tessera.llm.groups import Forest, whole_groups
 
@@ -159,7 +159,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     equal = stored(named.groupBy(*whole).agg(F.min("vec_id").alias("name"), F.count("*").alias("copies")))  # a row for each different vector
     kind = equal.schema["label"].dataType.simpleString()
     schema = f"name long, label {kind}, size int, copies long, bits binary, factor double, step double, low double, total double, lack double"
-    coded = stored(equal.select("name", "label", "size", "copies", "embedding").mapInArrow(_coded, schema))
+    coded = stored(equal.select("name", "label", "size", "copies", "embedding").transform(in_arrow, _coded, schema))
     units = block_pairs(coded, ["label", "size"], "name", BLOCK)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["label", "size", "i", "j"]
@@ -195,9 +195,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.array(count[found]), pa.array(names[forest.root[found]])], names=["a", "n", "b"])
 
     left = f"name long, copies long, label {kind}, size int, i int, j int, left boolean"
-    asked = stored(units.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(screen, left))
+    asked = stored(units.repartition(parts, *keys).sortWithinPartitions(*keys).transform(in_arrow, screen, left))
     again = asked.join(equal.select("name", "embedding"), "name").repartition(parts, *keys).sortWithinPartitions(*keys)
-    found = stored(again.mapInArrow(recompute, "a long, n long, b long"))
+    found = stored(again.transform(in_arrow, recompute, "a long, n long, b long"))
     counts = found.groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("links"))
     parts_of = components(found.select("a", "b")).withColumnRenamed("node", "name")
     told = stored(equal.join(counts, "name", "left").join(parts_of, "name", "left").select(*whole, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "name").alias("component")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release_tables, stored
+from tessera.llm.common import in_arrow, stored
 from tessera.llm.components import block_pairs, components
 from tessera.llm.groups import Forest, whole_groups
 
@@ -74,7 +74,6 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     """doc_id, fp (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_tables()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
@@ -82,7 +81,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(in_arrow, run, f"doc_id {kind}, fp long")
 
 
 def _filed(nodes: DataFrame) -> DataFrame:
@@ -129,7 +128,7 @@ def links(nodes: DataFrame) -> DataFrame:
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     units = block_pairs(filed.join(shared, "key", "left_semi"), ["key"], "fp", BLOCK)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links, "a long, b long")
+    return units.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, _links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE) -> DataFrame:
