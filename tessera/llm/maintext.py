@@ -27,7 +27,7 @@ from tessera.llm.blocklstm import BlockLabeller, Pages
 from tessera.llm.common import column_names, in_arrow
 from tessera.llm.htmlblocks import Block, blocks
 
-TRAINING_PAGES, EPOCHS, SEED = 700, 8, 11
+TRAINING_PAGES, EPOCHS, SEED = 700, 5, 11
 BATCH_PAGES, BATCH_CHARS = 128, 2_000_000
 MAIN, OTHER = "", ""
 
