@@ -328,6 +328,47 @@ def test_shard_balance_with_a_hot_group(spark):
     assert len(sizes) == 8 and max(sizes) < 1.15 * min(sizes)
 
 
+def test_shards_are_those_of_a_plain_tree(spark, monkeypatch):
+    """Every row's shard against a k-d tree over sorted lists, in several dimensions, with equal texts under different metadata."""
+    monkeypatch.setattr(kdshard, "TOLERANCE", 0.0)
+    monkeypatch.setattr(kdshard, "SPLIT", 0.5)
+    r = random.Random(18)
+    texts = [" ".join(r.choices(["a", "bb", "ccc", "dddd"], k=r.randint(1, 30))) for _ in range(150)]
+    rows = [(i, r.choice(texts), r.choice(["en", "de", None]), f"s{r.randrange(6)}", r.choice([None, r.randrange(500)])) for i in range(300)]
+    found = {x["doc_id"]: x["shard"] for x in kdshard.assign(spark.createDataFrame(rows, DOCS), leaves=7).collect()}
+    crc = {t: zlib.crc32(t.encode()) for t in texts}
+    rank = {None: 0} | {w: k for names in (["de", "en"], [f"s{k}" for k in range(6)]) for k, w in enumerate(names, 1)}
+    value = {}
+    for _, text, lang, source, n in rows:
+        own = (rank[source], rank[lang], 0 if n is None else n + 1, len(text) + 1)
+        value[text] = tuple(map(min, value.get(text, own), own))
+    whole = [max(1, max(v[k] for v in value.values()) - min(v[k] for v in value.values())) for k in range(4)]
+    expected = {}
+
+    def split(node, leaves, first):
+        if leaves == 1 or not node:
+            expected.update({row[0]: first for row in node})
+            return
+        widths = [(max(value[x[1]][k] for x in node) - min(value[x[1]][k] for x in node)) / whole[k] for k in range(4)]
+        k = widths.index(max(widths))
+        key = lambda x: (value[x[1]][k], crc[x[1]])
+        total = sum(len(x[1]) + 1 for x in node)
+        target, before = total * (leaves // 2) // leaves, 0
+        for one in sorted({key(x) for x in node}):
+            size = sum(len(x[1]) + 1 for x in node if key(x) == one)
+            if before + size >= target:
+                break
+            before += size
+        assert size <= kdshard.SPLIT * total  # no key is cut inside here
+        after = abs(before + size - target) < abs(before - target)
+        left = [x for x in node if key(x) < one or after and key(x) == one]
+        split(left, leaves // 2, first)
+        split([x for x in node if x not in left], leaves - leaves // 2, first + leaves // 2)
+
+    split(rows, 7, 0)
+    assert found == expected and len(set(found.values())) == 7
+
+
 def brute_components(n, linked):
     root = list(range(n))
 
