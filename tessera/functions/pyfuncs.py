@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 from tessera.functions.jsonfix import extract_queries
 
 
+#: What the parser raises on code that isn't any, or that is nested too deeply.
+UNREADABLE = (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError)
+
+
 def sequence_ratio(a: str | None, b: str | None) -> float:
     """Ratcliff-Obershelp: twice the matched characters over all."""
     return SequenceMatcher(None, a or "", b or "").ratio()
@@ -53,7 +57,7 @@ def imported_names(code: str | None) -> list[str]:
     """``name=module.path`` of each import of the code, in order; none if it doesn't parse."""
     try:
         tree = ast.parse(code or "")
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return []
     found = []
     for node in ast.walk(tree):
@@ -76,14 +80,14 @@ def resolve_api(code: str | None, name: str | None) -> str | None:
 def has_fstring(code: str | None) -> bool:
     try:
         return any(isinstance(node, ast.JoinedStr) for node in ast.walk(ast.parse(code or "")))
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return False
 
 
 def is_valid(code: str | None) -> bool:
     try:
         compile(code or "", "<code>", "exec", dont_inherit=True)
-    except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError):
+    except UNREADABLE:
         return False
     return True
 
@@ -152,7 +156,7 @@ def without_annotations(code: str | None) -> str:
     """The code without type annotations; as it is if it doesn't parse."""
     try:
         return ast.unparse(ast.fix_missing_locations(_Unannotated().visit(ast.parse(code or ""))))
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return code or ""
 
 

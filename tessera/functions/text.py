@@ -64,12 +64,12 @@ def strip_version_operator(version: Column) -> Column:
 
 
 def api_package(path: Column, use_aliases: bool = True, compat: bool = False) -> Column:
-    """Package of a dotted API path: alias of its first two parts, else (if wanted) of the first, else the first part.
+    """Package of a dotted API path: alias of its first two parts, else (if wanted) of the first, else the first part; blanks around and case don't count.
 
     ``compat=True`` keeps the alias of ``seaborn``, which makes it differ from the package's own name.
     """
     table = PACKAGE_ALIASES if compat else {k: v for k, v in PACKAGE_ALIASES.items() if k != "seaborn"}
-    parts = F.split(path, r"\.")
+    parts = F.split(F.lower(F.trim(path)), r"\.")
     first = F.element_at(parts, 1)
     two = F.when(F.size(parts) >= 2, F.try_element_at(_lookup(table), F.concat_ws(".", first, F.element_at(parts, 2))))
     one = F.try_element_at(_lookup(table), first) if use_aliases else F.lit(None)

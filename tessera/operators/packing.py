@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,24 +51,31 @@ def share_by_count(rows: DataFrame, task: str, group: str, order: list[str], bud
     return rows.withColumn("place", place).withColumn("quota", F.floor(own * F.lit(budget) / everything)).filter("place <= quota")
 
 
-def progressive_fill(first: list[list[tuple[int, int]]], rest: list[list[tuple[int, int]]], budget: int, most_rounds: int = 100) -> list[int]:
+#: Fixed value: rounds after which filling ends, whatever is left.
+ROUNDS = 99
+
+
+def progressive_fill(first: list[list[tuple[int, int]]], rest: list[list[tuple[int, int]]], budget: int, most_rounds: int | None = ROUNDS) -> list[int]:
     """Documents chosen for one task.  ``first``: per query the (doc, tokens) of phase one; ``rest``: its ranked candidates.
 
-    Phase one fills query by query, skips what is chosen, and stops a query at the first that doesn't fit.  Phase two
-    goes round: one head of each query; a head that doesn't fit stays and ends the round; it ends when a round adds nothing.
+    Phase one fills query by query, skips what is chosen, and stops a query at the first that doesn't fit.  Phase two goes round the
+    queries' candidates without the picks of phase one: one head of each query; a head that doesn't fit stays and ends the round; it
+    ends when a round adds nothing, or after ``most_rounds`` (None: never).  A document in the queues of two queries is
+    taken, and charged, twice: contexts are put together by query.
     """
-    chosen, used = [], 0
+    chosen, used, had = [], 0, set()
     for query in first:
         for doc, tokens in query:
-            if doc in chosen:
+            if doc in had:
                 continue
             if used + tokens > budget:
                 break
             chosen.append(doc)
+            had.add(doc)
             used += tokens
-    queues = [[(d, n) for d, n in query if d not in chosen] for query in rest]
+    queues = [[(d, n) for d, n in query if d not in had] for query in rest]
     heads = [0] * len(queues)
-    for _ in range(most_rounds):
+    for _ in range(most_rounds) if most_rounds is not None else count():
         added = False
         for q, queue in enumerate(queues):
             if heads[q] >= len(queue):
@@ -89,8 +98,10 @@ def fill_tasks(candidates: DataFrame, budget: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["query", "rank", "doc"], kind="stable")
         queries = sorted(pdf["query"].unique())
-        side = lambda phase: [[(int(r.doc), int(r.tokens)) for r in pdf[(pdf["phase"] == phase) & (pdf["query"] == q)].itertuples()] for q in queries]
-        docs = progressive_fill(side(1), side(2), budget)
+        sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for phase, query, doc, tokens in zip(pdf["phase"], pdf["query"], pdf["doc"], pdf["tokens"]):
+            sides.setdefault((phase, query), []).append((int(doc), int(tokens)))
+        docs = progressive_fill(*[[sides.get((phase, q), []) for q in queries] for phase in (1, 2)], budget)
         return pd.DataFrame({"task": pdf["task"].iloc[0], "place": range(1, len(docs) + 1), "doc": docs}).astype({"place": "int64", "doc": "int64"})
 
     return candidates.groupBy("task").applyInPandas(run, "task long, place long, doc long")

@@ -69,6 +69,49 @@ def _counted_in_place(own: DataFrame, held: list, item: str, doc: str) -> DataFr
     return own.mapInArrow(run, f"{item} long, {doc} long, nq long, nd long, common long")
 
 
+#: Needles that are looked for at a time; more of them go in further passes.
+NEEDLES = 20_000
+
+
+def _finder(needles: list[tuple[int, str]]):
+    """A function from a text to the ids of the needles it holds: all at once where the automaton is installed."""
+    try:
+        from ahocorasick import Automaton
+    except ImportError:
+        return lambda text: sorted({i for i, needle in needles if needle in text})
+    machine, ids = Automaton(), {}
+    for i, needle in needles:
+        ids.setdefault(needle, []).append(i)
+    for needle, own in ids.items():
+        machine.add_word(needle, own)
+    machine.make_automaton()
+    return lambda text: sorted({i for _, own in machine.iter(text) for i in own})
+
+
+def containment(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", needle: str = "text", body: str = "text") -> DataFrame:
+    """(item, doc) for every document whose body holds the item's text as it is, wherever it begins or ends.
+
+    The stated items go to the workers in blocks of NEEDLES by a hash; each block is one pass in which a document is read once for
+    all of its needles.  Null and empty needles and bodies hold nothing.
+    """
+    asked = items.filter(F.length(needle) > 0).select(F.col(item).cast("long").alias("i"), F.col(needle).alias("needle"))
+    blocks = max(1, -(-asked.count() // NEEDLES))
+    own = spread(docs.select(doc, body)).select(F.col(doc).cast("long").alias(doc), F.col(body).alias("body")).filter("body IS NOT NULL")
+    found = None
+    for block in range(blocks):
+        held = [(r["i"], r["needle"]) for r in asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            holds = _finder(held) if held else lambda text: []
+            for batch in batches:
+                names, hits = batch.column(0).to_pylist(), [holds(text.as_py()) for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for own in hits for i in own], pa.int64()), pa.array([n for n, own in zip(names, hits) for _ in own], pa.int64())], names=[item, doc])
+
+        part = own.mapInArrow(run, f"{item} long, {doc} long")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def top(scored: DataFrame, group: str, score: Column, tie: str, k: int) -> DataFrame:
     """The k best of each group with ``rank``; partial limits come before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))

@@ -81,8 +81,9 @@ SELECT v AS wanted, arg_min(candidate, ord) AS matched FROM want JOIN have ON ca
 def version_prefix_match(t):
     docs = t("documents")
     want, have = docs.select(F.col("source").alias("wanted")).distinct(), docs.groupBy(F.col("source").alias("candidate")).agg(F.min("doc_id").alias("ord"))
-    # a prefix is a range: the first characters are an equi-join key, so that only neighbours are compared
-    pairs = want.join(have, (F.substring("candidate", 1, 3) == F.substring("wanted", 1, 3)) & F.startswith("candidate", "wanted"))
+    # every prefix of a candidate is a row of its own, so that any wanted one, however short, meets it by equality
+    prefixes = have.select("*", F.explode(F.sequence(F.lit(1), F.length("candidate"))).alias("n")).withColumn("wanted", F.expr("left(candidate, n)"))
+    pairs = want.join(prefixes, "wanted")
     return pairs.groupBy("wanted").agg(F.min_by("candidate", "ord").alias("matched"))
 
 

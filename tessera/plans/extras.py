@@ -33,7 +33,7 @@ def template_postprocess(t):
 
 @query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'vace' ELSE 'vscc' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'srccodes' ELSE 'docstring' END AS doc_kind, page_id % 5 = 0 AS banned FROM pages""")
 def filename_metadata(t):
-    name = F.concat(F.lit("/x/versibcb_"), F.when(F.col("page_id") % 2 == 0, "vace").otherwise("vscc"), F.when(F.col("page_id") % 5 == 0, "_BD").otherwise(""), F.when(F.col("page_id") % 3 == 0, "_srccodes").otherwise("_docstring"), F.lit(".json"))
+    name = F.concat(F.lit("/x/tasks_"), F.when(F.col("page_id") % 2 == 0, "vace").otherwise("vscc"), F.when(F.col("page_id") % 5 == 0, "_BD").otherwise(""), F.when(F.col("page_id") % 3 == 0, "_srccodes").otherwise("_docstring"), F.lit(".json"))
     found = records.file_metadata(name)
     return t("pages").select("page_id", *[found[c].alias(c) for c in ("kind", "doc_kind", "banned")])
 

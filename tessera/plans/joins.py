@@ -9,6 +9,10 @@ from tessera.operators import joins
 from tessera.plans.base import query
 
 
+#: Versions that a plan asks for in every package: a stated list.
+MOST_VERSIONS = 10_000
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_left_anti(t):
     return joins.resume(t("documents").select("doc_id", "lang"), t("labels"), ["doc_id"])
@@ -95,8 +99,10 @@ def edges_join_corpus(t):
 SELECT w.lang, w.source, h.lang IS NOT NULL AS has_data FROM want w LEFT JOIN have h ON w.lang = h.lang AND w.source = h.source""")
 def partition_has_data(t):
     docs = t("documents")
-    sources = docs.select("source").distinct().unionByName(docs.sparkSession.createDataFrame([("src99",)], "source string"))
-    wanted = docs.select("lang").distinct().join(F.broadcast(sources))  # languages and sources, each a short list
+    sources = [r["source"] for r in docs.select("source").distinct().limit(MOST_VERSIONS + 1).collect()] + ["src99"]
+    if len(sources) > MOST_VERSIONS:
+        raise ValueError(f"more than {MOST_VERSIONS} versions to plan for")
+    wanted = docs.select("lang").distinct().select("lang", F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
     have = docs.filter(F.length(F.trim("text")) > 0).select("lang", "source").distinct().withColumn("has_data", F.lit(True))
     return wanted.join(have, ["lang", "source"], "left").select("lang", "source", F.coalesce("has_data", F.lit(False)).alias("has_data"))
 

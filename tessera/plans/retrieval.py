@@ -49,28 +49,31 @@ def fixed_docs_per_query_dedup(t):
 SELECT item_id, doc_id, 0 AS phase, 1.0::DOUBLE AS s FROM e UNION ALL SELECT item_id, doc_id, 1, s FROM scored WHERE (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM e))
 SELECT item_id, doc_id, phase = 0 AS exact, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY phase, CASE WHEN phase = 0 THEN 0 ELSE -round(s, 9) END, doc_id)::INT AS rank FROM x) WHERE rank <= 5""")
 def exact_then_similarity(t):
-    """Exact hits (documents that hold the item) in document order, then by similarity, to five.
-
-    A document that holds an item shares all its tokens, so the overlap join already has each exact hit as a candidate.
-    """
+    """Exact hits (documents that hold the item) in document order, then by similarity, to five."""
     scored = retrieval.token_overlap(t("benchmark"), t("documents"))
-    items = t("benchmark").select("item_id", F.col("text").alias("q"), F.size(text.token_set(F.col("text"))).alias("nq"))
-    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored.filter("similarity >= 0.3").select("item_id", "doc_id"), 2_000_000), "doc_id").join(broadcast_if_small(items, known=t("benchmark").count()), "item_id")
-    exact = holds.filter(F.contains("text", "q")).select("item_id", "doc_id", F.lit(True).alias("exact"))
-    joined = scored.join(exact, ["item_id", "doc_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    exact = retrieval.containment(t("benchmark"), t("documents")).withColumn("exact", F.lit(True))
+    joined = scored.join(exact, ["item_id", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
     order = [F.desc("exact"), F.when(F.col("exact"), 0.0).otherwise(-F.round("similarity", 9)), "doc_id"]
     best = joined.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).filter("rank <= 5")
     return best.select("item_id", "doc_id", "exact", F.round(F.when(F.col("exact"), 1.0).otherwise(F.col("similarity")), 6).alias("score"), "rank")
 
 
+def fill_candidates(t, top_n: int):
+    """task, phase, query, rank, doc, tokens.  Phase one: every document that holds the query, in order, or else the nearest one;
+    phase two: the ``top_n`` nearest without the query's picks of phase one.  A task is four queries."""
+    near, exact = ranked(t, top_n).select("item_id", "doc_id", "rank"), retrieval.containment(t("benchmark"), t("documents"))
+    first = exact.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
+    first = first.unionByName(near.filter("rank = 1").join(exact, "item_id", "left_anti")).withColumn("phase", F.lit(1))
+    rest = near.join(first.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti").withColumn("phase", F.lit(2))
+    sizes = t("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("tokens"))
+    sized = sizes.join(broadcast_if_small(first.unionByName(rest)), "doc_id")
+    return sized.select(F.expr("item_id div 4").alias("task"), "phase", F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("doc"), "tokens")
+
+
 @query()
 def progressive_fill(t):
-    """Contexts of four queries a task: exact picks first, then round-robin, within 2,000 tokens."""
-    top = ranked(t, 12).withColumn("task", F.expr("item_id div 4"))
-    sizes = t("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("tokens"))
-    sized = sizes.join(broadcast_if_small(top.select("task", "item_id", "doc_id", "rank"), known=12 * t("benchmark").count()), "doc_id")
-    candidates = sized.select("task", F.when(F.col("rank") <= 1, 1).otherwise(2).alias("phase"), F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("doc"), "tokens")
-    return packing.fill_tasks(candidates, 2000)
+    """Contexts of four queries a task: exact picks first, then round-robin over the twelve nearest of each, within 2,000 tokens."""
+    return packing.fill_tasks(fill_candidates(t, 12), 2000)
 
 
 _RELEVANCE = """e AS (SELECT event_id, ['np.sum', 'pandas.read_csv', 'os.path.join', 'torch.nn.Linear'][(event_id % 4 + 1)::INT] AS path, CASE WHEN user_id % 3 = 0 THEN 'uses PANDAS here' ELSE 'plain' END AS description,
@@ -98,11 +101,8 @@ def method_tags(t):
 
 @query("""SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def exact_api_document(t):
-    """The first document in order that holds the item; candidates share a token fingerprint of the item's first words."""
-    scored = retrieval.token_overlap(t("benchmark"), t("documents")).filter("similarity >= 0.3").select("item_id", "doc_id")
-    items = t("benchmark").select("item_id", F.col("text").alias("q"))
-    holds = t("documents").select("doc_id", "text").join(broadcast_if_small(scored, 2_000_000), "doc_id").join(broadcast_if_small(items, known=t("benchmark").count()), "item_id").filter(F.contains("text", "q"))
-    return holds.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    """The first document in order that holds the item."""
+    return retrieval.containment(t("benchmark"), t("documents")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("""SELECT doc_id, CASE WHEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END = 'en' THEN 'path' WHEN contains(text, 'the') THEN 'content' ELSE 'dropped' END AS reason FROM documents""")

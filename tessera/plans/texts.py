@@ -254,9 +254,9 @@ def equivalent_answers(t):
     return rows.select("event_id", "target_api", F.when(F.contains("q", F.lit("equivalent")) & F.col("exact") & F.contains("q", F.col("target_api")), F.col("target_api")).otherwise(F.col("event_type")).alias("answer"))
 
 
-@query("""SELECT user_id, md5(string_agg('"' || event_type || '": ' || n, ', ' ORDER BY event_type))[1:8] AS hash FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""")
+@query("""SELECT user_id, md5('{' || string_agg('"' || event_type || '": ' || n, ', ' ORDER BY event_type) || '}')[1:8] AS hash FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""")
 def config_hash(t):
-    """First eight digits of the MD5 of sorted keys and values, written as Python writes them."""
+    """First eight digits of the MD5 of a configuration as JSON with sorted keys, written as Python writes it."""
     n = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     parts = n.groupBy("user_id").agg(F.array_sort(F.collect_list(F.concat(F.lit('"'), "event_type", F.lit('": '), F.col("n").cast("string")))).alias("p"))
-    return parts.select("user_id", F.substring(F.md5(F.array_join("p", ", ")), 1, 8).alias("hash"))
+    return parts.select("user_id", F.substring(F.md5(F.concat(F.lit("{"), F.array_join("p", ", "), F.lit("}"))), 1, 8).alias("hash"))

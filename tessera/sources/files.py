@@ -64,16 +64,18 @@ def json_to_jsonl(spark: SparkSession, source: str, target: str, schema: str) ->
     read_json_array(spark, source, schema).write.mode("overwrite").json(target)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something under ``path``, on any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def append_results(rows: DataFrame, path: str, key: str) -> DataFrame:
     """Appends rows whose key isn't stored yet; a retried append adds nothing twice.  Returns what was new."""
-    spark = rows.sparkSession
-    try:
+    spark, fresh = rows.sparkSession, rows
+    if path_exists(spark, path):
         done = spark.read.schema(rows.schema).parquet(path)
         fresh = rows.join(done.select(key), key, "left_anti").select(rows.columns)
-    except Exception as e:  # nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = rows
     fresh = fresh.dropDuplicates([key])
     fresh.write.mode("append").parquet(path)
     return fresh

@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import words
 
-#: Letters of multiple-choice options.
+#: Letters of multiple-choice options, what a code question's call and a list question's number look like, where a key
+#: stands in its question, and the data sets by what is taken from them.
 LETTERS = ("A", "B", "C", "D")
+CALL, NUMBER = r"func_[0-9]+\(-?[0-9]+\)", r"The .+ of"
+KEY_AT, KEY_SIZE = 7, 38
+CHOICE = ("code_debug", "longbook_choice_eng")
+WITHOUT_QUESTION = ("code_debug", "code_debug_qa", "longdialogue_qa_eng", "longbook_sum_eng", "math_calc")
 
 
 def function_call(question: Column) -> Column:
-    """The call that a code question asks about."""
-    return F.regexp_extract(question, r"([a-zA-Z_][a-zA-Z0-9_]*\([^)]*\))", 1)
+    """The first call that a code question asks about; null if there is none."""
+    return F.nullif(F.regexp_extract(question, CALL, 0), F.lit(""))
+
+
+def list_question(question: Column) -> Column:
+    """What is asked of a list of numbers; null if the question names none."""
+    found = F.regexp_extract(question, NUMBER, 0)
+    named = F.lower(F.regexp_replace(found, " of$", ""))
+    return F.when(found != "", F.concat(F.lit("What is "), named, F.lit(" in the following list?")))
 
 
 def answer_letter(options: Column, answer: Column) -> Column:
@@ -22,8 +34,25 @@ def answer_letter(options: Column, answer: Column) -> Column:
     return F.when(at > 0, F.try_element_at(F.array(*[F.lit(x) for x in LETTERS]), at.cast("int")))
 
 
+def answers_of(dataset: Column, options: Column, answers: Column) -> Column:
+    """Answers as a list; of multiple choices the text and its letter, unless both are given."""
+    one = F.element_at(answers, 1)
+    chosen = F.when((F.size(answers) == 2) & F.element_at(answers, 2).isin(*LETTERS), answers).when(F.size(answers) == 1, F.array(one, answer_letter(options, one)))
+    return F.when(dataset.isin(*CHOICE), chosen).otherwise(answers)
+
+
 def shape(tasks: DataFrame) -> DataFrame:
-    """Adds ``asked``, ``label`` and ``length`` to (dataset, context, question, options, answer)."""
-    asked = F.when(F.col("dataset") == "code_run", function_call(F.col("question"))).when(F.col("dataset") == "kv_retrieval", F.substring("question", 7, 38)).otherwise(F.col("question"))
-    label = F.when(F.col("dataset") == "choice", answer_letter(F.col("options"), F.col("answer"))).otherwise(F.col("answer"))
-    return tasks.withColumn("asked", asked).withColumn("label", label).withColumn("length", F.size(words(F.col("context"))))
+    """Adds ``asked``, ``function``, ``choices``, ``labels`` and ``length`` to (dataset, context, question, options, answers).
+
+    ``asked``: the call of a code question, the number asked of a list, the key to look up, else the question where the data set has one.
+    """
+    dataset, question = F.col("dataset"), F.col("question")
+    asked = (
+        F.when(dataset == "code_run", function_call(question))
+        .when(dataset == "math_find", list_question(question))
+        .when(dataset == "kv_retrieval", F.substring(question, KEY_AT, KEY_SIZE))
+        .when(~dataset.isin(*WITHOUT_QUESTION), question)
+    )
+    function = F.when(dataset == "code_run", F.substring_index(function_call(question), "(", 1))
+    choices = F.when(dataset.isin(*CHOICE), F.slice("options", 1, len(LETTERS)))
+    return tasks.withColumns({"asked": asked, "function": function, "choices": choices, "labels": answers_of(dataset, F.col("options"), F.col("answers")), "length": F.size(words(F.col("context")))})

@@ -11,8 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import diagnostics, jsonfix, pyfuncs, text, tokens, vectors, versions
-from tessera.operators import deps, packing, plugins, windows
-from tessera.sources import files, longcontext
+from tessera.operators import deps, dispatch, packing, plugins, retrieval, windows
+from tessera.sources import files, longcontext, outputs
 from tessera.streaming import events
 
 
@@ -188,9 +188,89 @@ def test_files(spark, tmp_path):
 
 
 def test_long_context(spark):
-    df = spark.createDataFrame([("choice", "a b c", "q", ["x", "y"], "y"), ("code_run", "", "what is func_1(3)?", None, "4")], "dataset string, context string, question string, options array<string>, answer string")
-    rows = {r["dataset"]: r for r in longcontext.shape(df).collect()}
-    assert (rows["choice"]["label"], rows["choice"]["length"], rows["code_run"]["asked"]) == ("B", 3, "func_1(3)")
+    rows = [
+        ("longbook_choice_eng", "a b c", "q", ["x", "y", "z", "w"], ["y"]),
+        ("code_run", "", "print(g(1)) func_10(-3) func_2(4)?", None, ["4"]),
+        ("math_find", "[1]", "The second largest of the list?", None, ["1"]),
+        ("kv_retrieval", "{}", '\nKey: "' + "k" * 36 + '" ?', None, ["v"]),
+        ("code_debug", "x", "q", ["a", "b", "c", "d"], ["a", "A"]),
+        ("longdialogue_qa_eng", "x", "q", None, ["n"]),
+        ("other", "x", "q", None, ["n"]),
+    ]
+    df = spark.createDataFrame(rows, "dataset string, context string, question string, options array<string>, answers array<string>")
+    got = {r["dataset"]: r for r in longcontext.shape(df).collect()}
+    assert (got["longbook_choice_eng"]["labels"], got["longbook_choice_eng"]["length"], got["longbook_choice_eng"]["choices"]) == (["y", "B"], 3, ["x", "y", "z", "w"])
+    assert (got["code_run"]["asked"], got["code_run"]["function"]) == ("func_10(-3)", "func_10") and got["code_debug"]["labels"] == ["a", "A"]
+    assert got["math_find"]["asked"] == "What is the second largest in the following list?" and got["kv_retrieval"]["asked"] == '"' + "k" * 36 + '"'
+    assert got["longdialogue_qa_eng"]["asked"] is None and got["other"]["asked"] == "q" and got["other"]["labels"] == ["n"]
+
+
+def test_containment(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "at sat"), (2, "é"), (3, ""), (4, None), (5, "at sat"), (6, "zz")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "cat satisfied"), (11, "caf\u00e9 at sat"), (12, None), (13, "")], "doc_id long, text string")
+    for needles in (20_000, 2):
+        monkeypatch.setattr(retrieval, "NEEDLES", needles)
+        assert sorted(map(tuple, retrieval.containment(items, docs).collect())) == [(1, 10), (1, 11), (2, 11), (5, 10), (5, 11)]
+
+
+def test_rounds():
+    fill = packing.progressive_fill
+    assert fill([[(1, 5)], [(1, 5), (2, 9)]], [[(1, 5), (3, 2), (4, 2)], [(3, 2), (5, 1)]], 20) == [1, 2, 3, 3, 4]
+    assert len(fill([], [[(k, 1) for k in range(500)]], 1000)) == 99 and len(fill([], [[(k, 1) for k in range(500)]], 1000, None)) == 500
+
+
+def test_dispatch_is_its_ways(spark):
+    """The whole against each way by itself, and rounds against the fold over plain lists."""
+    from tessera.plans import catalog, dispatching
+
+    data = "/root/testdata/sf0.001"
+    t = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
+    whole = {}
+    for r in catalog.queries()["dispatch_contexts"](spark, data).collect():
+        whole.setdefault((r["task"], r["way"]), []).append((r["place"], r["doc"]))
+    sides = {}
+    for r in dispatching.fill_candidates(t, 12).orderBy("query", "rank", "doc").collect():
+        sides.setdefault(r["task"], {}).setdefault((r["phase"], r["query"]), []).append((r["doc"], r["tokens"]))
+    assert {way for _, way in whole} == {"fixed", "rounds", "nearest", "locked"}
+    for (task, way), rows in whole.items():
+        if way == "locked":
+            assert rows == [(None, None)]
+        elif way == "rounds":
+            own = sides[task]
+            queries = sorted({q for _, q in own})
+            docs = packing.progressive_fill(*[[own.get((phase, q), []) for q in queries] for phase in (1, 2)], 2000)
+            assert [d for _, d in sorted(rows, key=lambda r: r[0])] == docs
+        else:
+            assert [p for p, _ in sorted(rows)] == list(range(1, len(rows) + 1))
+
+
+def test_metrics(spark):
+    from tessera.functions import metrics
+
+    with pytest.raises(ValueError):
+        metrics.metric_of("none of these")
+    assert metrics.metric_of("qasper_e") is metrics.metric_of("qasper") and metrics.metric_of("passkey__long") is metrics.metric_of("passkey")
+    for name in metrics.BY_DATASET:
+        row = spark.createDataFrame([("Paragraph 3 is the A answer: 3", "Paragraph 3", ["Paragraph 3", "x"])], "p string, t string, c array<string>")
+        value = row.select(metrics.score(F.lit(name), F.col("p"), F.col("t"), F.col("c"), [name])).first()[0]
+        assert value is None if name == "pg19" else 0 <= value <= 1
+
+
+def test_target_api_quirks(spark):
+    kind = "q array<struct<query:string,target_api:string>>, p array<string>"
+    a, b, c = ("1", "numpy.sum"), ("2", "python.len"), ("3", "torch.nn")
+    rows = [([a, b, c], ["numpy", "python"]), ([("0", None), a], ["numpy"]), ([a, c], []), ([], ["numpy"]), ([a, ("4", ""), ("5", None)], ["numpy"])]
+    got = [[x["query"] for x in r[0]] for r in spark.createDataFrame(rows, kind).select(dispatch.with_target_api(F.col("q"), F.col("p"))).collect()]
+    assert got == [["1"], [], ["1", "3"], [], ["1"]]
+
+
+def test_versioned_outputs(spark, tmp_path):
+    name = outputs.base_name("Edit", "hub/model-7b", "docstring", None, 8000, cards={"r": 4}, most_dependencies=10)
+    assert name == "edit_docstring_8000_model-7b_r4_maxdep10"
+    rows = spark.createDataFrame([(1, "x")], "id long, answer string")
+    first, second = (outputs.write_versioned(rows, str(tmp_path), name, {"b": 1, "a": 2}) for _ in range(2))
+    assert second[0] == f"{tmp_path}/{name}_1.jsonl" and spark.read.json(second[0]).count() == 1
+    assert spark.read.text(first[1]).first()[0] == '{"a": 2, "b": 1}' and outputs.versioned(spark, str(tmp_path), name, new=False)[0] == first[0]
 
 
 def test_streaming(spark, tmp_path):
