@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera.operators.bounded import broadcast_if_small
+
 
 def first_fit(sizes: list[int], block: int) -> list[int]:
     """Bin of each item when items go, the smallest first, into the first bin with room; larger ones get bins of their own.
@@ -38,9 +40,10 @@ def pack_first_fit(rows: DataFrame, group: str, item: str, size: str, block: int
 
 
 def share_budget(rows: DataFrame, group: str, size: str, budget: int) -> DataFrame:
-    """Adds ``quota``: the budget by share of the group's tokens, rounded down."""
-    total = F.sum(size).over(Window.partitionBy(group))
-    return rows.withColumn("quota", F.when(total > 0, F.floor(F.col(size) * F.lit(budget) / total)).otherwise(F.lit(0)))
+    """Adds ``quota``: the budget by share of the group's tokens, rounded down.  Sums are made part by part, so no task holds a group."""
+    totals = rows.groupBy(F.col(group).alias("_group")).agg(F.sum(size).alias("_total"))
+    joined = rows.join(broadcast_if_small(totals), F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn("quota", F.when(F.col("_total") > 0, F.floor(F.col(size) * F.lit(budget) / F.col("_total"))).otherwise(F.lit(0))).drop("_group", "_total")
 
 
 def share_by_count(rows: DataFrame, task: str, group: str, order: list[str], budget: int) -> DataFrame:

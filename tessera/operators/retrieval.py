@@ -18,18 +18,20 @@ from tessera.operators.bounded import spread
 POSTINGS = 200_000
 
 
-def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", body: str = "text") -> DataFrame:
+def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", body: str = "text", best: int | None = None) -> DataFrame:
     """(item, doc, similarity): Jaccard of token sets plus 0.3 if one holds the other, for pairs that share a token.
 
     The postings of the stated items are small (checked): they go to the workers, and a document's matches are counted
     where it is read, so that only pairs leave.  Beyond that bound documents' tokens meet the postings by an equi-join.
+    With ``best`` the pairs may be only those that can be among the ``best`` of their item, smaller documents first among equals:
+    each batch then leaves that many rows an item, and not one for each pair that shares some common word.
     """
     asked = items.select(F.col(item).cast("long").alias(item), text.token_set(F.col(body)).alias("q"))
     postings = asked.select(item, F.size("q").alias("nq"), F.explode("q").alias("token"))
     own = spread(docs.select(doc, body)).select(F.col(doc).cast("long").alias(doc), text.token_set(F.col(body)).alias("d"))
     held = postings.limit(POSTINGS + 1).collect()
     if len(held) <= POSTINGS:
-        pairs = _counted_in_place(own, held, item, doc)
+        pairs = _counted_in_place(own, held, item, doc, best)
     else:
         tokens = own.select(doc, F.size("d").alias("nd"), F.explode("d").alias("token"))
         pairs = tokens.join(postings, "token").groupBy(item, doc, "nq", "nd").agg(F.count("*").alias("common"))
@@ -38,7 +40,15 @@ def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc:
     return pairs.select(item, doc, F.least(F.lit(1.0), jaccard + bonus).alias("similarity"))
 
 
-def _counted_in_place(own: DataFrame, held: list, item: str, doc: str) -> DataFrame:
+def _contenders(item: np.ndarray, doc: np.ndarray, similarity: np.ndarray, best: int) -> np.ndarray:
+    """Places of the pairs that rank among the ``best`` of their item, by similarity to nine places and then the smaller document."""
+    order = np.lexsort((doc, -np.floor(similarity * 1e9 + 0.5), item))
+    begin = np.flatnonzero(np.r_[True, item[order][1:] != item[order][:-1]])
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)]))
+    return order[rank < best]
+
+
+def _counted_in_place(own: DataFrame, held: list, item: str, doc: str, best: int | None) -> DataFrame:
     """(item, doc, nq, nd, common) by looking up each document's tokens in the postings."""
     ids = np.array(sorted({r[item] for r in held}), dtype=np.int64)
     place = {i: k for k, i in enumerate(ids.tolist())}
@@ -51,7 +61,7 @@ def _counted_in_place(own: DataFrame, held: list, item: str, doc: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = {token: np.array(at, dtype=np.int32) for token, at in by_token.items()}
         for batch in batches:
-            names, found, counts, rows = batch.column(0).to_pylist(), [], [], []
+            names, found, counts, rows = batch.column(0).to_numpy(), [], [], []
             lengths = []
             for k, tokens in enumerate(batch.column(1)):
                 known = [lists[t] for t in tokens.as_py() or () if t in lists]
@@ -62,8 +72,14 @@ def _counted_in_place(own: DataFrame, held: list, item: str, doc: str) -> DataFr
                 rows.append(np.full(len(at), k))
                 lengths.append(len(tokens.as_py() or ()))
             if rows:
-                at, row = np.concatenate(found).astype(np.int64), np.concatenate(rows).astype(np.int64)
-                columns = [pa.array(ids[at]), pa.array(names, pa.int64()).take(pa.array(row)), pa.array(sizes[at]), pa.array(np.array(lengths, dtype=np.int64)[row]), pa.array(np.concatenate(counts).astype(np.int64))]
+                at, row, common = np.concatenate(found).astype(np.int64), np.concatenate(rows).astype(np.int64), np.concatenate(counts).astype(np.int64)
+                name, own_size = names[row], np.array(lengths, dtype=np.int64)[row]
+                if best is not None and len(at):
+                    union = sizes[at] + own_size - common
+                    similarity = np.minimum(1.0, common / union + np.where(common == np.minimum(sizes[at], own_size), 0.3, 0.0))
+                    kept = _contenders(at, name, similarity, best)
+                    at, name, own_size, common = at[kept], name[kept], own_size[kept], common[kept]
+                columns = [pa.array(ids[at]), pa.array(name), pa.array(sizes[at]), pa.array(own_size), pa.array(common)]
                 yield pa.RecordBatch.from_arrays(columns, names=[item, doc, "nq", "nd", "common"])
 
     return own.mapInArrow(run, f"{item} long, {doc} long, nq long, nd long, common long")

@@ -12,40 +12,54 @@ from pyspark.sql.window import Window
 
 from tessera.functions.vectors import cosine, dot, norm  # noqa: F401
 
-#: Queries that are held on every executor at a time; more of them go in further passes.
-QUERY_BLOCK = 4_096
+#: Queries that are held on every executor; of more, blocks of them meet blocks of rows by a shuffle.
+QUERY_BLOCK, ROW_BLOCK = 4_096, 65_536
+_FOUND = "query_id long, vec_id long, score double"
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, measure: str = "dot") -> DataFrame:
-    """Exact (query_id, vec_id, score, rank) by blocks of queries against all rows: matrix products, partial top-k in each batch.
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int, measure: str) -> np.ndarray:
+    x = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(n, -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if measure == "cosine" else x
 
-    The stated queries are the bounded side: they go to the executors in blocks of QUERY_BLOCK vectors.
-    """
-    asked = [(r["query_id"], r["embedding"]) for r in queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).toLocalIterator()]
-    schema = "query_id long, vec_id long, score double"
-    found = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        block = asked[at : at + QUERY_BLOCK]
-        ids, q = np.array([i for i, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64)
+
+def _nearest(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """(query_id, vec_id, score) of the k + 1 best rows of each query and those that equal the last."""
+    scores = q @ x.T
+    least = np.partition(scores, len(vec) - k - 1, axis=1)[:, len(vec) - k - 1] - 1e-9 if len(vec) > k + 1 else np.full(len(q), -np.inf)
+    i, j = np.nonzero(scores >= least[:, None])
+    return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vec[j]), pa.array(np.einsum("ij,ij->i", q[i], x[j]))], names=["query_id", "vec_id", "score"])
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, measure: str = "dot") -> DataFrame:
+    """Exact (query_id, vec_id, score, rank) by blocks of queries against all rows: matrix products, partial top-k in each block."""
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    given = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    held = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(held) <= QUERY_BLOCK:
+        ids, q = np.array([r["query_id"] for r in held], dtype=np.int64), np.array([r["embedding"] for r in held], dtype=np.float64)
         if measure == "cosine" and len(q):
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not len(q):
-                    continue
-                x = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1)
-                if measure == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                vec = batch.column("vec_id").to_numpy()
-                scores = q @ x.T
-                least = np.partition(scores, len(vec) - k - 1, axis=1)[:, len(vec) - k - 1] - 1e-9 if len(vec) > k + 1 else np.full(len(q), -np.inf)
-                i, j = np.nonzero(scores >= least[:, None])
-                exact = np.einsum("ij,ij->i", q[i], x[j])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vec[j]), pa.array(exact)], names=["query_id", "vec_id", "score"])
-
-        part = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+                if batch.num_rows and len(q):
+                    yield _nearest(ids, q, batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), batch.num_rows, measure), k)
+
+        found = given.mapInArrow(run, _FOUND)
+    else:
+        n_asked, n_given = -(-asked.count() // QUERY_BLOCK), max(1, -(-given.count() // ROW_BLOCK))
+        block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("a", block("query_id", n_asked)).withColumn("b", every(n_given))
+        right = given.withColumn("b", block("vec_id", n_given)).withColumn("a", every(n_asked))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            q, x = (_matrix(side.column("embedding"), side.num_rows, measure) for side in (a, b))
+            return pa.Table.from_batches([_nearest(a.column("query_id").to_numpy(), q, b.column("vec_id").to_numpy(), x, k)])
+
+        found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return found.filter("query_id <> vec_id").withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -76,18 +76,19 @@ def neighbours(selected: DataFrame, group: str, block: str, rank: str, n_blocks:
     return first.withColumn("place", place).filter(F.col("place") <= cap).select(group, "neighbour", "place")
 
 
-def ordinal(rows: DataFrame, order: list[str], groups: int = 64) -> DataFrame:
-    """Adds ``ordinal`` from 0 in the order of integer keys, without one task that sees all rows.
+def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, least_parts: int = 64) -> DataFrame:
+    """Adds ``ordinal`` from 0 in the order of number keys, without one task that sees all rows.
 
-    Rows are ranged by the first key into ``groups`` parts between its extremes, counted by part, and numbered inside each
-    part from where the parts before it end.
+    Rows are ranged by the first key between its approximate quantiles, as many as make parts of about ``part_rows`` rows wherever the
+    keys lie, counted by part, and numbered inside each part from where the parts before it end.
     """
     key = order[0]
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows.withColumn("ordinal", F.lit(None).cast("long"))
-    step = max(1, -(-(high - low + 1) // groups))
-    parted = rows.withColumn("_part", F.expr(f"({key} - {low}) div {step}"))
+    n = rows.count()
+    parts = max(least_parts, -(-n // part_rows))
+    bounds = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first()["q"] if n else None
+    bounds = sorted(set(bounds or []))
+    part = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    parted = rows.withColumn("_part", F.coalesce(part, F.lit(-1)))
     counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -19,7 +19,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9
 
 
 def ranked(t, k):
-    scored = retrieval.token_overlap(t("benchmark"), t("documents"))
+    scored = retrieval.token_overlap(t("benchmark"), t("documents"), best=k)
     return retrieval.top(scored, "item_id", F.round("similarity", 9), "doc_id", k)
 
 
@@ -49,8 +49,9 @@ def fixed_docs_per_query_dedup(t):
 SELECT item_id, doc_id, 0 AS phase, 1.0::DOUBLE AS s FROM e UNION ALL SELECT item_id, doc_id, 1, s FROM scored WHERE (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM e))
 SELECT item_id, doc_id, phase = 0 AS exact, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY phase, CASE WHEN phase = 0 THEN 0 ELSE -round(s, 9) END, doc_id)::INT AS rank FROM x) WHERE rank <= 5""")
 def exact_then_similarity(t):
-    """Exact hits (documents that hold the item) in document order, then by similarity, to five."""
-    scored = retrieval.token_overlap(t("benchmark"), t("documents"))
+    """Exact hits (documents that hold the item) in document order, then by similarity, to five: of the ten nearest, five aren't exact
+    hits unless there are five of those."""
+    scored = retrieval.token_overlap(t("benchmark"), t("documents"), best=10)
     exact = retrieval.containment(t("benchmark"), t("documents")).withColumn("exact", F.lit(True))
     joined = scored.join(exact, ["item_id", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
     order = [F.desc("exact"), F.when(F.col("exact"), 0.0).otherwise(-F.round("similarity", 9)), "doc_id"]

@@ -213,6 +213,34 @@ def test_containment(spark, monkeypatch):
         assert sorted(map(tuple, retrieval.containment(items, docs).collect())) == [(1, 10), (1, 11), (2, 11), (5, 10), (5, 11)]
 
 
+def test_best_of_overlaps(spark):
+    rng = random.Random(3)
+    text_of = lambda: " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 9)))
+    items = spark.createDataFrame([(i, text_of()) for i in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, text_of()) for i in range(300)], "doc_id long, text string").repartition(5)
+    ranked = [retrieval.top(retrieval.token_overlap(items, docs, best=best), "item_id", F.round("similarity", 9), "doc_id", 4).select("item_id", "doc_id", "rank") for best in (None, 4)]
+    assert sorted(map(tuple, ranked[0].collect())) == sorted(map(tuple, ranked[1].collect()))
+
+
+@pytest.mark.parametrize("measure", ["dot", "cosine"])
+def test_top_k_by_blocks(spark, monkeypatch, measure):
+    from tessera.operators import vectors as search
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)], "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 9 = 0").withColumnRenamed("vec_id", "query_id")
+    held = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in search.top_k(queries, rows, 5, measure).collect())
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "ROW_BLOCK", 60)
+    assert held == sorted((r["query_id"], r["rank"], r["vec_id"]) for r in search.top_k(queries, rows, 5, measure).collect())
+
+
+def test_ordinal_with_outlying_and_null_keys(spark):
+    rows = spark.createDataFrame([(k,) for k in [*range(500), 10**15, None, -5]], "k long")
+    got = [r["k"] for r in windows.ordinal(rows, ["k"], part_rows=50, least_parts=4).orderBy("ordinal").collect()]
+    assert got == [None, -5, *range(500), 10**15]
+
+
 def test_rounds():
     fill = packing.progressive_fill
     assert fill([[(1, 5)], [(1, 5), (2, 9)]], [[(1, 5), (3, 2), (4, 2)], [(3, 2), (5, 1)]], 20) == [1, 2, 3, 3, 4]
