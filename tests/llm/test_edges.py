@@ -385,6 +385,26 @@ def brute_components(n, linked):
     return [find(x) for x in range(n)]
 
 
+def plain_fingerprint(text):
+    """64 bits by counting them one by one, words by their definition."""
+    import re
+
+    import xxhash
+
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\\x20\\x09-\\x0D]+", lowered)
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_fingerprints_by_definition():
+    r = random.Random(19)
+    for _ in range(150):
+        text = "".join(r.choices("abAB\u00c9\u00e9\u0130\u00a0\u2003 \t\n\x0b\x1c\u4e2d", k=r.randrange(60)))
+        assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_simhash_edges_and_brute_force(spark):
     r = random.Random(9)
     base = [" ".join(r.choices(EN.split() + DE.split(), k=60)) for _ in range(6)]
@@ -398,8 +418,9 @@ def test_simhash_edges_and_brute_force(spark):
     docs = clashing(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, base[0]), (None, "alone in this " * 9)], "doc_id long, text string"), "fp", "component_id")
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(texts) + 2
-    fps = [simhash.fingerprint(t) for t in texts]
+    fps = [plain_fingerprint(t) for t in texts]
     expected = brute_components(len(texts), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    assert {x["doc_id"]: x["fp"] & (2**64 - 1) for x in rows if x["doc_id"] is not None} == dict(enumerate(fps))
     got = {x["doc_id"]: x["component_id"] for x in rows if x["doc_id"] is not None}
     assert [got[i] for i in range(len(texts))] == expected
     assert sorted((x["component_id"] is None) for x in rows if x["doc_id"] is None) == [False, True]
