@@ -9,8 +9,8 @@ _FENCE = re.compile(r"^```[a-z]*[ \t]*$", re.M)
 _TRAILING = re.compile(r",\s*([}\]])")
 
 
-def complete_objects(text: str) -> list[str]:
-    """Top-level brace groups of a text, with strings and escapes respected; an unfinished one at the end is left out."""
+def complete_objects(text: str) -> tuple[list[str], str]:
+    """Top-level brace groups of a text, with strings and escapes respected, and the unfinished one at its end, if there is one."""
     found, depth, begin, quoted, escaped = [], 0, 0, False, False
     for at, c in enumerate(text):
         if quoted:
@@ -30,7 +30,29 @@ def complete_objects(text: str) -> list[str]:
             depth -= 1
             if not depth:
                 found.append(text[begin : at + 1])
-    return found
+    return found, text[begin:] if depth else ""
+
+
+def completed(cut: str) -> dict | None:
+    """An object whose end is missing, closed in the first way that can be read: its string, its value, its brackets."""
+    closers, quoted, escaped = [], False, False
+    for c in cut:
+        if escaped:
+            escaped = False
+        elif quoted and c == "\\":
+            escaped = True
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{[":
+            closers.append("}" if c == "{" else "]")
+        elif not quoted and c in "}]" and closers:
+            closers.pop()
+    end = "".join(reversed(closers))
+    for begun in ((cut + '"', cut + '": ""', cut + '": null') if quoted else (cut.rstrip().rstrip(","), cut + " null", cut + ": null")):
+        value = _loads(begun + end)
+        if isinstance(value, dict):
+            return value
+    return None
 
 
 def _loads(text: str):
@@ -41,7 +63,8 @@ def _loads(text: str):
 
 
 def repair(text: str | None) -> list:
-    """The array a response holds: as it is; else with trailing commas or the missing bracket mended, else its complete objects."""
+    """The array a response holds: as it is; else with trailing commas or the missing bracket mended, else its complete objects and the
+    one that its end cuts off, completed where that can be."""
     bare = _FENCE.sub("", text or "").strip()
     for candidate in (bare, bare.replace("'", '"')):
         for mended in (candidate, _TRAILING.sub(r"\1", candidate), _TRAILING.sub(r"\1", candidate.rstrip().rstrip(",") + "]")):
@@ -51,7 +74,8 @@ def repair(text: str | None) -> list:
             if isinstance(value, dict):
                 return [value]
     for candidate in (bare, bare.replace("'", '"')):
-        objects = [x for x in (_loads(_TRAILING.sub(r"\1", o)) for o in complete_objects(candidate)) if x is not None]
+        whole, cut = complete_objects(candidate)
+        objects = [x for x in (*(_loads(_TRAILING.sub(r"\1", o)) for o in whole), completed(cut) if cut else None) if x is not None]
         if objects:
             return objects
     return []

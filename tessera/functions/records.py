@@ -17,6 +17,11 @@ def class_score(prediction: Column, truth: Column, classes: Column) -> Column:
     return F.when(F.array_contains(kept, truth), 1.0 / F.nullif(F.size(kept), F.lit(0))).otherwise(0.0)
 
 
+def prediction(pred: Column, answer: Column, outputs: Column) -> Column:
+    """A record's prediction: pred, else answer, else the first output; null if there is none of them."""
+    return F.coalesce(pred, answer, F.try_element_at(outputs, F.lit(1)))
+
+
 def before_marker(text: Column, marker: str) -> Column:
     return F.substring_index(text, marker, 1)
 

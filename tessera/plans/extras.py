@@ -90,10 +90,13 @@ def best_api_match(t):
     return joins.best_match(pairs, ["p_partkey"], pyfuncs.ratio("p_name", "candidate"), ["candidate"]).select("p_partkey", "candidate", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT event_type, avg(CASE WHEN props IS NULL THEN 0 ELSE 2 END) AS tokens FROM events GROUP BY 1""")
+@query("""SELECT conv_id, (3 + sum(CASE WHEN role IS NULL THEN 0 ELSE 1 + len(list_filter(string_split_regex(role, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) END
+  + CASE WHEN text IS NULL THEN 0 ELSE 1 + len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) END))::BIGINT AS tokens FROM conversations GROUP BY 1""")
 def nested_token_count(t):
-    """White-space tokens over all keys and leaves of a record."""
-    return t("events").groupBy("event_type").agg(F.avg(records.nested_tokens("props")).alias("tokens"))
+    """White-space tokens over all keys and leaves of a nested record: a conversation with its list of turns."""
+    record = F.to_json(F.struct(F.col("conv_id").alias("id"), "turns"))
+    whole = t("conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("turns"))
+    return whole.select("conv_id", records.nested_tokens(record).alias("tokens"))
 
 
 @query("""SELECT l.quality::VARCHAR AS file, round(100 * avg(d.n_chars), 2) AS score, count(*)::BIGINT AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1""")
@@ -103,11 +106,11 @@ def score_per_file(t):
     return rows.groupBy(F.col("quality").cast("string").alias("file")).agg(F.round(100 * F.avg("n_chars"), 2).alias("score"), F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'pred' END, CASE WHEN toxic = 1 THEN 'answer' END, 'output') AS chosen FROM labels""")
+@query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN p_name WHEN p_size < 30 THEN p_brand ELSE split_part(p_type, ' ', 1) END AS chosen FROM part""")
 def prediction_field(t):
-    """pred, else answer, else the first model output."""
-    outputs = F.array(F.lit("output"))
-    return t("labels").select("doc_id", F.coalesce(F.when(F.col("quality") == 1, "pred"), F.when(F.col("toxic") == 1, "answer"), F.try_element_at(outputs, F.lit(1))).alias("chosen"))
+    """pred, else answer, else the first of the model's outputs."""
+    rows = t("part").select("p_partkey", F.when(F.col("p_size") < 10, F.col("p_name")).alias("pred"), F.when(F.col("p_size") < 30, F.col("p_brand")).alias("answer"), F.split("p_type", " ").alias("model_output"))
+    return rows.select("p_partkey", records.prediction(F.col("pred"), F.col("answer"), F.col("model_output")).alias("chosen"))
 
 
 @query("""WITH s AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'success' ELSE 'failed' END AS status FROM labels) SELECT doc_id FROM s WHERE status = 'success' OR NOT EXISTS (SELECT 1 FROM s WHERE status = 'success')""")

@@ -41,9 +41,14 @@ def best_of_k(t):
     return g.filter(F.size("v") >= 3).select("user_id", F.round(vectors.best_of_k(F.col("v"), 3), 6).alias("best"))
 
 
-@query("""SELECT count(*) FILTER (event_type = 'view')::BIGINT AS exact, count(*) FILTER (contains('view or click', event_type))::BIGINT AS partial FROM events""")
+@query("""WITH r AS (SELECT p_brand, p_type AS prediction, CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN split_part(p_type, ' ', 2) WHEN 2 THEN '' ELSE p_name END AS truth FROM part)
+SELECT p_brand, count(*) FILTER (trim(prediction) = trim(truth)) AS exact, count(*) FILTER (truth <> '' AND contains(prediction, truth)) AS partial, count(*) AS n FROM r GROUP BY 1""")
 def exact_and_partial(t):
-    return t("events").agg(F.count_if(F.col("event_type") == "view").alias("exact"), F.count_if(F.contains(F.lit("view or click"), F.col("event_type")) & (F.col("event_type") != "")).alias("partial"))
+    """Predictions that are the truth, and those that contain it where it isn't empty, by brand."""
+    truth = F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")).when(F.col("p_partkey") % 4 == 1, F.coalesce(F.try_element_at(F.split("p_type", " "), F.lit(2)), F.lit(""))).when(F.col("p_partkey") % 4 == 2, "").otherwise(F.col("p_name"))
+    rows = t("part").select("p_brand", F.col("p_type").alias("prediction"), truth.alias("truth"))
+    exact, partial = F.trim("prediction") == F.trim("truth"), (F.col("truth") != "") & F.contains("prediction", "truth")
+    return rows.groupBy("p_brand").agg(F.count_if(exact).alias("exact"), F.count_if(partial).alias("partial"), F.count("*").alias("n"))
 
 
 @query("""WITH n AS (SELECT item_id, list_filter(string_split_regex(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x NOT IN ('', 'a', 'an', 'the')) AS w FROM benchmark),

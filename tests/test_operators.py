@@ -124,9 +124,11 @@ def test_pass_at_k_and_best_of_k(spark):
 def test_json_repair():
     whole = [{"path": "a", "description": "b"}, {"path": "c"}]
     assert jsonfix.repair(f"```json\n{json.dumps(whole)}\n```") == whole
-    assert jsonfix.repair(json.dumps(whole)[:-8]) == whole[:1]
+    text = json.dumps(whole)
+    assert [jsonfix.repair(text[:-n])[1:] for n in (8, 7, 3, 2, 1)] == [[{"path": ""}], [{"path": None}], [{"path": "c"}], [{"path": "c"}], [{"path": "c"}]]
+    assert jsonfix.completed('{"a": [1, {"b": "x\\"') == {"a": [1, {"b": 'x"'}]} and jsonfix.completed('{"a": 1, ') == {"a": 1} and jsonfix.completed("{a") is None
     assert jsonfix.repair("[{'a': 1}, ]") == [{"a": 1}] and jsonfix.repair('[{"a": 1}') == [{"a": 1}]
-    assert jsonfix.repair('text {"a": "}"} {"b"') == [{"a": "}"}] and jsonfix.repair(None) == []
+    assert jsonfix.repair('text {"a": "}"} {b') == [{"a": "}"}] and jsonfix.repair(None) == []
     assert jsonfix.extract_queries('["x", {"description": "x"}, {"b": 1, "a": 2}, {"a": 2, "b": 1}]') == ['{"description": "x"}', '{"a": 2, "b": 1}']
 
 
