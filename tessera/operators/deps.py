@@ -63,3 +63,13 @@ def closest_versions(versions: DataFrame, n: int, compat: bool = False) -> DataF
     pairs = a.join(b, "pkg").filter("version <> other").withColumn("distance", F.coalesce(version_distance(version_parts(F.col("version")), version_parts(F.col("other"))), far))
     rank = F.row_number().over(Window.partitionBy("pkg", "version").orderBy("distance", "other"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def by_strategy(versions: DataFrame, name: str, n: int = 3, compat: bool = False) -> DataFrame:
+    """(pkg, version, other): the other versions that a strategy picks for each; ``closest_n`` takes the ``n`` nearest, predicates any."""
+    from tessera.functions.versions import version_strategy
+
+    if name == "closest_n":
+        return closest_versions(versions, n, compat).select("pkg", "version", "other")
+    pairs = versions.select("pkg", "version").join(versions.select("pkg", F.col("version").alias("other")), "pkg").filter("version <> other")
+    return pairs.filter(version_strategy(name)(F.col("version"), F.col("other")))

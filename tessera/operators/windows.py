@@ -95,6 +95,21 @@ def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, least
     return parted.withColumn("_rank", own).join(F.broadcast(starts), "_part").withColumn("ordinal", F.col("_start") + F.col("_rank") - 1).drop("_part", "_n", "_rank", "_start")
 
 
+def shuffled_stride(rows: DataFrame, key: str, seed: int, world: int, drop_last: bool = False) -> DataFrame:
+    """(key, place, rank): rows in the order of a seeded hash, dealt in strides, the same number for each rank.
+
+    With ``drop_last`` the surplus at the end goes; else the first rows come again at the end until it is even.
+    """
+    hashed = rows.select(key, F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long").alias("_hash"))
+    placed = ordinal(hashed, ["_hash", key]).select(key, F.col("ordinal").alias("place"))
+    n = rows.count()
+    even = n // world * world if drop_last else -(-n // world) * world
+    if not drop_last and n:
+        turns = F.expr(f"sequence(place, {even} - 1, {n}L)")
+        placed = placed.filter(F.col("place") < even).select(key, F.explode(turns).alias("place"))
+    return placed.filter(F.col("place") < even).withColumn("rank", F.pmod("place", F.lit(world)).cast("int"))
+
+
 def contiguous_shard(at: Column, n: int, world: int) -> Column:
     """Shard of an ordinal when ``n`` rows go to ``world`` shards in runs, the first ones taking the remainder."""
     size, rest = divmod(n, world)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregates, dependencies, dispatching, extras, joins, packing, retrieval, scoring, texts, vectors, windows  # noqa: F401  each registers its queries
+from tessera.plans import aggregates, dependencies, dispatching, extras, filequeries, joins, packing, retrieval, scoring, texts, vectors, windows  # noqa: F401  each registers its queries
 from tessera.plans.base import ORACLES, QUERIES, Query
 
 

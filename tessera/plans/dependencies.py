@@ -76,6 +76,16 @@ def same_minor_versions(t):
     return v.join(other, "pkg").filter("version <> other").filter(versions.version_strategy("same_minor")(F.col("version"), F.col("other")))
 
 
+@query("""WITH v AS (SELECT DISTINCT p_brand AS pkg, (p_size // 10)::VARCHAR || '.' || (p_size % 10)::VARCHAR AS version, p_size // 10 AS a, p_size % 10 AS b FROM part),
+d AS (SELECT x.pkg, x.version, y.version AS other, x.a = y.a AND x.b = y.b AS same, row_number() OVER (PARTITION BY x.pkg, x.version ORDER BY sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2)), y.version) AS rank FROM v x JOIN v y ON x.pkg = y.pkg AND x.version <> y.version)
+SELECT 'closest_n' AS strategy, pkg, version, other FROM d WHERE rank <= 2 UNION ALL SELECT 'same_minor', pkg, version, other FROM d WHERE same UNION ALL SELECT 'all', pkg, version, other FROM d""")
+def version_strategies(t):
+    """The versions that strategies pick, by their names."""
+    v = t("part").select(F.col("p_brand").alias("pkg"), F.expr("concat(p_size div 10, '.', p_size % 10)").alias("version")).distinct()
+    found = [deps.by_strategy(v, name, 2).select(F.lit(name).alias("strategy"), "pkg", "version", "other") for name in ("closest_n", "same_minor", "all")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("""WITH want AS (SELECT DISTINCT source AS v FROM documents), have AS (SELECT source AS candidate, min(doc_id) AS ord FROM documents GROUP BY source)
 SELECT v AS wanted, arg_min(candidate, ord) AS matched FROM want JOIN have ON candidate = v OR starts_with(candidate, v) GROUP BY v""")
 def version_prefix_match(t):

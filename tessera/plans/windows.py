@@ -117,11 +117,20 @@ def shard_kfold(t):
     return windows.ordinal(docs, ["doc_id"]).select("doc_id", F.expr(f"ordinal div {size}").cast("int").alias("fold")).filter("fold < 7")
 
 
-@query()
+_SHUFFLED = "SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id || ':42'), 1, 13))::BIGINT, doc_id) - 1 AS place, count(*) OVER () AS n FROM documents"
+
+
+@query(f"""WITH s AS ({_SHUFFLED}), p AS (SELECT doc_id, place FROM s UNION ALL SELECT doc_id, place + n FROM s WHERE place < (7 - n % 7) % 7)
+SELECT doc_id, place::BIGINT AS place, (place % 7)::INT AS rank FROM p""")
 def shard_shuffled(t):
-    """Seeded shuffle, then strides: the place is the order of a hash, so each task can tell its own rows."""
-    docs = t("documents").select("doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 40)))
-    return windows.ordinal(docs, ["h", "doc_id"]).select("doc_id", F.pmod("ordinal", F.lit(4)).cast("int").alias("rank"))
+    """Seeded shuffle, then strides of seven ranks; the first rows pad the last round."""
+    return windows.shuffled_stride(t("documents").select("doc_id"), "doc_id", 42, 7)
+
+
+@query(f"SELECT doc_id, place::BIGINT AS place, (place % 7)::INT AS rank FROM ({_SHUFFLED}) WHERE place < n // 7 * 7")
+def shard_shuffled_whole(t):
+    """The same without the rows that don't fill a round."""
+    return windows.shuffled_stride(t("documents").select("doc_id"), "doc_id", 42, 7, drop_last=True)
 
 
 @query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS n FROM documents) WHERE r <= floor(n * 0.3)""")

@@ -43,7 +43,7 @@ def read_concatenated_json(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(f, k, o) for f, text in zip(pdf["file"], pdf["value"]) for k, o in enumerate(complete_objects(text))]
+            rows = [(f, k, o) for f, text in zip(pdf["file"], pdf["value"]) for k, o in enumerate(complete_objects(text)[0])]
             yield pd.DataFrame(rows, columns=["file", "ordinal", "value"]).astype({"ordinal": "int64"})
 
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
