@@ -30,6 +30,7 @@ underscores in front where their names are taken.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,8 +109,9 @@ class Walker:
         self.root = np.ones(self.size, dtype=np.int64)
         for c, to in moves[0].items():
             self.root[c] = to * self.size * 2 + 1
-        self.table = self.keys = None
+        self.table, self.kind = None, np.int64
         if len(moves) * self.size <= TABLE:
+            self.kind = np.int32
             table = np.tile(self.root.astype(np.int32), (len(moves), 1))
             for state, out in enumerate(moves[1:], 1):
                 for c, to in out.items():
@@ -134,10 +136,10 @@ class Walker:
             return self.view[place + letter]
         return int(self.moves(np.array([place]), np.array([letter]))[0])
 
-    def joined(self, place: int, end: int, letters: list[int]) -> tuple[int, int]:
+    def joined(self, place: int, end: int, letters: np.ndarray) -> tuple[int, int]:
         """How many more phrases begin in a block, and where it ends, if the walk enters it at ``place`` and not at the root (where it would end at ``end``)."""
         more, other = 0, 0
-        for letter in letters:
+        for letter in chain.from_iterable(letters[at : at + 32].tolist() for at in range(0, len(letters), 32)):  # they soon meet
             move, own = self._move(place, letter), self._move(other, letter)
             more += (move & 1) - (own & 1)
             place, other = move >> 1, own >> 1
@@ -191,17 +193,19 @@ class CrossParser:
         owners, starts, lengths = np.array(owner), np.array(start)[order], np.array(length)[order]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()  # blocks longer than each step
         later = np.flatnonzero(owners[1:] == owners[:-1]) + 1  # blocks that go on with a text
-        for k, walker in enumerate(self.walkers):
-            letters = walker.own.take(stream)
-            places, begun = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
-            for step, n in enumerate(active):
-                move = walker.moves(places[:n], letters.take(starts[:n] + step))
+        walks = [(walker, np.zeros(len(order), dtype=walker.kind), np.zeros(len(order), dtype=np.int32)) for walker in self.walkers]
+        for step, n in enumerate(active):
+            letters = stream.take(starts[:n] + step)
+            for walker, places, begun in walks:
+                move = walker.moves(places[:n], walker.own.take(letters))
                 begun[:n] += move & 1
                 places[:n] = move >> 1
+        for k, (walker, places, begun) in enumerate(walks):
             counted, ends = np.empty_like(begun), np.empty_like(places)
             counted[order], ends[order] = begun, places
             for b in later.tolist():
-                more, ends[b] = walker.joined(int(ends[b - 1]), int(ends[b]), letters[start[b] : start[b] + length[b]].tolist())
+                letters = walker.own.take(stream[start[b] : start[b] + length[b]])
+                more, ends[b] = walker.joined(int(ends[b - 1]), int(ends[b]), letters)
                 counted[b] += more
             counts[:, k] = np.bincount(owners, weights=counted, minlength=len(texts))
         return counts, sizes
