@@ -7,15 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _measures(a: np.ndarray, t: int) -> dict[str, float]:
-    inside, after, cut = a[:t, :t].sum(), a[t:, t:].sum(), a[:t, t:].sum()
-    total, one, two = a.sum(), inside + cut, after + cut
-    intra = (inside + after) / max(1, t * t + (len(a) - t) ** 2)
-    inter = cut / max(1, t * (len(a) - t))
+def _measures(sums: np.ndarray, t: int) -> dict[str, float]:
+    """Measures of the split at t, from the sums of all similarities up to each pair of positions."""
+    n, inside, total = len(sums), sums[t - 1, t - 1] if t else 0.0, sums[-1, -1]
+    cut = sums[t - 1, -1] - inside if t else 0.0
+    after = total - inside - 2 * cut
+    one, two = inside + cut, after + cut
+    intra = (inside + after) / max(1, t * t + (n - t) ** 2)
+    inter = cut / max(1, t * (n - t))
     return {
         "modularity": ((inside - one * one / total) + (after - two * two / total)) / (2 * total) if total else 0.0,
         "conductance": -min(cut / max(one, 1e-15), cut / max(two, 1e-15)),
-        "intra_inter_sim": intra / inter if inter else 0.0,
+        "intra_inter_sim": intra / inter if inter > 1e-12 else 0.0,
     }
 
 
@@ -31,9 +34,9 @@ def refine(values: np.ndarray, boundaries: list[int], least: int, measure: str)
         low, high = before, min(len(values), b + (ends[k + 1] - b) // 2 + 1)
         begin = max(before + least, b - (b - before) // 2)
         part = values[low:high]
-        a = np.exp(-np.abs(part[:, None] - part[None, :]) / spread)
+        sums = np.exp(-np.abs(part[:, None] - part[None, :]) / spread).cumsum(axis=0).cumsum(axis=1)
         options = range(begin, min(high, b + (ends[k + 1] - b) // 2 + 1))
-        best = max(options, key=lambda t: (_measures(a, t - low)[measure], -t), default=b)
+        best = max(options, key=lambda t: (round(_measures(sums, t - low)[measure], 12), -t), default=b)
         out.append(best)
         before = best
     return out
