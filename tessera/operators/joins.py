@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.windows import ordinal
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
@@ -59,7 +61,6 @@ def best_match(pairs: DataFrame, keys: list[str], score: Column, order: list) ->
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, left_order: list, right_order: list, group: list[str]) -> DataFrame:
-    """Rows joined by their position within a group."""
-    a = left.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*left_order)))
-    b = right.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*right_order)))
-    return a.join(b, [*group, "position"])
+    """Rows joined by their position within a group; positions are numbered part by part, so no task holds a group."""
+    numbered = [ordinal(side, order, within=tuple(group)).withColumn("position", (F.col("ordinal") + 1).cast("int")).drop("ordinal") for side, order in ((left, left_order), (right, right_order))]
+    return numbered[0].join(numbered[1], [*group, "position"])

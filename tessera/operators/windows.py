@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.bounded import broadcast_if_small
+
 
 def adaptive_threshold(rows: DataFrame, seq: str, pos: str, value: str, n: int, gamma: float) -> DataFrame:
     """Adds ``boundary``: value over gamma * sample deviation + mean of the ``n`` values before it (false with fewer than two)."""
@@ -76,8 +78,8 @@ def neighbours(selected: DataFrame, group: str, block: str, rank: str, n_blocks:
     return first.withColumn("place", place).filter(F.col("place") <= cap).select(group, "neighbour", "place")
 
 
-def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, least_parts: int = 64) -> DataFrame:
-    """Adds ``ordinal`` from 0 in the order of number keys, without one task that sees all rows.
+def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, least_parts: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``ordinal`` from 0 in the order of number keys (of each group ``within``), without one task that sees all rows.
 
     Rows are ranged by the first key between its approximate quantiles, as many as make parts of about ``part_rows`` rows wherever the
     keys lie, counted by part, and numbered inside each part from where the parts before it end.
@@ -88,11 +90,17 @@ def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, least
     bounds = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first()["q"] if n else None
     bounds = sorted(set(bounds or []))
     part = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    named = {c: f"_of_{c}" for c in within}
     parted = rows.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parted.withColumn("_rank", own).join(F.broadcast(starts), "_part").withColumn("ordinal", F.col("_start") + F.col("_rank") - 1).drop("_part", "_n", "_rank", "_start")
+    counts = parted.groupBy("_part", *[F.col(c).alias(n) for c, n in named.items()]).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*named.values()).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("_part").alias("_at"), *named.values(), F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order))
+    same = F.col("_part") == F.col("_at")
+    for c, other in named.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    joined = parted.withColumn("_rank", own).join(broadcast_if_small(starts), same)
+    return joined.withColumn("ordinal", F.col("_start") + F.col("_rank") - 1).drop("_part", "_at", "_rank", "_start", *named.values())
 
 
 def shuffled_stride(rows: DataFrame, key: str, seed: int, world: int, drop_last: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vf
-from tessera.operators import vectors
+from tessera.operators import vectors, windows
 from tessera.plans.base import query
 
 _TOP = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.query_id, d.vec_id, {} AS score FROM q JOIN embeddings d ON q.query_id <> d.vec_id)
@@ -88,10 +88,8 @@ def embedding_cache_staleness(t):
 @query("""SELECT lang, lang || '_' || (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS id, CASE WHEN trim(text) = '' THEN ' ' ELSE text END AS document FROM documents""")
 def collection_rows(t):
     """Keyed rows of a collection: name_index; a blank document becomes one space."""
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return t("documents").select("lang", F.concat_ws("_", "lang", place.cast("string")).alias("id"), F.when(F.trim("text") == "", " ").otherwise(F.col("text")).alias("document"))
+    placed = windows.ordinal(t("documents").select("doc_id", "lang", "text"), ["doc_id"], within=("lang",))
+    return placed.select("lang", F.concat_ws("_", "lang", F.col("ordinal").cast("string")).alias("id"), F.when(F.trim("text") == "", " ").otherwise(F.col("text")).alias("document"))
 
 
 @query("""SELECT md5(i.text || '|hash|all|5') AS key, i.item_id FROM benchmark i WHERE item_id % 3 <> 0""")

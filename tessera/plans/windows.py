@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import windows
+from tessera.operators.bounded import broadcast_if_small
 from tessera.plans.base import query
 
 POS = "p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"
@@ -136,9 +137,10 @@ def shard_shuffled_whole(t):
 @query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS n FROM documents) WHERE r <= floor(n * 0.3)""")
 def prefix_sample(t):
     """The first 30 % of each (pkg, version), a sampling operator."""
-    w = Window.partitionBy("lang", "source")
-    rows = t("documents").select("doc_id", "lang", F.row_number().over(w.orderBy("doc_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return rows.filter("r <= floor(n * 0.3)").select("doc_id", "lang")
+    docs = t("documents").select("doc_id", "lang", "source")
+    sizes = docs.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    placed = windows.ordinal(docs, ["doc_id"], within=("lang", "source")).join(broadcast_if_small(sizes), ["lang", "source"])
+    return placed.filter("ordinal < floor(n * 0.3)").select("doc_id", "lang")
 
 
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE lang NOT IN ('de', 'es')) WHERE r <= 3""")
