@@ -8,35 +8,42 @@ from pyspark.sql import functions as F
 from tessera.llm.common import forget, stored
 
 
+#: Links of one node from which on it is a hub, and how many hubs there may be: with more links more are needed to be one.
+HUB, HUBS = 256, 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``edges`` (a, b), longs.
 
     Each round hangs every node's larger neighbours, then its smaller ones, under its least neighbour; it ends when a round
-    changes no edge.  Rounds grow with the logarithm of the longest chain.  Edges are written to the shared folder each round.
+    changes no edge.  Rounds grow with the logarithm of the longest chain.  Edges are written to the shared folder each round.  The least
+    node of a large component has a link to most of its nodes; such hubs, HUBS at most, are broadcast, so that their links stay where they are.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-
-    def large(pairs: DataFrame) -> DataFrame:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hung = both.join(least(both), "u").filter(F.col("v") > F.col("u"))
-        return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    def large(pairs: DataFrame, links: int) -> DataFrame:
+        lower = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")  # only a smaller neighbour can be the least
+        busy = pairs.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > max(HUB, links // HUBS)).select("v")
+        hubs = F.broadcast(busy.join(lower, "v", "left"))
+        light = pairs.join(F.broadcast(busy), "v", "left_anti").join(lower, "v", "left")
+        hung = light.select("u", "v", "m").unionByName(pairs.join(hubs, "v").select("u", "v", "m"))
+        return hung.select("u", F.coalesce("m", "v").alias("v"))
 
     def small(pairs: DataFrame) -> DataFrame:
-        down = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        joined = down.join(least(down), "u")
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least(down).select("u", F.col("m").alias("v"))).distinct()
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        joined = pairs.join(least, "u").filter("v <> m")
+        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+    def mark(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seal = None
-    while True:
-        before, now = now, stored(small(large(now)))
+    seal = mark(now)
+    while seal[0]:
+        before, now = now, stored(small(large(now, seal[0])))
         forget(before)
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seal:
+        last, seal = seal, mark(now)
+        if seal == last:
             break
-        seal = mark
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -385,6 +385,25 @@ def brute_components(n, linked):
     return [find(x) for x in range(n)]
 
 
+@pytest.mark.parametrize("hub", [256, 2])
+def test_components_by_brute_force(spark, monkeypatch, hub):
+    """Chains, stars around least, greatest and middle nodes, loops and repeated links, with hubs and without."""
+    from tessera.llm import components
+
+    monkeypatch.setattr(components, "HUB", hub)
+    r = random.Random(20)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(0, k) for k in range(1, 40)] + [(99, k) for k in range(60, 90)] + [(220, k) for k in range(200, 240)] + [(5, 5), (1, 0), (-7, 300), (300, -7)]
+    edges += [(r.randrange(400, 500), r.randrange(400, 500)) for _ in range(45)]
+    r.shuffle(edges)
+    root = {n: n for e in edges for n in e}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: c for n, c in root.items() if n != c or any(c == root[m] and m != n for m in root)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def plain_fingerprint(text):
     """64 bits by counting them one by one, words by their definition."""
     import re
