@@ -136,7 +136,18 @@ def build_collections(t):
     return s.join(built, "hash", "left_anti").select("hash", "n")
 
 
-@query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1) SELECT count(*)::BIGINT AS contexts, count(*) FILTER (a > 0)::BIGINT AS inferred, round(count(*) FILTER (a > 0) / count(*)::DOUBLE, 9) AS rate FROM c""")
+@query(f"""WITH {_OVERLAP}, g AS (SELECT item_id, string_agg(text, chr(10) ORDER BY rank) AS c FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1),
+x AS (SELECT b.item_id, array_to_string(list_slice(list_filter(string_split_regex(c, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), 1, 200), ' ') AS context FROM benchmark b LEFT JOIN g USING (item_id)),
+s AS (SELECT item_id, CASE WHEN item_id % 11 = 5 THEN 'locked' WHEN coalesce(context, '') = '' THEN 'error' ELSE 'success' END AS status, context FROM x)
+SELECT status, count(*)::BIGINT AS tasks, count(*) FILTER (status = 'success')::BIGINT AS answered, coalesce(sum(length('Context:' || chr(10) || context || chr(10) || 'Question: ' || b.text)) FILTER (status = 'success'), 0)::BIGINT AS answer_chars FROM s JOIN benchmark b USING (item_id) GROUP BY 1""")
 def two_stage_pipeline(t):
-    c = t("conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("a"))
-    return c.agg(F.count("*").alias("contexts"), F.count_if(F.col("a") > 0).alias("inferred"), F.round(F.count_if(F.col("a") > 0) / F.count("*"), 9).alias("rate"))
+    """Contexts of all items with their status, then prompts and answers of those that have one (the echoing generator), by status."""
+    from tessera.operators import plugins
+
+    items = t("benchmark").select("item_id", F.col("text").alias("question"))
+    contexts = items.join(broadcast_if_small(pack_context_budget(t), known=t("benchmark").count()), "item_id", "left")
+    status = F.when(F.col("item_id") % 11 == 5, "locked").when(F.coalesce("context", F.lit("")) == "", "error").otherwise("success")
+    ready = contexts.select("item_id", status.alias("status"), plugins.prompt("answer", "v1")(F.col("question"), F.col("context")).alias("prompt"))
+    answers = ready.filter("status = 'success'").select("item_id", plugins.generate(F.col("prompt")).alias("answer"))
+    joined = ready.select("item_id", "status").join(answers, "item_id", "left")
+    return joined.groupBy("status").agg(F.count("*").alias("tasks"), F.count("answer").alias("answered"), F.coalesce(F.sum(F.length("answer").cast("long")), F.lit(0)).alias("answer_chars"))
