@@ -36,6 +36,14 @@ def ordered_filters(rows: DataFrame, key: str, done: DataFrame | None = None, ba
     return rows
 
 
+def select_queries(generated: Column, passing: Column, description: Column) -> Column:
+    """struct(chosen, queries): the generated queries that pass, or all of them where none does, or else the description alone."""
+    filled = lambda queries: F.coalesce(F.size(queries) > 0, F.lit(False))
+    chosen = F.when(filled(passing), "filtered").when(filled(generated), "unfiltered").otherwise("description")
+    queries = F.when(filled(passing), passing).when(filled(generated), generated).otherwise(F.array(description))
+    return F.struct(chosen.alias("chosen"), queries.alias("queries"))
+
+
 def with_target_api(queries: Column, packages: Column) -> Column:
     """Of an array of structs (query, target_api) those whose package is among ``packages`` and isn't the language itself.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators import packing, retrieval
+from tessera.operators import dispatch, packing, retrieval
 from tessera.operators.bounded import broadcast_if_small
 from tessera.plans.base import query
 
@@ -114,12 +114,16 @@ def document_dependency_filter(t):
     return t("documents").select("doc_id", F.when(package == "en", "path").when(F.contains("text", F.lit("the")), "content").otherwise("dropped").alias("reason"))
 
 
-@query("""SELECT conv_id, CASE WHEN count(*) FILTER (role = 'system') > 0 THEN 'generated' WHEN count(*) > 4 THEN 'generated' ELSE 'description' END AS chosen, CASE WHEN count(*) FILTER (role = 'system') > 0 THEN count(*) FILTER (role = 'system') WHEN count(*) > 4 THEN count(*) ELSE 1 END::BIGINT AS n FROM conversations GROUP BY 1""")
+@query("""WITH q AS (SELECT conv_id, coalesce(list(text ORDER BY turn) FILTER (role = 'user' AND turn > 1 AND text IS NOT NULL), []) AS generated, coalesce(arg_min(text, turn), '') AS description FROM conversations GROUP BY 1),
+p AS (SELECT *, list_filter(generated, lambda x: contains(lower(x), 'th')) AS passing FROM q)
+SELECT conv_id, CASE WHEN len(passing) > 0 THEN 'filtered' WHEN len(generated) > 0 THEN 'unfiltered' ELSE 'description' END AS chosen,
+  md5(array_to_string(CASE WHEN len(passing) > 0 THEN passing WHEN len(generated) > 0 THEN generated ELSE [description] END, chr(10))) AS queries FROM p""")
 def query_selection(t):
-    """Generated queries that pass the filter, else all of them, else the description."""
-    c = t("conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "system").alias("passing"))
-    generated = F.coalesce(F.nullif("passing", F.lit(0)), F.when(F.col("n") > 4, F.col("n")))
-    return c.select("conv_id", F.when(generated.isNull(), "description").otherwise("generated").alias("chosen"), F.coalesce(generated, F.lit(1)).cast("long").alias("n"))
+    """Later questions of a conversation stand for generated queries, its beginning for the description; those pass that mention a target."""
+    question = F.when((F.col("role") == "user") & (F.col("turn") > 1) & F.col("text").isNotNull(), F.struct("turn", "text"))
+    own = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(question))["text"].alias("generated"), F.coalesce(F.min_by("text", "turn"), F.lit("")).alias("description"))
+    found = dispatch.select_queries(F.col("generated"), F.filter("generated", lambda x: F.contains(F.lower(x), F.lit("th"))), F.col("description"))
+    return own.select("conv_id", found["chosen"].alias("chosen"), F.md5(F.array_join(found["queries"], "\n")).alias("queries"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'locked' WHEN length(text) = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE left(text, 100) END AS context FROM documents""")
