@@ -56,11 +56,17 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     key = F.xxhash64(F.col(doc_id).cast("string"))
     fold = docs.filter(learnable(doc_id, lang) & (F.length(text) <= ROW_CHARS)).select(F.col(lang).alias("lang"), key.alias("key"), F.col(text).alias("text"))
     most = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
-    least = fold.join(F.broadcast(most), "lang").groupBy("lang", F.pmod(F.col("key").bitwiseAND(0xFFFFF), F.lit(SAMPLE_ROWS)).alias("class")).agg(F.min(F.struct("key", "text")).alias("least"))
+    of_class = F.pmod(F.col("key").bitwiseAND(0xFFFFF), F.lit(SAMPLE_ROWS)).alias("class")
+    least = fold.select("lang", "key").join(F.broadcast(most), "lang").groupBy("lang", of_class).agg(F.min("key").alias("key")).collect()
+    if not least:
+        return {}
+    # texts of the picked rows only; where a doc_id is repeated, the least of its texts
+    rows = fold.filter(F.col("key").isin([r["key"] for r in least])).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
+    picked = {(r["lang"], r["key"]) for r in least}
     texts: dict[str, str] = {}
-    for row in sorted(least.collect(), key=lambda r: (r["lang"], r["least"])):
-        longer = f"{texts.get(row['lang'], '')} {row['least']['text']}"
-        if len(longer) <= SAMPLE_CHARS:
+    for row in sorted(rows, key=lambda r: (r["lang"], r["key"])):
+        longer = f"{texts.get(row['lang'], '')} {row['text']}"
+        if (row["lang"], row["key"]) in picked and len(longer) <= SAMPLE_CHARS:
             texts[row["lang"]] = longer
     return texts
 
