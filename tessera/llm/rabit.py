@@ -11,7 +11,7 @@ x = a c + rest follows that a pair at the threshold t has <c, y> >= cos(arccos a
 w = t - (cos(arccos a + arccos t) - e) / a.  A pair whose estimates, either vector being the code, reach that is recomputed in double
 precision on the original vectors; all others are surely below the threshold, so no link is lost.
 
-1. Equal vectors of a label are one, with their number.  Codes, factors and planes, an eighth of the vectors' bytes, go to pairs of blocks
+1. Equal vectors of a label are one, with their number.  Codes, factors and planes, a sixth of the vectors' bytes, go to pairs of blocks
    of BLOCK rows; each returns the rows that have a pair to be recomputed.
 2. Only those rows' vectors are fetched for the pair of blocks, where the open pairs are recomputed.  A unit returns for each vector
    its number of links and one link towards its component, never all pairs.
