@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -89,6 +90,8 @@ def stored(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     index = out._jdf.queryExecution().analyzed().relation().location()
     _kept.append((path, spark._jvm.java.lang.ref.WeakReference(index)))
+    if _scopes.open:
+        _scopes.open[-1].made.append(out)
     application = spark.sparkContext.applicationId
     if application not in _at_exit:
         _at_exit.add(application)
@@ -100,12 +103,53 @@ def stored(df: DataFrame) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Removes what ``stored`` wrote for these tables; nothing may read them, or what was derived from them, any more."""
     global _kept
-    gone = {t._stored_path for t in tables}
+    known = {path for path, _ in _kept}
+    gone = {t._stored_path for t in tables} & known
     for path in gone:
         delete(tables[0].sparkSession, path)
     _kept = [(path, index) for path, index in _kept if path not in gone]
 
 
+class Scope:
+    """The tables that were stored within it, and those that outlive it."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> DataFrame:
+        """These stay after the scope (they belong to the next one outside then); gives the first."""
+        self.kept += tables
+        return tables[0]
+
+
+class _Scopes(threading.local):
+    def __init__(self) -> None:
+        self.open: list[Scope] = []
+
+
+_scopes = _Scopes()
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Owner of the tables that are stored within: at its end, or when it fails, all are removed but those it keeps."""
+    own = Scope()
+    _scopes.open.append(own)
+    try:
+        yield own
+    except BaseException:
+        own.kept = []
+        raise
+    finally:
+        _scopes.open.pop()
+        kept = {t._stored_path for t in own.kept}
+        if gone := [t for t in own.made if t._stored_path not in kept]:
+            forget(*gone)
+        if _scopes.open:
+            _scopes.open[-1].made += [t for t in own.made if t._stored_path in kept]
+
+
 def column_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names not taken by a column of ``df`` (case aside), made from ``wanted`` with underscores in front."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op2_chat, op3_multiindex, op5_mixing, op6_maintext, op7_rabit, op8_simhash, op9_kdshard
+from tessera.llm import op2_chat, op3_multiindex, op5_mixing, op6_maintext, op7_rabit, op8_simhash, op9_kdshard, op13_hamerly
 from tessera.llm.op1_quality import op1_kneser_ney_quality
 from tessera.llm.op4_bpe import op4_byte_level_bpe
 from tessera.llm.op10_langid import op10_language_id
@@ -24,8 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_pivots": op8_simhash.op8_simhash_pivots,
         "op9_kd_tree_shards": op9_kdshard.op9_kd_tree_shards,
         "op10_language_id": op10_language_id,
+        "op13_hamerly_codes": op13_hamerly.op13_hamerly_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_prefix_targets": op2_chat.ORACLE, "op5_poisson_mix": op5_mixing.ORACLE}
+    return {"op2_chat_prefix_targets": op2_chat.ORACLE, "op5_poisson_mix": op5_mixing.ORACLE, "op13_hamerly_codes": op13_hamerly.ORACLE}
