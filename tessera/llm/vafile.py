@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import in_arrow, scope, stored
@@ -34,7 +34,8 @@ from tessera.llm.hamerly import whole_numbers
 
 #: Products of two components stay below 2^52, so that sums over 2,000 dimensions fit.
 LARGEST = 2**26
-CELLS, SAMPLE = 64, 4_096
+#: A cell takes a byte in the file.
+CELLS, SAMPLE = 256, 4_096
 ANCHORS, ROWS = 1_024, 8_192
 
 
@@ -66,12 +67,16 @@ def _kth(values: np.ndarray, k: int) -> int | None:
     return int(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else None
 
 
-def _product(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda total, x: total + x)
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The inner products of ``a`` and ``v`` instead of them."""
+    for batch in batches:
+        if batch.num_rows:
+            a, v = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.int64) for c in ("a", "v"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor_id", "target", "ids")), pa.array(np.einsum("ij,ij->i", a, v))], names=["anchor_id", "target", "ids", "score"])
 
 
 class Miner:
-    """The file over one table; ``made`` tells how many pairs were bounded and how many scored."""
+    """The file over one table, and the searches over it."""
 
     def __init__(self, vectors: DataFrame, every: int, scale: int, ids: int):
         """``ids``: the most rows of one vector and label that any result can hold."""
@@ -157,7 +162,8 @@ class Miner:
     def scored(self, candidates: DataFrame) -> DataFrame:
         """anchor_id, target, vec_id, score: exact scores, a row for each of an entry's vec_ids."""
         vectors = candidates.join(self.entries.select("name", "v", "ids"), "name").join(self.anchors.select("anchor_id", "a"), "anchor_id")
-        return vectors.select("anchor_id", "target", _product("a", "v").alias("score"), F.explode("ids").alias("vec_id"))
+        scores = vectors.select("anchor_id", "target", "ids", "a", "v").transform(in_arrow, _products, "anchor_id long, target long, ids array<long>, score long")
+        return scores.select("anchor_id", "target", "score", F.explode("ids").alias("vec_id"))
 
 
 def _first(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
