@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_arrow, scope, stored
+from tessera.llm.common import forget, in_arrow, scope, stored
 from tessera.llm.hotkeys import join_values
 
 WINDOW = 20
@@ -326,16 +326,23 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
     found = stored(unique.select("doc", "text").transform(in_arrow, _find_anchors, "name long, block long, doc long, first int, last int"))
     counts = stored(found.groupBy("name").agg(F.count("*").alias("n"), F.min("block").alias("one"), F.max("block").alias("other")).filter("n > 1").select("name", "n", (F.col("one") != F.col("other")).alias("differs")))
     shared = stored(join_values(found, counts, ["name"], "n"))
+    forget(found, counts)
     again, blocks = _later(shared, ["name", "block"])
     whole = stored(again.select("doc", "first", "last"))
     edges = shared.filter("differs").join(blocks.select("name", "block", "least.*"), ["name", "block", "doc", "first"], "left_semi")
     looked = edges.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    looked = stored(looked)
+    forget(shared, blocks)
     windows = stored(unique.select("doc", "text").join(looked, "doc").transform(in_arrow, _hash_windows, "low long, high long, doc long, first int"))
-    starts, _ = _later(windows, ["low", "high"])
-    repeats = whole.unionByName(starts.select("doc", "first", F.col("first").alias("last")))
+    forget(looked)
+    starts, least = _later(windows, ["low", "high"])
+    starts = stored(starts.select("doc", "first", F.col("first").alias("last")))
+    forget(windows, least)
+    repeats = whole.unionByName(starts)
     spans = repeats.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kinds = "doc long, doc_id long, repeats long, copies long, n_words long, n_removed long, kept string, removed array<struct<begin:int,end:int>>"
     told = stored(unique.join(spans, "doc", "left").transform(in_arrow, _remove, kinds))
+    forget(unique, whole, starts)
 
     columns = ["doc_id", "n_words", "n_removed", "kept", "removed"]
     short = F.col("n_words") < WINDOW
