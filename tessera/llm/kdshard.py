@@ -3,8 +3,8 @@
 The rows are split recursively along the widest metadata dimension (range within the node over the range of all rows;
 ties to the first dimension) at the weighted median, weights being bytes, until a leaf has the target bytes; a node
 due n leaves is cut where n // 2 of n parts lie left, so any number of shards comes out near equal.  Dimensions are the columns named in
-DIMENSIONS, as far as they are there, and the size: numbers as they are, words by their rank among the different ones (beyond
-RANKED_WORDS of them by a hash).
+DIMENSIONS, as far as they are there, and the size: numbers by their place between zero (or the table's least, if it is less) and the greatest, words by their
+rank among the different ones, which is numbered part by part of their order.
 
 The median is found without sorting: the node's key range is cut into 256 bins, bytes are summed by (node, bin) with
 partial sums, and the search goes on inside the bin that crosses the target, until what it holds is within TOLERANCE of the
@@ -16,8 +16,7 @@ doc_id, since shards would be uneven otherwise.
 Rows are narrowed to numbers once and stored in the shared folder, so the passes don't read texts again.  Slots are
 numbered in 256 hashed parts of each shard, each beginning where the parts before it end, so no task numbers a whole shard.
 
-Edge cases: a null text has no bytes (size 1, CRC of nothing); null metadata come before all others, negative numbers count as zero and
-those over 2^31 as that; null doc_id hashes as the word null; repeated rows are rows of their own and go together unless their key
+Edge cases: a null text has no bytes (size 1, CRC of nothing); null metadata (and numbers that are none) come before all others; null doc_id hashes as the word null; repeated rows are rows of their own and go together unless their key
 is cut; fewer rows than shards leave shards empty; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,24 +27,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stored
+from tessera.llm.common import scope, stored
+from tessera.llm.hotkeys import join_values
 
 BINS, TOLERANCE, SPLIT, PARTS = 256, 0.002, 0.03, 256
-BROADCAST_NODES, RANKED_WORDS = 10_000, 10_000
+BROADCAST_NODES, PLACES = 10_000, 2**31 - 2
 DIMENSIONS = ("source", "lang", "n_chars")
 
 
 def _value(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """``rows`` with the metadata of ``column`` as a number from 0 to 2^31 - 1 in ``out``."""
-    most = F.lit(2**31 - 1)
+    """``rows`` with the metadata of ``column`` in ``out`` as a number from 1 to PLACES that keeps its order, null as 0."""
     if not isinstance(rows.schema[column].dataType, T.StringType):
-        number = F.greatest(F.lit(0), F.least(F.col(column).cast("double"), most - 1)).cast("long") + 1
-        return rows.withColumn(out, F.when(F.col(column).isNull(), F.lit(0)).otherwise(number).cast("long"))
-    words = rows.select(F.col(column).alias("word")).filter("word IS NOT NULL").distinct()
-    if words.limit(RANKED_WORDS + 1).count() > RANKED_WORDS:
-        return rows.withColumn(out, F.when(F.col(column).isNull(), 0).otherwise(F.crc32(F.col(column).cast("binary")) % most).cast("long"))
-    ranks = words.select("word", F.row_number().over(Window.orderBy("word")).cast("long").alias(out))
-    return rows.join(F.broadcast(ranks), F.col(column) == F.col("word"), "left").drop("word").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+        number = F.col(column).cast("double")
+        number = F.when(~F.isnan(number), number)
+        low, high = rows.agg(F.min(number), F.max(number)).first()
+        low, high = (-1.7e308 if low == float("-inf") else low, 1.7e308 if high == float("inf") else high) if low is not None else (0.0, 0.0)
+        low = min(low, 0.0)
+        scale = min(1.0, (PLACES - 1) / max(1.0, high / 2 - low / 2) / 2)
+        place = F.greatest(F.lit(1), F.least(F.floor((number / 2 - low / 2) * (2 * scale)) + 1, F.lit(PLACES)))
+        return rows.withColumn(out, F.when(number.isNull(), F.lit(0)).otherwise(place).cast("long"))
+    words = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("word")).agg(F.count("*").alias("n"))
+    parted = stored(words.orderBy("word").withColumn("part", F.spark_partition_id()))
+    ends, total = {}, 0
+    for r in sorted(parted.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        ends[r["part"]] = total
+        total += r["n"]
+    if not total:
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    start = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])[F.col("part")]
+    rank = start + F.row_number().over(Window.partitionBy("part").orderBy("word"))
+    ranks = stored(parted.select(F.col("word").alias(column), F.ceil(rank * min(1.0, PLACES / total)).cast("long").alias(out), "n"))
+    unknown = rows.filter(F.col(column).isNull()).withColumn(out, F.lit(0).cast("long"))
+    return stored(join_values(rows.filter(F.col(column).isNotNull()), ranks, [column], "n").select(*rows.columns, out).unionByName(unknown))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -58,7 +71,7 @@ def measured(docs: DataFrame) -> DataFrame:
         rows = _value(rows, f"m{k}", f"v{k}")
     text = ["text_crc32", "size"]
     least = rows.groupBy(*text).agg(*[F.min(f"v{k}").alias(f"v{k}") for k in range(len(there))], F.min("size").alias(f"v{len(there)}"))
-    keys = [(F.shiftleft(F.least(F.col(f"v{k}"), F.lit(2**31 - 1)), 32) + F.col("text_crc32")).alias(f"k{k}") for k in range(len(there) + 1)]
+    keys = [(F.shiftleft(F.least(F.col(f"v{k}"), F.lit(PLACES + 1)), 32) + F.col("text_crc32")).alias(f"k{k}") for k in range(len(there) + 1)]
     own = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1).alias("hash")
     return rows.select("doc_id", *text).join(least, text).select("doc_id", *text, *keys, own)
 
@@ -177,8 +190,9 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def assign(docs: DataFrame, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row; as many leaves as given, or as the target bytes need."""
-    rows = stored(measured(docs))
-    if leaves is None:
-        total = rows.agg(F.sum("size")).first()[0] or 0
-        leaves = max(1, -(-total // target_bytes))
-    return numbered(stored(shard(rows, leaves).select("doc_id", "size", "text_crc32", "shard")))
+    with scope() as own:
+        rows = stored(measured(docs))
+        if leaves is None:
+            total = rows.agg(F.sum("size")).first()[0] or 0
+            leaves = max(1, -(-total // target_bytes))
+        return numbered(own.keep(stored(shard(rows, leaves).select("doc_id", "size", "text_crc32", "shard"))))

@@ -157,6 +157,7 @@ def test_language_sample_is_bounded(spark):
     one = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
     rows = [(one, f"wort {i} " * 50, "de") for i in range(3000)] + [(i, "word " * 100, "en") for i in range(2000)] + [(9000 + i, "x" * 20_000, "long") for i in range(9)]
     texts = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(texts.pop("long")) == {" ", "x"}  # its rows are all long: learnt from their beginnings
     assert set(texts) == {"de", "en"} and all(len(t) <= langid.SAMPLE_CHARS for t in texts.values())
     assert texts["de"].strip() in {t.strip() for _, t, _ in rows}  # one row of a repeated doc_id, whole
 
@@ -609,3 +610,25 @@ def test_lstm_gradients_by_differences():
             down = model._gradients(p, y)[0]
             model.w[key][spot] = before
             assert g[key][spot] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_every_language_is_learnt(spark):
+    """As many languages as there are labels, whatever their number."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[k % 26]}{letters[k // 26]} " * 20, f"l{k}") for k in range(600) for i in range(4 * k, 4 * k + 4)]
+    assert set(langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {f"l{k}" for k in range(600)}
+
+
+def test_shard_dimensions_keep_their_order(spark):
+    """More words than any bound, numbers of any size and sign: places ascend as the values do, null first."""
+    words = [(f"w{k:05d}" if k % 50 else None, x) for k, x in zip(range(12_000), [None, float("nan"), -1e300, -5.5, 0.0, 3e9, 3e9 + 1, 1e18, float("inf")] * 2000)]
+    rows = spark.createDataFrame(words, "m0 string, m1 double")
+    found = kdshard._value(kdshard._value(rows, "m0", "v0"), "m1", "v1").collect()
+    assert len(found) == 12_000
+    for m, v in (("m0", "v0"), ("m1", "v1")):
+        known = sorted((r[m], r[v]) for r in found if r[m] is not None and r[m] == r[m])
+        assert all(r[v] == 0 for r in found if r[m] is None or r[m] != r[m])
+        assert [v for _, v in known] == sorted(v for _, v in known) and known[0][1] >= 1 and known[-1][1] <= kdshard.PLACES
+    assert len({r["v0"] for r in found}) == 1 + len({r["m0"] for r in found} - {None})
+    whole = spark.createDataFrame([(-3,), (7,), (2**31,), (None,)], "m long")
+    assert sorted(r["v"] for r in kdshard._value(whole, "m", "v").collect()) == [0, 1, 11, 2**31 - 2]
