@@ -11,9 +11,9 @@ from zlib import crc32
 
 import numpy as np
 
-from tessera.llm.htmlblocks import Block
+from tessera.llm.htmlblocks import NAMES, Block
 
-NAMES, WORDS, NAME_SIZE, WORD_SIZE, MEASURES, HIDDEN = 1_024, 1_024, 24, 8, 6, 24
+WORDS, NAME_SIZE, WORD_SIZE, MEASURES, HIDDEN = 1_024, 24, 8, 6, 24
 
 
 def _hash(word: str, size: int) -> int:
@@ -40,14 +40,15 @@ class Pages:
     """The blocks of some pages as arrays."""
 
     def __init__(self, pages: Iterable[list[Block]]):
-        names, name_block, words, word_block, measures, step, page = [], [], [], [], [], [], []
+        names, counts, name_block, words, word_block, measures, step, page = [], [], [], [], [], [], [], []
         sizes = []
         for number, blocks in enumerate(pages):
             sizes.append(len(blocks))
             for at, block in enumerate(blocks):
                 row = len(step)
-                own = [NAME_HASHES[n] for n in block.path]
+                own = block.path if block.counts else [NAME_HASHES[n] for n in block.path]
                 names += own
+                counts += block.counts or [1] * len(own)
                 name_block += [row] * len(own)
                 split = block.text.split()
                 words += [WORD_HASHES[w] for w in split]
@@ -58,6 +59,7 @@ class Pages:
                 step.append(at)
                 page.append(number)
         self.names, self.name_block = np.array(names, dtype=np.int64), np.array(name_block, dtype=np.int64)
+        self.counts = np.array(counts, dtype=np.float64)[:, None]
         self.words, self.word_block = np.array(words, dtype=np.int64), np.repeat(np.arange(len(step)), word_block)
         self.word_count = np.maximum(1, np.array(word_block, dtype=np.float64))
         self.measures = np.array(measures, dtype=np.float64).reshape(len(step), MEASURES)
@@ -91,7 +93,7 @@ class BlockLabeller:
 
     def _inputs(self, p: Pages) -> np.ndarray:
         n = len(p.step)
-        names = _sum_rows(self.w["names"][p.names], p.name_block, n)
+        names = _sum_rows(self.w["names"][p.names] * p.counts, p.name_block, n)
         words = _sum_rows(self.w["words"][p.words], p.word_block, n) / p.word_count[:, None]
         return np.concatenate([names, words, p.measures], axis=1)
 
@@ -157,7 +159,7 @@ class BlockLabeller:
             g |= {f"x{side}": x.T @ da, f"h{side}": dw, f"b{side}": da.sum(axis=0)}
             dx += da @ self.w[f"x{side}"].T
         g["names"], g["words"] = np.zeros_like(self.w["names"]), np.zeros_like(self.w["words"])
-        np.add.at(g["names"], p.names, dx[p.name_block, :NAME_SIZE])
+        np.add.at(g["names"], p.names, dx[p.name_block, :NAME_SIZE] * p.counts)
         np.add.at(g["words"], p.words, (dx[:, NAME_SIZE : NAME_SIZE + WORD_SIZE] / p.word_count[:, None])[p.word_block])
         return float(loss), g
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from html import unescape
 from typing import NamedTuple
+from zlib import crc32
 
 #: Element names by the role they play here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
@@ -27,14 +28,19 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
-#: Elements at either end of a path that are named; what lies between them in pages nested deeper isn't.
-ENDS = 24
+#: Names are hashed to so many numbers; paths of more than DEEP elements are kept as how often each number is there.
+NAMES, DEEP = 1_024, 48
 
 
 class Block(NamedTuple):
-    path: tuple[str, ...]
+    path: tuple[str, ...] | tuple[int, ...]  # names, or their numbers where ``counts`` are given
     text: str
     linked: int  # characters inside links
+    counts: tuple[int, ...] = ()
+
+
+def number_of(name: str) -> int:
+    return crc32(name.encode("utf-8", "surrogatepass")) % NAMES
 
 
 def names_of(tag: str, attributes: str) -> tuple[str, ...]:
@@ -57,6 +63,7 @@ def blocks(html: str | None) -> list[Block]:
     page, out = html or "", []
     stack: list[tuple[str, tuple[str, ...]]] = []
     open_: Counter[str] = Counter()  # elements of the stack by name: what isn't there needn't be looked for
+    inside: Counter[int] = Counter()  # numbers of the names along the stack
     held: list[str] = []
     links, linked, at = 0, 0, 0
 
@@ -65,8 +72,11 @@ def blocks(html: str | None) -> list[Block]:
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                shown = stack if len(stack) <= 2 * ENDS else stack[:ENDS] + stack[-ENDS:]
-                out.append(Block(tuple(n for _, names in shown for n in names), text, linked))
+                if len(stack) <= DEEP:
+                    out.append(Block(tuple(n for _, names in stack for n in names), text, linked))
+                else:
+                    counted = {n: c for n, c in inside.items() if c}
+                    out.append(Block(tuple(counted), text, linked, tuple(counted.values())))
             held.clear()
         linked = 0
 
@@ -76,6 +86,7 @@ def blocks(html: str | None) -> list[Block]:
         gone = Counter(name for name, _ in stack[index:])
         links -= gone["a"]
         open_.subtract(gone)
+        inside.subtract(number_of(n) for _, names in stack[index:] for n in names)
         del stack[index:]
 
     while True:
@@ -98,6 +109,7 @@ def blocks(html: str | None) -> list[Block]:
                     if tag in INLINE:
                         links -= tag == "a"
                         open_[tag] -= 1
+                        inside.subtract(map(number_of, stack[index][1]))
                         del stack[index]
                     else:
                         pop_to(index)
@@ -137,6 +149,7 @@ def blocks(html: str | None) -> list[Block]:
         if not token[3].rstrip().endswith("/"):
             stack.append((tag, names_of(tag, token[3])))
             open_[tag] += 1
+            inside.update(map(number_of, stack[-1][1]))
         elif tag == "a":
             links -= 1
     flush()

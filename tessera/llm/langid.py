@@ -14,9 +14,9 @@ included.
 ``score`` is 1 - least / runner-up (0: a tie, near 1: much closer than any other; 1 where one language only was learnt).
 
 Bounds of what is learnt, by language: whole rows of ROW_CHARS characters at most, one from each of SAMPLE_ROWS hash classes of doc_id, in
-order of their hashes as long as SAMPLE_CHARS aren't exceeded; the MOST_LANGUAGES languages with the most rows.  So the same rows
-are learnt whatever the partitioning; nothing else goes to the driver, and the samples alone go to the executors.  Languages whose
-rows are all longer than ROW_CHARS aren't learnt.
+order of their hashes as long as SAMPLE_CHARS aren't exceeded.  So the same rows are learnt whatever the partitioning; nothing else
+goes to the driver, and the samples alone go to the executors.  Of a language whose rows are all longer, the rows with the least
+hashes are learnt from their first ROW_CHARS characters.
 
 An automaton's moves are a table of its states by its own sample's letters, others being one class; where that would exceed TABLE
 entries the moves are sorted keys instead.
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import column_names, in_arrow, worker_tables
 
-SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS, MOST_LANGUAGES = 40, 40_000, 10_000, 500
+SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 40, 40_000, 10_000
 #: Characters that are followed in step, and entries of a table of moves.
 BLOCK, TABLE = 1_024, 8_000_000
 UNKNOWN = "und"
@@ -54,14 +54,17 @@ def learnable(doc_id: str = "doc_id", lang: str = "lang") -> Column:
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
     """Training text by language, within the bounds above; one row of each of SAMPLE_ROWS hash classes, by partial minima."""
     key = F.xxhash64(F.col(doc_id).cast("string"))
-    fold = docs.filter(learnable(doc_id, lang) & (F.length(text) <= ROW_CHARS)).select(F.col(lang).alias("lang"), key.alias("key"), F.col(text).alias("text"))
-    most = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    long = (F.length(text) > ROW_CHARS).alias("long")
+    fold = docs.filter(learnable(doc_id, lang) & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), key.alias("key"), long, F.substring(text, 1, ROW_CHARS).alias("text"))
     of_class = F.pmod(F.col("key").bitwiseAND(0xFFFFF), F.lit(SAMPLE_ROWS)).alias("class")
-    least = fold.select("lang", "key").join(F.broadcast(most), "lang").groupBy("lang", of_class).agg(F.min("key").alias("key")).collect()
+    least = fold.groupBy("lang", of_class).agg(F.min(F.struct("long", "key")).alias("least")).select("lang", "least.*").collect()
+    short = {r["lang"] for r in least if not r["long"]}
+    least = [r for r in least if not r["long"] or r["lang"] not in short]
     if not least:
         return {}
     # texts of the picked rows only; where a doc_id is repeated, the least of its texts
-    rows = fold.filter(F.col("key").isin([r["key"] for r in least])).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
+    wanted = fold.filter(F.col("key").isin([r["key"] for r in least]) & (~F.col("long") | ~F.col("lang").isin(sorted(short))))
+    rows = wanted.groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
     picked = {(r["lang"], r["key"]) for r in least}
     texts: dict[str, str] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["key"])):

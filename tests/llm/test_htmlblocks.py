@@ -1,8 +1,10 @@
 """Self-closed foreign elements, and text inside formulas, objects and canvases."""
 
+from collections import Counter
+
 import pytest
 
-from tessera.llm.htmlblocks import blocks
+from tessera.llm.htmlblocks import NAMES, blocks, number_of
 
 
 @pytest.mark.parametrize("closed", ["<svg/>", '<svg class="icon" />', "<math/>", '<math display="block" />'])
@@ -36,6 +38,17 @@ def test_quotes_swallow_no_text(page, texts):
     assert [b.text for b in blocks(page)] == texts
 
 
+def test_paths_of_deep_pages_are_whole():
+    """The names in the middle of a deep path count as well: the same vector as of the names one by one."""
+    names = [f"c{'abcdefghij'[k % 10]}{'klmnopq'[k % 7]}" for k in range(90)]
+    page = "".join(f'<div class="{n}">' for n in names) + "text" + "</div>" * 60 + "<p>more</p>"
+    first, second = blocks(page)
+    assert len(first.path) <= NAMES and sum(first.counts) == 180
+    expected = Counter(number_of(n) for n in ["div"] * 90 + [f".{n}" for n in names])
+    assert dict(zip(first.path, first.counts)) == expected
+    assert second.path == tuple(x for n in names[:30] for x in ("div", f".{n}")) + ("p",) and second.counts == ()
+
+
 def test_deep_pages_take_linear_time():
     import time
 
