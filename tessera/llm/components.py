@@ -13,7 +13,7 @@ HUB, HUBS = 256, 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links reach, for every node of ``edges`` (a, b), longs.
+    """(node, component): the smallest node that links reach, for every node of ``edges`` (a, b), longs that aren't null.
 
     Each round hangs every node's larger neighbours, then its smaller ones, under its least neighbour; it ends when a round
     changes no edge.  Rounds grow with the logarithm of the longest chain.  Edges are written to the shared folder each round.  The least

@@ -1,10 +1,8 @@
 """The pipeline's stages on the smallest tables, each against a plain version over the rows it was given."""
 
-import gc
 import hashlib
 import math
 import os
-import time
 
 import pytest
 
@@ -13,7 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 
 from tessera.llm import bpe, langid  # noqa: E402
-from tessera.llm.common import forget, shared_dir, stored  # noqa: E402
+from tessera.llm.common import scope, shared_dir, stored  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -114,16 +112,22 @@ def test_stages_on_edge_rows(spark, tmp_path, number):
     assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
 
 
-def test_run_leaves_no_folder(spark):
-    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
-    assert corpus_pipeline.run(spark, DATA).count() > 0
-    left = before | {""}
-    for _ in range(10):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-        forget(stored(spark.range(1)))  # sweeps
-        left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
-        if len(left) <= 1:
-            break
-    assert len(left) <= 1  # Spark may still hold the plan that ran last
+def test_run_leaves_no_folder(spark, monkeypatch):
+    def folders():
+        return set(os.listdir(shared_dir(spark).removeprefix("file:")))
+
+    before = folders()
+    with scope():
+        found = corpus_pipeline.run(spark, DATA)
+        assert len(folders() - before) == 1  # what the last stage's plan reads
+        assert found.count() > 0
+    assert folders() <= before
+
+    def fails(spark, docs, sf_dir):
+        stored(docs).count()
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[3], ("fails", fails), corpus_pipeline.STAGES[4]])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, DATA)
+    assert folders() <= before
