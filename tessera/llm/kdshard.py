@@ -44,7 +44,7 @@ def _value(rows: DataFrame, column: str, out: str) -> DataFrame:
         low, high = (-1.7e308 if low == float("-inf") else low, 1.7e308 if high == float("inf") else high) if low is not None else (0.0, 0.0)
         low = min(low, 0.0)
         scale = min(1.0, (PLACES - 1) / max(1.0, high / 2 - low / 2) / 2)
-        place = F.greatest(F.lit(1), F.least(F.floor((number / 2 - low / 2) * (2 * scale)) + 1, F.lit(PLACES)))
+        place = F.floor(F.greatest(F.lit(0.0), F.least((number / 2 - low / 2) * (2 * scale), F.lit(PLACES - 1.0)))) + 1
         return rows.withColumn(out, F.when(number.isNull(), F.lit(0)).otherwise(place).cast("long"))
     words = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("word")).agg(F.count("*").alias("n"))
     parted = stored(words.orderBy("word").withColumn("part", F.spark_partition_id()))
