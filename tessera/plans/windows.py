@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tessera.operators import windows
 from tessera.operators.bounded import broadcast_if_small
 from tessera.plans.base import query
+from tessera.streaming import memory
 
 POS = "p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"
 
@@ -186,3 +187,14 @@ def sequential_error_ids(t):
     rows = windows.ordinal(t("events").filter("event_type = 'error'").select("event_id"), ["event_id"])
     number = (F.col("ordinal") + 1).cast("string")
     return rows.select("event_id", F.concat(F.lit("error_"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("error_id"))
+
+
+@query()
+def memory_steps(t):
+    """Each label's vectors as blocks in the order of vec_id, eight a step; the last one of a step asks."""
+    e = t("embeddings").filter("label IS NOT NULL").select(F.col("label").cast("long").alias("seq"), "vec_id", F.col("embedding").cast("array<double>").alias("rep"))
+    placed = windows.ordinal(e, ["vec_id"], within=("seq",)).withColumn("step", F.expr("ordinal div 8"))
+    block = F.struct("vec_id", F.expr("CAST(40 + vec_id * 7 % 60 AS INT)").alias("size"), "rep")
+    steps = placed.groupBy("seq", "step").agg(F.array_sort(F.collect_list(block)).alias("all"))
+    given = steps.select("seq", "step", F.transform("all", lambda b: b.dropFields("vec_id")).alias("blocks"), F.element_at("all", -1)["rep"].alias("query"))
+    return memory.remember(given, memory.Budget(cap=600, buffer=250, cache=1500))
