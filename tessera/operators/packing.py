@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.operators.bounded import broadcast_if_small
+from tessera.operators.scans import numbered_parts
 
 
 def first_fit(sizes: list[int], block: int) -> list[int]:
-    """Bin of each item when items go, the smallest first, into the first bin with room; larger ones get bins of their own.
+    """Bin of each item of one list when items go, the smallest first, into the first bin with room; larger ones get bins of their own.
 
     Ascending sizes make the first bin with room the newest one or none, so bins close for good and the walk is linear.
     """
@@ -29,14 +30,19 @@ def first_fit(sizes: list[int], block: int) -> list[int]:
 
 
 def pack_first_fit(rows: DataFrame, group: str, item: str, size: str, block: int) -> DataFrame:
-    """(group, item, size, bin): greedy packing of each group, one task a group's (item, size) pairs only."""
+    """(group, item, size, bin) as by ``first_fit`` over each group, ties by item, null sizes being none.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item, kind="stable").reset_index(drop=True)
-        return pdf.assign(bin=pd.Series(first_fit(pdf[size].tolist(), block), dtype="int64"))
+    The state is what the newest bin holds (a full one counts as ``block``), and chunks of a group are composed (``scans``): no task holds
+    a whole group.
+    """
+
+    def step(used, n):
+        begins = (used == 0) | (used + n > block)
+        return np.where(begins, n, used + n).clip(max=block), begins & (n > 0)
 
-    narrow = rows.select(group, item, F.col(size).cast("long").alias(size))
-    return narrow.groupBy(group).applyInPandas(run, T.StructType([*narrow.schema.fields, T.StructField("bin", T.LongType())]))
+    narrow = rows.select(group, item, F.coalesce(size, F.lit(0)).cast("long").alias(size))
+    parts = numbered_parts(narrow, group, [size, item], size, step, block + 1)
+    return parts.select(group, item, size, F.greatest("part", F.lit(0)).alias("bin"))
 
 
 def share_budget(rows: DataFrame, group: str, size: str, budget: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text
 from tessera.operators.bounded import spread
+from tessera.operators.overlap import best_overlaps
 
 
 #: Postings (token, item) that may be held by every worker; more of them are joined by shuffle.
@@ -24,7 +25,8 @@ def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc:
     The postings of the stated items are small (checked): they go to the workers, and a document's matches are counted
     where it is read, so that only pairs leave.  Beyond that bound documents' tokens meet the postings by an equi-join.
     With ``best`` the pairs may be only those that can be among the ``best`` of their item, smaller documents first among equals:
-    each batch then leaves that many rows an item, and not one for each pair that shares some common word.
+    each batch then leaves that many rows an item, and beyond the bound an index with bounds is asked (``overlap``), so that frequent
+    tokens aren't joined whole.
     """
     asked = items.select(F.col(item).cast("long").alias(item), text.token_set(F.col(body)).alias("q"))
     postings = asked.select(item, F.size("q").alias("nq"), F.explode("q").alias("token"))
@@ -32,6 +34,8 @@ def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc:
     held = postings.limit(POSTINGS + 1).collect()
     if len(held) <= POSTINGS:
         pairs = _counted_in_place(own, held, item, doc, best)
+    elif best is not None:
+        return best_overlaps(asked, own, item, doc, best)
     else:
         tokens = own.select(doc, F.size("d").alias("nd"), F.explode("d").alias("token"))
         pairs = tokens.join(postings, "token").groupBy(item, doc, "nq", "nd").agg(F.count("*").alias("common"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.bounded import broadcast_if_small
+from tessera.tables import written
 
 
 def adaptive_threshold(rows: DataFrame, seq: str, pos: str, value: str, n: int, gamma: float) -> DataFrame:
@@ -37,19 +39,16 @@ def islands(rows: DataFrame, seq: str, pos: str, boundary: str = "boundary") ->
 def bounded_segments(rows: DataFrame, seq: str, pos: str, least: int, most: int, boundary: str = "boundary") -> DataFrame:
     """(seq, begin, length): segments of ``least`` to ``most`` positions; a shorter one is held until it is long enough, a longer one is cut.
 
-    One ordered fold over each sequence, in the JVM.
+    The state is the number of positions since the last cut; chunks of a sequence are composed (``scans``), so no task or row holds a whole one.
     """
-    flags = rows.groupBy(seq).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(boundary).alias("b")))), lambda x: x["b"]).alias("flags"))
-    start = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("done"))
+    from tessera.operators.scans import numbered_parts
 
-    def step(acc: Column, flag: Column) -> Column:
-        closes = (flag & (acc["run"] >= least)) | (acc["run"] >= most)
-        return F.struct(F.when(closes, 1).otherwise(acc["run"] + 1).alias("run"), F.when(closes, F.array_append(acc["done"], acc["run"])).otherwise(acc["done"]).alias("done"))
+    def step(run, flag):
+        begins = (run == 0) | (bool(flag) & (run >= least)) | (run >= most)
+        return np.where(begins, 1, run + 1).clip(max=most), begins
 
-    folded = flags.select(seq, F.aggregate("flags", start, step).alias("a"))
-    lengths = folded.select(seq, F.filter(F.array_append(F.col("a.done"), F.col("a.run")), lambda n: n > 0).alias("lengths"))
-    begins = F.transform("lengths", lambda n, i: F.struct(F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda s, x: s + x).alias("begin"), n.alias("length")))
-    return lengths.select(seq, F.inline(begins))
+    parts = numbered_parts(rows.select(seq, pos, F.coalesce(boundary, F.lit(False)).cast("boolean").alias("flag")), seq, [pos], "flag", step, most + 1)
+    return parts.groupBy(seq, "part").agg(F.min("ordinal").cast("int").alias("begin"), F.count("*").cast("int").alias("length")).drop("part")
 
 
 def within_budget(rows: DataFrame, group: str, order: list, size: str, cap: float) -> DataFrame:
@@ -78,28 +77,24 @@ def neighbours(selected: DataFrame, group: str, block: str, rank: str, n_blocks:
     return first.withColumn("place", place).filter(F.col("place") <= cap).select(group, "neighbour", "place")
 
 
-def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, least_parts: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``ordinal`` from 0 in the order of number keys (of each group ``within``), without one task that sees all rows.
+def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``ordinal`` from 0 in the whole order (of each group ``within``, nulls first), without one task that sees all rows.
 
-    Rows are ranged by the first key between its approximate quantiles, as many as make parts of about ``part_rows`` rows wherever the
-    keys lie, counted by part, and numbered inside each part from where the parts before it end.
+    Rows are ranged by all keys, so that ties on the first are split by the others, and written with their part; parts are counted, and
+    rows are numbered inside each part from where the parts before it end.
     """
-    key = order[0]
-    n = rows.count()
-    parts = max(least_parts, -(-n // part_rows))
-    bounds = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first()["q"] if n else None
-    bounds = sorted(set(bounds or []))
-    part = F.array_size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
+    ranged = written(rows.repartitionByRange(parts, *within, *order).withColumn("_part", F.spark_partition_id()))
     named = {c: f"_of_{c}" for c in within}
-    parted = rows.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    counts = parted.groupBy("_part", *[F.col(c).alias(n) for c, n in named.items()]).agg(F.count("*").alias("_n"))
+    counts = ranged.groupBy("_part", *[F.col(c).alias(n) for c, n in named.items()]).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*named.values()).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col("_part").alias("_at"), *named.values(), F.coalesce(before, F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order))
     same = F.col("_part") == F.col("_at")
     for c, other in named.items():
         same = same & F.col(c).eqNullSafe(F.col(other))
-    joined = parted.withColumn("_rank", own).join(broadcast_if_small(starts), same)
+    joined = ranged.withColumn("_rank", own).join(broadcast_if_small(starts), same)
     return joined.withColumn("ordinal", F.col("_start") + F.col("_rank") - 1).drop("_part", "_at", "_rank", "_start", *named.values())
 
 

@@ -97,7 +97,11 @@ def passkey_extension(t):
     return t("documents").select("doc_id", F.concat(F.lit("x"), F.repeat(F.lit("noise "), 5), F.substring("text", 1, 40), F.repeat(F.lit(" noise"), 5)).alias("padded"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, s AS (SELECT source, doc_id, len(w)::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY len(w), doc_id) AS place FROM w),
+f AS (SELECT source, doc_id, n, place, n AS used, 0::BIGINT AS bin FROM s WHERE place = 1 UNION ALL
+SELECT source, doc_id, n, place, CASE WHEN closed THEN n ELSE used + n END, bin + closed::BIGINT FROM (
+  SELECT s.source, s.doc_id, s.n, s.place, f.used, f.bin, f.used > 0 AND f.used + s.n > 512 AS closed FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source AND s.place = f.place + 1))
+SELECT source, doc_id, n, bin FROM f""")
 def first_fit_pack(t):
     """Greedy packing of word counts into blocks of 512 for each source."""
     rows = t("documents").select("source", "doc_id", F.size(text.words(F.col("text"))).alias("n"))

@@ -9,6 +9,7 @@ from tessera.functions import text
 from tessera.operators import dispatch, packing, retrieval
 from tessera.operators.bounded import broadcast_if_small
 from tessera.plans.base import query
+from tessera.tables import written
 
 _OVERLAP = """qt AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 1)) AS q FROM benchmark),
 dt AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 1)) AS d FROM documents),
@@ -61,11 +62,12 @@ def exact_then_similarity(t):
 
 def fill_candidates(t, top_n: int):
     """task, phase, query, rank, doc, tokens.  Phase one: every document that holds the query, in order, or else the nearest one;
-    phase two: the ``top_n`` nearest without the query's picks of phase one.  A task is four queries."""
-    near, exact = ranked(t, top_n).select("item_id", "doc_id", "rank"), retrieval.containment(t("benchmark"), t("documents"))
+    phase two: the ``top_n`` nearest (what was chosen in phase one is skipped when it is filled).  A task is four queries.
+    Both searches run once."""
+    near, exact = written(ranked(t, top_n).select("item_id", "doc_id", "rank")), written(retrieval.containment(t("benchmark"), t("documents")))
     first = exact.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
     first = first.unionByName(near.filter("rank = 1").join(exact, "item_id", "left_anti")).withColumn("phase", F.lit(1))
-    rest = near.join(first.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti").withColumn("phase", F.lit(2))
+    rest = near.withColumn("phase", F.lit(2))
     sizes = t("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("tokens"))
     sized = sizes.join(broadcast_if_small(first.unionByName(rest)), "doc_id")
     return sized.select(F.expr("item_id div 4").alias("task"), "phase", F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("doc"), "tokens")

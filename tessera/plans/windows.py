@@ -35,7 +35,10 @@ def segments_from_boundaries(t):
     return windows.islands(t("events").withColumn("boundary", F.col("value") > 100), "user_id", "event_id").select("event_id", "segment")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POS}, f AS (SELECT user_id, pos, 1 AS run, 0 AS segment FROM p WHERE pos = 0 UNION ALL
+SELECT user_id, pos, CASE WHEN cut THEN 1 ELSE run + 1 END, segment + cut::INT FROM (
+  SELECT p.user_id, p.pos, f.run, f.segment, (p.value > 60 AND f.run >= 4) OR f.run >= 16 AS cut FROM f JOIN p ON p.user_id = f.user_id AND p.pos = f.pos + 1))
+SELECT user_id, min(pos)::INT AS begin, count(*)::INT AS length FROM f GROUP BY user_id, segment""")
 def bounded_segments(t):
     """Segments of 4 to 16 positions."""
     return windows.bounded_segments(t("events").withColumn("boundary", F.col("value") > 60), "user_id", "event_id", 4, 16)
