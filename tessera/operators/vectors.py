@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.vectors import cosine, dot, norm  # noqa: F401
+from tessera.operators.blocksearch import BlockSearch
 
-#: Queries that are held on every executor; of more, blocks of them meet blocks of rows by a shuffle.
-QUERY_BLOCK, ROW_BLOCK = 4_096, 65_536
+#: Queries that are held on every executor; more of them look into blocks of about ROW_BLOCK rows (``blocksearch``).
+QUERY_BLOCK, ROW_BLOCK = 4_096, 32_768
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -31,7 +32,7 @@ def _nearest(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, k:
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, measure: str = "dot") -> DataFrame:
-    """Exact (query_id, vec_id, score, rank) by blocks of queries against all rows: matrix products, partial top-k in each block."""
+    """Exact (query_id, vec_id, score, rank): matrix products against all rows with a partial top-k in each batch, or blocks with bounds."""
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     given = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     held = asked.limit(QUERY_BLOCK + 1).collect()
@@ -47,19 +48,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, measure: str = "dot") ->
 
         found = given.mapInArrow(run, _FOUND)
     else:
-        n_asked, n_given = -(-asked.count() // QUERY_BLOCK), max(1, -(-given.count() // ROW_BLOCK))
-        block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = asked.withColumn("a", block("query_id", n_asked)).withColumn("b", every(n_given))
-        right = given.withColumn("b", block("vec_id", n_given)).withColumn("a", every(n_asked))
-
-        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            q, x = (_matrix(side.column("embedding"), side.num_rows, measure) for side in (a, b))
-            return pa.Table.from_batches([_nearest(a.column("query_id").to_numpy(), q, b.column("vec_id").to_numpy(), x, k)])
-
-        found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, _FOUND)
+        return BlockSearch(given, measure, block_rows=ROW_BLOCK).top_k(asked, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return found.filter("query_id <> vec_id").withColumn("rank", rank).filter(F.col("rank") <= k)
 
