@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +12,8 @@ from tessera.operators import dispatch, packing, retrieval
 from tessera.operators.bounded import spread
 from tessera.plans.base import query
 from tessera.plans.retrieval import _OVERLAP, fill_candidates, ranked
+from tessera.sources.collections import Collection
+from tessera.tables import delete, shared_dir, written
 
 
 def _tasks(t):
@@ -114,3 +118,21 @@ def score_by_dataset(t):
     rows = spread(t("conversations").filter("text IS NOT NULL").select("conv_id", "turn", "text")).select(dataset.alias("dataset"), truth.alias("truth"), F.concat("text", F.lit(" "), digit, F.lit(" 7")).alias("prediction"))
     scored = rows.withColumn("score", metrics.score(F.col("dataset"), F.col("prediction"), F.col("truth"), F.lit(None).cast("array<string>"), _ASKED))
     return scored.groupBy("dataset").agg(F.count("*").alias("n"), F.round(100 * F.avg("score"), 2).alias("score"))
+
+
+@query("""WITH a AS (SELECT lang, source, doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT lang, source, doc_id, n_chars * 2 AS n_chars FROM documents WHERE doc_id % 3 <> 1)
+SELECT doc_id, max(n_chars)::BIGINT AS n_chars, (count(*) > 1) AS replaced FROM (SELECT doc_id, n_chars FROM a UNION ALL SELECT doc_id, n_chars FROM b) u WHERE doc_id % 5 <> 0 GROUP BY doc_id""")
+def collection_upsert(t):
+    """A stored collection of documents: rows are put in, some replaced, some removed, and all read back."""
+    docs = t("documents").filter("doc_id IS NOT NULL").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    try:
+        kept = Collection(spark, path, ["doc_id"], "doc_id long, n_chars long, replaced boolean", buckets=16)
+        kept.upsert(docs.filter("doc_id % 3 <> 0").withColumn("replaced", F.lit(False)))
+        both = docs.filter("doc_id % 3 <> 1").select("doc_id", (F.col("n_chars") * 2).alias("n_chars"), (F.col("doc_id") % 3 == 2).alias("replaced"))
+        kept.upsert(both)
+        kept.remove(F.col("doc_id") % 5 == 0)
+        return written(kept.get())
+    finally:
+        delete(spark, path)
