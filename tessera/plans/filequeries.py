@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.base import query
-from tessera.sources import files
+from tessera.sources import files, jsonsource
+from tessera.tables import delete, shared_dir, written
 
 NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: under the one for checkpoints, or a temporary one where there is but one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^-\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir names no folder; set it to one that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+@contextmanager
+def folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder where all executors can write, which goes at the end; what was read of it must be ``written`` before."""
+    base = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    try:
+        yield base
+    finally:
+        delete(spark, base)
 
 
 def _read(name: str, rows: DataFrame) -> DataFrame:
@@ -36,8 +37,12 @@ def json_sources(t):
     """What each source reads of the same table: lines, tolerant lines and their rejects, an array, by name, objects one after the other,
     one partition of a corpus, and a result log that is appended twice."""
     nation = t("nation").select("n_nationkey", "n_name", "n_regionkey")
+    with folder(nation.sparkSession) as base:
+        return written(_json_sources(nation, base))
+
+
+def _json_sources(nation: DataFrame, base: str) -> DataFrame:
     spark = nation.sparkSession
-    base = folder(spark)
     objects = nation.select(F.to_json(F.struct("*")).alias("value"))
     objects.coalesce(1).write.text(f"{base}/lines.jsonl")
     spoiled = spark.createDataFrame([("",), ("not json",), ("not json",)], "value string")
@@ -72,25 +77,39 @@ def json_sources(t):
 def merged_ranks(t):
     """Outputs of two workers merged; of equal keys the last worker's counts."""
     nation = t("nation").select("n_nationkey", F.col("n_regionkey").alias("value"))
-    base = folder(nation.sparkSession)
-    nation.withColumn("rank", F.lit(0)).write.parquet(f"{base}/rank0")
-    nation.filter("n_nationkey % 3 = 0").withColumn("rank", F.lit(1)).write.parquet(f"{base}/rank1")
-    return files.merge_ranks(nation.sparkSession, [f"{base}/rank0", f"{base}/rank1"], "n_nationkey").select("n_nationkey", "rank", "value")
+    with folder(nation.sparkSession) as base:
+        nation.withColumn("rank", F.lit(0)).write.parquet(f"{base}/rank0")
+        nation.filter("n_nationkey % 3 = 0").withColumn("rank", F.lit(1)).write.parquet(f"{base}/rank1")
+        return written(files.merge_ranks(nation.sparkSession, [f"{base}/rank0", f"{base}/rank1"], "n_nationkey").select("n_nationkey", "rank", "value"))
 
 
 @query("SELECT DISTINCT 'nation' || n_regionkey || ':' || n_name AS value FROM nation")
 def package_manifest(t):
     """pkg:version lines, written and read back."""
     nation = t("nation").select(F.concat(F.lit("nation"), F.col("n_regionkey").cast("string")).alias("pkg"), F.col("n_name").alias("version"))
-    base = folder(nation.sparkSession)
-    files.package_manifest(nation).write.text(f"{base}/manifest")
-    return nation.sparkSession.read.text(f"{base}/manifest")
+    with folder(nation.sparkSession) as base:
+        files.package_manifest(nation).write.text(f"{base}/manifest")
+        return written(nation.sparkSession.read.text(f"{base}/manifest"))
 
 
 @query("SELECT count(*) FILTER (n_regionkey IN (1, 2))::BIGINT AS n FROM nation")
 def matching_logs(t):
     """Log files of more than ten bytes that match, a folder of one log a nation."""
     nation = t("nation").select("n_nationkey", F.concat(F.lit("Ran "), F.col("n_regionkey").cast("string"), F.lit(" tests in 1s")).alias("value"))
-    spark, base = nation.sparkSession, folder(nation.sparkSession)
-    nation.repartition(25, "n_nationkey").write.partitionBy("n_nationkey").text(f"{base}/logs")
-    return spark.createDataFrame([(files.matching_logs(spark, f"{base}/logs/*/*", "Ran [12] tests"),)], "n long")
+    spark = nation.sparkSession
+    with folder(spark) as base:
+        nation.repartition(25, "n_nationkey").write.partitionBy("n_nationkey").text(f"{base}/logs")
+        return spark.createDataFrame([(files.matching_logs(spark, f"{base}/logs/*/*", "Ran [12] tests"),)], "n long")
+
+
+@query("""SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations""")
+def concatenated_ranges(t):
+    """Turns as JSON objects one after the other, read back by ranges of bytes."""
+    turns = t("conversations").select("conv_id", "turn", "role", "text")
+    spark = turns.sparkSession
+    jsonsource.register(spark)
+    with folder(spark) as base:
+        turns.select(F.to_json(F.struct("*")).alias("value")).write.option("lineSep", " ").text(f"{base}/turns")
+        rows = spark.read.format("concatenated_json").option("rangeBytes", 1 << 20).load(f"{base}/turns")
+        row = F.from_json("value", turns.schema)
+        return written(rows.select(row.alias("row")).select("row.conv_id", "row.turn", "row.role", F.length("row.text").alias("n_chars")))
