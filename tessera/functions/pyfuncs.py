@@ -6,6 +6,7 @@ import ast
 import io
 import keyword
 import tokenize
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -24,19 +25,36 @@ def sequence_ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
 
 
+def common_subsequence(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence, bit-parallel: a row of the table is one number with a bit for each place of the
+    longer sequence, zero where the row rises, and an item of the shorter one advances it by an addition (64 places a word at a time)."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    places: dict = {}
+    for i, x in enumerate(long):
+        places.setdefault(x, []).append(i)
+    wanted = set(short)
+    masks = {}
+    for x, at in places.items():
+        if x in wanted:
+            bits = bytearray(len(long) // 8 + 1)
+            for i in at:
+                bits[i >> 3] |= 1 << (i & 7)
+            masks[x] = int.from_bytes(bits, "little")
+    whole = (1 << len(long)) - 1
+    row = whole
+    for x in short:
+        mask = masks.get(x)
+        if mask:
+            hit = row & mask
+            row = (row + hit | row - hit) & whole
+    return len(long) - row.bit_count()
+
+
 def rouge_l(prediction: str | None, truth: str | None) -> float:
     """F of the longest common subsequence of words."""
     x, y = (prediction or "").split(), (truth or "").split()
-    if not x or not y:
-        return 0.0
-    row = [0] * (len(y) + 1)
-    for word in x:
-        before = 0
-        for j, other in enumerate(y, 1):
-            before, row[j] = row[j], before + 1 if word == other else max(row[j], row[j - 1])
-    lcs = row[-1]
-    p, r = lcs / len(x), lcs / len(y)
-    return 2 * p * r / (p + r) if lcs else 0.0
+    lcs = common_subsequence(x, y) if x and y else 0
+    return 2 * lcs / (len(x) + len(y)) if lcs else 0.0
 
 
 def fuzzy_first_line(prediction: str | None, truth: str | None) -> float:
@@ -45,12 +63,7 @@ def fuzzy_first_line(prediction: str | None, truth: str | None) -> float:
     a, b = line, truth or ""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for c in a:
-        before = 0
-        for j, d in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if c == d else max(row[j], row[j - 1])
-    return round(200 * row[-1] / (len(a) + len(b))) / 100
+    return round(200 * common_subsequence(a, b) / (len(a) + len(b))) / 100
 
 
 def imported_names(code: str | None) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import pyfuncs, records
-from tessera.operators import joins, refine
+from tessera.operators import joins, refine, variants
 from tessera.plans.base import query
 
 
@@ -96,7 +96,22 @@ def nested_token_count(t):
     """White-space tokens over all keys and leaves of a nested record: a conversation with its list of turns."""
     record = F.to_json(F.struct(F.col("conv_id").alias("id"), "turns"))
     whole = t("conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("turns"))
-    return whole.select("conv_id", records.nested_tokens(record).alias("tokens"))
+    return variants.nested_tokens(whole.select("conv_id", record.alias("record")), ["conv_id"], "record")
+
+
+@query("""SELECT conv_id, list(text ORDER BY turn) AS values FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
+def flatten_deep(t):
+    """Texts of a conversation out of nested lists, each turn one level deeper than the one before."""
+    turn = F.concat(F.repeat(F.lit("["), F.col("turn").cast("int") % 7), F.to_json(F.array("text")), F.repeat(F.lit("]"), F.col("turn").cast("int") % 7))
+    turns = t("conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("nested")))).alias("all"))
+    lists = turns.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["nested"]), ","), F.lit("]")).alias("nested"))
+    return variants.flattened(lists, ["conv_id"], "nested")
+
+
+@query("""SELECT event_id, trim(split_part(e, ':', 1), ' "') AS key, trim(split_part(e, ':', 2), ' "') AS value FROM (SELECT event_id, unnest(string_split(trim(props, '{}'), ',')) AS e FROM events WHERE props IS NOT NULL)""")
+def variant_entries(t):
+    """Members of the events' properties, one a row."""
+    return variants.nodes(t("events").select("event_id", "props"), ["event_id"], "props").filter("leaf").select("event_id", "key", "value")
 
 
 @query("""SELECT l.quality::VARCHAR AS file, round(100 * avg(d.n_chars), 2) AS score, count(*)::BIGINT AS n FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1""")

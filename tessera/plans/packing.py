@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text, tokens
-from tessera.operators import packing
+from tessera.operators import packing, variants
 from tessera.operators.bounded import spread
 from tessera.plans.base import query
 
@@ -108,8 +108,10 @@ def first_fit_pack(t):
     return packing.pack_first_fit(rows, "source", "doc_id", "n", 512)
 
 
-@query("""WITH d AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, turn, '{"role":"' || role || '","doc":"' || left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 60) || '"}' AS cut FROM d""")
+@query("""WITH d AS (SELECT conv_id, turn, role, text, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM conversations)
+SELECT conv_id, turn, role, CASE WHEN len(w) > 12 THEN array_to_string(w[1:12], ' ') ELSE text END AS doc, false AS members FROM d""")
 def truncate_json_document(t):
-    """A document rebuilt with its text cut, other members dropped."""
-    doc = F.struct("role", F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 60).alias("doc"))
-    return t("conversations").select("conv_id", "turn", F.to_json(doc).alias("cut"))
+    """Documents rebuilt with their text cut to twelve tokens and their members dropped."""
+    record = F.to_json(F.struct("role", F.col("text").alias("doc"), F.array("role").alias("members")))
+    cut = variants.truncated(t("conversations").select("conv_id", "turn", record.alias("record")), ["conv_id", "turn"], "record", 12)
+    return cut.select("conv_id", "turn", F.get_json_object("record", "$.role").alias("role"), F.get_json_object("record", "$.doc").alias("doc"), F.contains("record", F.lit('"members":')).alias("members"))

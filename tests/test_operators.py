@@ -316,3 +316,34 @@ def test_streaming(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == 50
     static = df.withColumn("ts", F.col("ts").cast("timestamp"))
     assert events.sessions(static).agg(F.sum("n")).first()[0] == 50
+
+
+def table_of_subsequences(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcé ", max_size=150), st.text("abcé ", max_size=150))
+def test_common_subsequence_equals_the_table(a, b):
+    expected = table_of_subsequences(a, b)
+    assert pyfuncs.common_subsequence(a, b) == expected
+    x, y = a.split(), b.split()
+    if x and y:
+        lcs = table_of_subsequences(x, y)
+        p, r = lcs / len(x), lcs / len(y)
+        assert pyfuncs.rouge_l(a, b) == pytest.approx(2 * p * r / (p + r) if lcs else 0.0)
+
+
+def test_common_subsequence_of_long_texts():
+    import time
+
+    r = random.Random(4)
+    a, b = ([f"w{r.randrange(3000)}" for _ in range(20_000)] for _ in range(2))
+    began = time.perf_counter()
+    assert 0 < pyfuncs.common_subsequence(a, b) < 20_000
+    assert time.perf_counter() - began < 5
