@@ -113,3 +113,15 @@ def concatenated_ranges(t):
         rows = spark.read.format("concatenated_json").option("rangeBytes", 1 << 20).load(f"{base}/turns")
         row = F.from_json("value", turns.schema)
         return written(rows.select(row.alias("row")).select("row.conv_id", "row.turn", "row.role", F.length("row.text").alias("n_chars")))
+
+
+@query("""WITH e AS (SELECT DISTINCT lang, source FROM documents WHERE doc_id % 97 = 0)
+SELECT d.lang AS pkg, d.source AS version, count(*)::BIGINT AS n_docs, max(d.doc_id)::BIGINT AS last FROM documents d JOIN e ON d.lang = e.lang AND d.source = e.source GROUP BY ALL""")
+def corpus_of_edges(t):
+    """A corpus in folders by (pkg, version), of which only those that the edges name are read."""
+    docs = t("documents").select(F.col("lang").alias("pkg"), F.col("source").alias("version"), F.col("doc_id").cast("string").alias("value"), "doc_id")
+    spark = docs.sparkSession
+    with folder(spark) as base:
+        files.write_corpus(docs.repartition("pkg", "version"), f"{base}/corpus")
+        lines = files.corpus_of_edges(spark, f"{base}/corpus", docs.filter("doc_id % 97 = 0"))
+        return written(lines.groupBy("pkg", "version").agg(F.count("*").alias("n_docs"), F.max(F.col("value").cast("long")).alias("last")))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.bounded import broadcast_if_small
+
 BAD = "_corrupt_record"
 
 
@@ -55,6 +57,17 @@ def read_corpus(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.option("basePath", base).text(base)
 
 
+def corpus_of_edges(spark: SparkSession, base: str, edges: DataFrame) -> DataFrame:
+    """(pkg, version, value): the corpus lines of the edges' (pkg, version) partitions, each once.
+
+    Which folders are read is found out at run time from the edges (dynamic partition pruning), so a wide corpus isn't listed into a scan
+    for a few edges.  Edges without a name or version name no partition.
+    """
+    wanted = edges.select(F.col("pkg").cast("string").alias("pkg"), F.col("version").cast("string").alias("version")).filter((F.length("pkg") > 0) & (F.length("version") > 0)).distinct()
+    corpus = spark.read.option("basePath", base).schema("value string, pkg string, version string").text(base)
+    return corpus.join(broadcast_if_small(wanted), ["pkg", "version"])
+
+
 def write_corpus(rows: DataFrame, base: str) -> None:
     """(pkg, version, value) as partitioned text."""
     rows.select("pkg", "version", "value").write.mode("overwrite").partitionBy("pkg", "version").text(base)
