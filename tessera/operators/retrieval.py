@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
+from tessera.operators import needles
 from tessera.operators.bounded import spread
 from tessera.operators.overlap import best_overlaps
 
@@ -111,13 +112,20 @@ def _finder(needles: list[tuple[int, str]]):
 def containment(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", needle: str = "text", body: str = "text") -> DataFrame:
     """(item, doc) for every document whose body holds the item's text as it is, wherever it begins or ends.
 
-    The stated items go to the workers in blocks of NEEDLES by a hash; each block is one pass in which a document is read once for
-    all of its needles.  Null and empty needles and bodies hold nothing.
+    Up to NEEDLES items go to the workers, which read a document once for all of them.  More are looked up by an equi-join on
+    minimizers (``needles``), but for those too short to have any, which go in blocks.  Null and empty needles and bodies hold nothing.
     """
-    asked = items.filter(F.length(needle) > 0).select(F.col(item).cast("long").alias("i"), F.col(needle).alias("needle"))
-    blocks = max(1, -(-asked.count() // NEEDLES))
-    own = spread(docs.select(doc, body)).select(F.col(doc).cast("long").alias(doc), F.col(body).alias("body")).filter("body IS NOT NULL")
-    found = None
+    asked = items.filter((F.length(needle) > 0) & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(needle).alias("needle"))
+    own = spread(docs.select(doc, body)).select(F.col(doc).cast("long").alias(doc), F.col(body).alias("body")).filter(f"body IS NOT NULL AND {doc} IS NOT NULL")
+    found, n = None, asked.count()
+    if n > NEEDLES:
+        long = F.octet_length("needle") >= needles.LEAST
+        found = needles.held(asked.filter(long), own, "i", doc, "needle", "body").withColumnRenamed("i", item)
+        asked = asked.filter(~long)
+        n = asked.count()
+        if not n:
+            return found
+    blocks = max(1, -(-n // NEEDLES))
     for block in range(blocks):
         held = [(r["i"], r["needle"]) for r in asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]
 
