@@ -77,14 +77,14 @@ def neighbours(selected: DataFrame, group: str, block: str, rank: str, n_blocks:
     return first.withColumn("place", place).filter(F.col("place") <= cap).select(group, "neighbour", "place")
 
 
-def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, within: tuple[str, ...] = ()) -> DataFrame:
+def ordinal(rows: DataFrame, order: list[str], part_rows: int = 1_000_000, least_parts: int = 1, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``ordinal`` from 0 in the whole order (of each group ``within``, nulls first), without one task that sees all rows.
 
     Rows are ranged by all keys, so that ties on the first are split by the others, and written with their part; parts are counted, and
     rows are numbered inside each part from where the parts before it end.
     """
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
+    parts = max(least_parts, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
     ranged = written(rows.repartitionByRange(parts, *within, *order).withColumn("_part", F.spark_partition_id()))
     named = {c: f"_of_{c}" for c in within}
     counts = ranged.groupBy("_part", *[F.col(c).alias(n) for c, n in named.items()]).agg(F.count("*").alias("_n"))

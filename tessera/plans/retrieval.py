@@ -60,15 +60,17 @@ def exact_then_similarity(t):
     return best.select("item_id", "doc_id", "exact", F.round(F.when(F.col("exact"), 1.0).otherwise(F.col("similarity")), 6).alias("score"), "rank")
 
 
-def fill_candidates(t, top_n: int):
+def fill_candidates(t, top_n: int, most_tokens: int | None = None):
     """task, phase, query, rank, doc, tokens.  Phase one: every document that holds the query, in order, or else the nearest one;
     phase two: the ``top_n`` nearest (what was chosen in phase one is skipped when it is filled).  A task is four queries.
-    Both searches run once."""
+    Both searches run once.  With ``most_tokens`` a document counts as what is left of it after a cut, and blank ones are left out."""
     near, exact = written(ranked(t, top_n).select("item_id", "doc_id", "rank")), written(retrieval.containment(t("benchmark"), t("documents")))
     first = exact.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
     first = first.unionByName(near.filter("rank = 1").join(exact, "item_id", "left_anti")).withColumn("phase", F.lit(1))
     rest = near.withColumn("phase", F.lit(2))
-    sizes = t("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("tokens"))
+    size = F.size(text.words(F.col("text")))
+    sizes = t("documents").select("doc_id", (size if most_tokens is None else F.least(size, F.lit(most_tokens))).alias("tokens"))
+    sizes = sizes if most_tokens is None else sizes.filter("tokens > 0")
     sized = sizes.join(broadcast_if_small(first.unionByName(rest)), "doc_id")
     return sized.select(F.expr("item_id div 4").alias("task"), "phase", F.col("item_id").alias("query"), "rank", F.col("doc_id").alias("doc"), "tokens")
 
@@ -79,6 +81,18 @@ def progressive_fill(t):
     return packing.fill_tasks(fill_candidates(t, 12), 2000)
 
 
+@query()
+def progressive_contexts(t):
+    """The contexts that filling by rounds gives: documents that aren't blank, each cut to 300 tokens, in the order in which they were
+    taken, a line each, and the whole ended after 2,000 tokens."""
+    chosen = written(packing.fill_tasks(fill_candidates(t, 12, 300), 2000))
+    texts = t("documents").select(F.col("doc_id").alias("doc"), "text").join(broadcast_if_small(chosen), "doc")
+    cut = texts.select("task", F.struct("place", F.array_join(F.slice(text.words(F.col("text")), 1, 300), " ").alias("body")).alias("part"))
+    whole = cut.groupBy("task").agg(F.count("*").alias("n_docs"), F.array_join(F.array_sort(F.collect_list("part"))["body"], "\n").alias("whole"))
+    found = F.split("whole", "(?<=[ \n])")  # tokens with the white space after them
+    return whole.select("task", "n_docs", F.rtrim(F.array_join(F.slice(found, 1, 2000), "")).alias("context"))
+
+
 _RELEVANCE = """e AS (SELECT event_id, ['np.sum', 'pandas.read_csv', 'os.path.join', 'torch.nn.Linear'][(event_id % 4 + 1)::INT] AS path, CASE WHEN user_id % 3 = 0 THEN 'uses PANDAS here' ELSE 'plain' END AS description,
 CASE WHEN event_type = 'view' THEN 'PyTorch' END AS package FROM events), r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'path' WHEN event_id % 4 = 1 THEN 'path' WHEN description LIKE '%PANDAS%' THEN 'description' ELSE 'none' END AS reason FROM e)"""
 

@@ -274,6 +274,32 @@ def test_dispatch_is_its_ways(spark):
             assert [p for p, _ in sorted(rows)] == list(range(1, len(rows) + 1))
 
 
+def test_contexts_of_filling_by_rounds(spark):
+    """Contexts against a plain fold over the candidates; picks of phase one stay candidates of phase two."""
+    from tessera.plans import catalog, retrieval
+
+    data = "/root/testdata/sf0.001"
+    t = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").split()[:300] for r in t("documents").collect()}
+    sides, phases = {}, {}
+    for r in retrieval.fill_candidates(t, 12, 300).orderBy("query", "rank", "doc").collect():
+        sides.setdefault(r["task"], {}).setdefault((r["phase"], r["query"]), []).append((r["doc"], r["tokens"]))
+        phases.setdefault((r["query"], r["doc"]), set()).add(r["phase"])
+        assert r["tokens"] == len(texts[r["doc"]]) > 0
+    assert {1, 2} in phases.values()
+    expected = {}
+    for task, own in sides.items():
+        queries = sorted({q for _, q in own})
+        docs = packing.progressive_fill(*[[own.get((phase, q), []) for q in queries] for phase in (1, 2)], 2000)
+        if docs:
+            expected[task] = (len(docs), "\n".join(" ".join(texts[d]) for d in docs))
+    got = {r["task"]: (r["n_docs"], r["context"]) for r in catalog.queries()["progressive_contexts"](spark, data).collect()}
+    assert got == expected
+    # a hit that doesn't fit stays at the head of its query's candidates and ends each round there
+    assert packing.progressive_fill([[(1, 9), (2, 5)]], [[(2, 5), (3, 1)]], 10) == [1]
+    assert packing.progressive_fill([[(1, 9), (2, 5)], []], [[(2, 5), (3, 1)], [(4, 1)]], 10) == [1]
+
+
 def test_metrics(spark):
     from tessera.functions import metrics
 
