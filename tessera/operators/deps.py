@@ -73,3 +73,14 @@ def by_strategy(versions: DataFrame, name: str, n: int = 3, compat: bool = False
         return closest_versions(versions, n, compat).select("pkg", "version", "other")
     pairs = versions.select("pkg", "version").join(versions.select("pkg", F.col("version").alias("other")), "pkg").filter("version <> other")
     return pairs.filter(version_strategy(name)(F.col("version"), F.col("other")))
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Each pair of a text and a part that it contains, once; texts are short (names, tags): all their substrings that are as long as some
+    part are joined by equality, so no text meets a part that it doesn't hold."""
+    lengths = sorted(r[0] for r in parts.select(F.length(part)).filter(F.length(part) > 0).distinct().collect())
+    if not lengths:
+        return texts.join(parts, F.lit(False))
+    begins = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    pieces = F.array_distinct(F.concat(*[F.transform(begins(n), lambda k, n=n: F.substring(F.col(text), k, F.lit(n))) for n in lengths]))
+    return texts.withColumn(part, F.explode(pieces)).join(parts, part)

@@ -53,11 +53,17 @@ def share_budget(rows: DataFrame, group: str, size: str, budget: int) -> DataFra
 
 
 def share_by_count(rows: DataFrame, task: str, group: str, order: list[str], budget: int) -> DataFrame:
-    """Rows within their group's quota, which goes by the group's number of documents in the task."""
+    """Rows within their group's quota, which goes by the group's number of documents in the task.
+
+    A quota is no more than the budget, so ``budget`` rows of a group at most are ranked after partial limits; groups are counted part by part.
+    """
     place = F.row_number().over(Window.partitionBy(task, group).orderBy(*order))
-    own = F.count("*").over(Window.partitionBy(task, group))
-    everything = F.count("*").over(Window.partitionBy(task))
-    return rows.withColumn("place", place).withColumn("quota", F.floor(own * F.lit(budget) / everything)).filter("place <= quota")
+    counts = rows.groupBy(F.col(task).alias("_task"), F.col(group).alias("_group")).agg(F.count("*").alias("_own"))
+    totals = counts.groupBy(F.col("_task").alias("_whole")).agg(F.sum("_own").alias("_all"))
+    quotas = counts.join(broadcast_if_small(totals), F.col("_task").eqNullSafe(F.col("_whole"))).select("_task", "_group", F.floor(F.col("_own") * F.lit(budget) / F.col("_all")).alias("quota"))
+    first = rows.withColumn("place", place).filter(F.col("place") <= budget)
+    named = F.col(task).eqNullSafe(F.col("_task")) & F.col(group).eqNullSafe(F.col("_group"))
+    return first.join(broadcast_if_small(quotas), named).filter("place <= quota").drop("_task", "_group")
 
 
 #: Fixed value: rounds after which filling ends, whatever is left.

@@ -100,10 +100,10 @@ def version_prefix_match(t):
 @query("""WITH tags AS (SELECT DISTINCT source AS tag FROM documents), v AS (SELECT DISTINCT (p_size)::VARCHAR AS version FROM part)
 SELECT version, arg_min(tag, length(tag) * 1000 + replace(tag, 'src', '')::INT) AS tag FROM v JOIN tags ON contains(tag, version) GROUP BY version""")
 def tag_for_version(t):
-    """The shortest tag that contains a version: a theta join of two small distinct lists."""
+    """The shortest tag that contains a version; tags' substrings meet the versions by an equi-join."""
     tags = t("documents").select(F.col("source").alias("tag")).distinct()
     v = t("part").select(F.col("p_size").cast("string").alias("version")).distinct()
-    pairs = v.join(tags, F.contains("tag", "version"))
+    pairs = deps.containing(tags, "tag", v, "version")
     return pairs.groupBy("version").agg(F.min_by("tag", F.struct(F.length("tag"), F.replace("tag", F.lit("src"), F.lit("")).cast("int"))).alias("tag"))
 
 

@@ -65,7 +65,9 @@ SELECT conv_id, list_resize(v, size, 0) AS padded_right, list_concat(list_resize
 def batch_padding(t):
     """Padded to the longest of the batch (conv_id mod 10), right and left."""
     c = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n"))))["n"].alias("v"))
-    m = c.withColumn("size", F.max(F.size("v")).over(Window.partitionBy(F.col("conv_id") % 10)))
+    batch = F.pmod("conv_id", F.lit(10))
+    longest = c.groupBy(batch.alias("batch")).agg(F.max(F.size("v")).alias("size"))
+    m = c.withColumn("batch", batch).join(F.broadcast(longest), "batch")  # ten rows
     zero = F.lit(0).cast("long")
     return m.select("conv_id", tokens.padded(F.col("v"), F.col("size"), zero).alias("padded_right"), tokens.padded(F.col("v"), F.col("size"), zero, left=True).alias("padded_left"))
 
