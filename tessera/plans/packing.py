@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import text, tokens
 from tessera.operators import packing, variants
 from tessera.operators.bounded import spread
 from tessera.plans.base import query
+from tessera.sources import longcontext
 
 WORDS = "w AS (SELECT doc_id, lang, source, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents)"
 
@@ -94,9 +94,34 @@ def skip_overlong(t):
     return t("documents").filter(F.size(text.words(F.col("text"))) <= 500).select("doc_id")
 
 
-@query("""SELECT doc_id, 'x' || repeat('noise ', 5) || left(text, 40) || repeat(' noise', 5) AS padded FROM documents""")
+_PASSKEY = """k AS (SELECT doc_id, text || ' ' || s || ' ' || text AS context, s FROM (SELECT doc_id, text, 'The pass key is ' || (doc_id * 7919 % 100000) || '. Remember it. ' || (doc_id * 7919 % 100000) || ' is the pass key.' AS s FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT *, strpos(context, s) - 1 AS i, greatest(0, floor((2000 - len(list_filter(string_split_regex(context, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))) / 19))::INT AS n FROM k),
+e AS (SELECT doc_id, substr(context, 1, i) || repeat('The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again. ', floor(i / length(context) * n)::INT) || s || ' '
+  || repeat('The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again. ', n - floor(i / length(context) * n)::INT) || substr(context, i + length(s) + 2) AS extended FROM m)"""
+
+
+@query(f"WITH {_PASSKEY} SELECT doc_id, length(extended) AS n_chars, md5(extended) AS digest FROM e")
 def passkey_extension(t):
-    return t("documents").select("doc_id", F.concat(F.lit("x"), F.repeat(F.lit("noise "), 5), F.substring("text", 1, 40), F.repeat(F.lit(" noise"), 5)).alias("padded"))
+    """Texts with a pass key in their middle, extended by noise to about 2,000 words."""
+    docs = spread(t("documents").select("doc_id", "text")).filter("text IS NOT NULL")
+    key = (F.col("doc_id") * 7919 % 100000).cast("string")
+    context = F.concat("text", F.lit(" "), longcontext.passkey_sentence(key), F.lit(" "), "text")
+    found = docs.select("doc_id", longcontext.extended(context, key, 2000).alias("extended"))
+    return found.select("doc_id", F.length("extended").alias("n_chars"), F.md5("extended").alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, text, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+') AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE kind WHEN 0 THEN 'func_' || doc_id || '(-3)' WHEN 1 THEN substr('What is "' || repeat(doc_id::VARCHAR, 9), 7, 38) WHEN 2 THEN 'Who?' END AS asked, CASE kind WHEN 0 THEN 'func_' || doc_id END AS function,
+CASE kind WHEN 2 THEN CASE WHEN w[1] IS NULL OR w[2] IS NULL THEN [w[1], NULL] WHEN w[1] = 'other' THEN [w[1], 'A'] ELSE [w[1], 'B'] END ELSE [w[1]] END AS labels, len(w)::INT AS length FROM d WHERE len(w) >= 3""")
+def long_context_tasks(t):
+    """Fields of long-context tasks of four data sets, with documents as contexts."""
+    docs = spread(t("documents").select("doc_id", "text")).filter(F.size(text.words(F.col("text"))) >= 3)
+    kind, first = (F.col("doc_id") % 4).cast("int"), F.element_at(text.words(F.col("text")), 1)
+    dataset = F.element_at(F.array(*[F.lit(x) for x in ("code_run", "kv_retrieval", "longbook_choice_eng", "math_calc")]), kind + 1)
+    number = F.col("doc_id").cast("string")
+    question = F.when(kind == 0, F.concat(F.lit("What does func_"), number, F.lit("(-3) give?"))).when(kind == 1, F.concat(F.lit('What is "'), F.repeat(number, F.lit(9)))).otherwise("Who?")
+    tasks = docs.select("doc_id", dataset.alias("dataset"), F.col("text").alias("context"), question.alias("question"), F.array(F.lit("other"), first).alias("options"), F.array(first).alias("answers"))
+    return longcontext.shape(tasks).select("doc_id", "asked", "function", "labels", "length")
 
 
 @query(f"""WITH RECURSIVE {WORDS}, s AS (SELECT source, doc_id, len(w)::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY len(w), doc_id) AS place FROM w),

@@ -41,6 +41,31 @@ def answers_of(dataset: Column, options: Column, answers: Column) -> Column:
     return F.when(dataset.isin(*CHOICE), chosen).otherwise(answers)
 
 
+#: What a pass key stands in, and what is put around it.
+PASSKEY = "The pass key is {}. Remember it. {} is the pass key."
+NOISE = "The grass is green. The sky is blue. The sun is yellow. Here we go. There and back again. "
+
+
+def passkey_sentence(passkey: Column) -> Column:
+    before, between, after = PASSKEY.split("{}")
+    return F.concat(F.lit(before), passkey, F.lit(between), passkey, F.lit(after))
+
+
+def extended(context: Column, passkey: Column, length: int) -> Column:
+    """The context with noise on both sides of its pass key's sentence, so that it has about ``length`` words.
+
+    Whole noises only; before the sentence as large a share of them as of the context stands there.  A context that is long enough, or
+    doesn't hold the sentence, stays as it is (but for a space after the sentence, which there is in any case).
+    """
+    sentence, noise_words = passkey_sentence(passkey), len(NOISE.split())
+    at = F.position(sentence, context) - 1
+    missing = F.greatest(F.lit(0), F.floor((F.lit(length) - F.size(words(context))) / noise_words)).cast("int")
+    before = F.floor(at / F.length(context) * missing).cast("int")
+    rest = F.substring(context, at + F.length(sentence) + 2, F.length(context))
+    whole = F.concat(F.substring(context, F.lit(1), at), F.repeat(F.lit(NOISE), before), sentence, F.lit(" "), F.repeat(F.lit(NOISE), missing - before), rest)
+    return F.when(at >= 0, whole).otherwise(context)
+
+
 def shape(tasks: DataFrame) -> DataFrame:
     """Adds ``asked``, ``function``, ``choices``, ``labels`` and ``length`` to (dataset, context, question, options, answers).
 
