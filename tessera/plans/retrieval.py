@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators import dispatch, packing, retrieval
+from tessera.operators import dispatch, documents, packing, retrieval
 from tessera.operators.bounded import broadcast_if_small
 from tessera.plans.base import query
 from tessera.tables import written
@@ -122,12 +122,18 @@ def exact_api_document(t):
     return retrieval.containment(t("benchmark"), t("documents")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("""SELECT doc_id, CASE WHEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END = 'en' THEN 'path' WHEN contains(text, 'the') THEN 'content' ELSE 'dropped' END AS reason FROM documents""")
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, lang || '.' || source AS path, source, coalesce(text, '') AS text FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+r AS (SELECT doc_id, CASE WHEN kind < 3 AND split_part(path, '.', 1) = 'en' THEN 'path' WHEN kind = 1 AND source = 'src1' THEN 'alias' WHEN contains(text, ' the ') THEN 'content' WHEN kind = 3 AND contains(text, 'en') THEN 'content' WHEN kind < 3 AND text <> '' AND contains(text, 'en') THEN 'content' WHEN contains(text, 'src1') THEN 'content'
+  WHEN kind < 3 AND text = '' THEN 'content' ELSE 'dropped' END AS reason FROM d) SELECT doc_id, reason FROM r""")
 def document_dependency_filter(t):
-    """JSON documents by their path's package, others by content."""
-    doc = F.to_json(F.struct(F.concat(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.col("source")), F.lit(".f")).alias("path")))
-    package = text.api_package(F.get_json_object(doc, "$.path"))
-    return t("documents").select("doc_id", F.when(package == "en", "path").when(F.contains("text", F.lit("the")), "content").otherwise("dropped").alias("reason"))
+    """Documents as JSON with a path, aliases and a docstring, or as plain text, by the package that they belong to."""
+    d = t("documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    kind, body = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    aliases = F.when(kind == 1, F.array(F.lit("none.of"), F.concat("source", F.lit(".x"))))
+    path = F.concat("lang", F.lit("."), "source").alias("path")
+    document = F.when(kind < 3, F.to_json(F.struct(path, aliases.alias("aliases"), body.alias("docstring"), F.lit("en").alias("kind")))).otherwise(body)
+    found = documents.package_of_document(document, F.array(F.lit("src1"), F.lit("en"), F.lit(" the ")))
+    return d.select("doc_id", F.coalesce(found["reason"], F.lit("dropped")).alias("reason"))
 
 
 @query("""WITH q AS (SELECT conv_id, coalesce(list(text ORDER BY turn) FILTER (role = 'user' AND turn > 1 AND text IS NOT NULL), []) AS generated, coalesce(arg_min(text, turn), '') AS description FROM conversations GROUP BY 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators import windows
+from tessera.operators import documents, windows
 from tessera.operators.bounded import broadcast_if_small
 from tessera.plans.base import query
 from tessera.streaming import memory
@@ -165,6 +165,16 @@ def first_wins_dedup(t):
     return t("documents").groupBy("text", "lang").agg(F.min("doc_id").alias("doc_id"))
 
 
+@query("""SELECT event_type, user_id % 7 AS kind, min(event_id) AS event_id, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+def canonical_json_dedup(t):
+    """Objects that differ in the order of their keys only are one, the first of them."""
+    kind = (F.col("user_id") % 7).alias("kind")
+    one, other = F.to_json(F.struct("event_type", kind)), F.concat(F.lit("{ "), F.substring(F.to_json(F.struct(kind, "event_type")), 2, 1 << 20))
+    rows = t("events").select("event_id", F.when(F.col("event_id") % 2 == 0, one).otherwise(other).alias("json"))
+    first = rows.groupBy(documents.canonical(F.col("json")).alias("json")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
+    return first.select(F.get_json_object("json", "$.event_type").alias("event_type"), F.get_json_object("json", "$.kind").cast("long").alias("kind"), "event_id", "n")
+
+
 @query("""SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""")
 def last_wins_dedup(t):
     return t("conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
