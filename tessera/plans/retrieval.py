@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators import dispatch, documents, packing, retrieval
+from tessera.operators import contexts, dispatch, documents, packing, retrieval
 from tessera.operators.bounded import broadcast_if_small
 from tessera.plans.base import query
 from tessera.tables import written
@@ -148,10 +148,28 @@ def query_selection(t):
     return own.select("conv_id", found["chosen"].alias("chosen"), F.md5(F.array_join(found["queries"], "\n")).alias("queries"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'locked' WHEN length(text) = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE left(text, 100) END AS context FROM documents""")
+@query(f"""WITH {_OVERLAP}, sp AS (SELECT source, doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents WHERE source IS NOT NULL),
+heads AS (SELECT source AS package, sum(len(w)) AS tokens, list_slice(flatten(list(w ORDER BY doc_id)), 1, 400) AS head FROM sp WHERE len(w) > 0 GROUP BY 1),
+tasks AS (SELECT item_id AS task, CASE item_id % 4 WHEN 0 THEN 'cached' WHEN 1 THEN 'retrieved' WHEN 2 THEN 'corpus' END AS way, 'src' || (item_id % 3) AS a, 'src' || (item_id % 5) AS b, text FROM benchmark),
+want AS (SELECT DISTINCT task, unnest([a, b]) AS package FROM tasks WHERE way = 'corpus'), shares AS (SELECT task, package, head, floor(tokens * 400 / sum(tokens) OVER (PARTITION BY task))::INT AS quota FROM want JOIN heads USING (package)),
+corpus AS (SELECT task, string_agg(array_to_string(list_slice(head, 1, quota), ' '), chr(10) ORDER BY package) AS context FROM shares GROUP BY 1),
+near AS (SELECT item_id AS task, string_agg(d.text, chr(10) ORDER BY rank) AS context FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 2 AND item_id % 3 <> 0 GROUP BY 1)
+SELECT task, CASE WHEN way IS NULL THEN 'error' WHEN way = 'retrieved' AND n.context IS NULL THEN 'locked' ELSE 'success' END AS status,
+md5(coalesce(CASE way WHEN 'cached' THEN CASE WHEN task % 8 = 0 THEN array_to_string(list_slice(list_filter(string_split_regex(t.text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), 1, 400), ' ') END WHEN 'retrieved' THEN n.context WHEN 'corpus' THEN c.context END, '')) AS context
+FROM tasks t LEFT JOIN near n USING (task) LEFT JOIN corpus c USING (task)""")
 def context_status(t):
-    locked = F.col("doc_id") % 11 == 0
-    return t("documents").select("doc_id", F.when(locked, "locked").when(F.length("text") == 0, "error").otherwise("success").alias("status"), F.when(~locked, F.substring("text", 1, 100)).alias("context"))
+    """Contexts of the benchmark's items: cached for every eighth, the two nearest documents (locked for every third), or all documents of
+    two sources within 400 tokens."""
+    items, docs = t("benchmark"), t("documents")
+    way = F.element_at(F.array(F.lit(contexts.CACHED), F.lit(contexts.RETRIEVED), F.lit(contexts.CORPUS), F.lit(None)), (F.col("item_id") % 4).cast("int") + 1)
+    packages = F.array(*[F.concat(F.lit("src"), (F.col("item_id") % n).cast("string")) for n in (3, 5)])
+    tasks = items.select(F.col("item_id").alias("task"), way.alias("way"), F.lit("").alias("context"), packages.alias("packages"))
+    cached = items.filter("item_id % 8 = 0").select(F.col("item_id").alias("task"), F.col("text").alias("context"))
+    chosen = ranked(t, 2).filter("item_id % 3 <> 0").select("item_id", "doc_id", "rank")
+    near = docs.select("doc_id", "text").join(broadcast_if_small(chosen, known=2 * items.count()), "doc_id").groupBy(F.col("item_id").alias("task")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"], "\n").alias("context"))
+    heads = contexts.package_heads(docs.filter("source IS NOT NULL"), "source", "doc_id", "text", 400)
+    found = contexts.acquire(tasks, cached, near, heads, 400)
+    return found.select("task", "status", F.md5("context").alias("context"))
 
 
 @query("""WITH s AS (SELECT lang, source, md5(lang || '_' || source) AS hash, count(*) AS n FROM documents GROUP BY ALL) SELECT hash, n::BIGINT AS n FROM s WHERE source NOT IN ('src1', 'src2')""")
