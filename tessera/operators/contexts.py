@@ -18,7 +18,7 @@ def head(body: Column, tokens: Column | int) -> Column:
 
 
 def package_heads(docs: DataFrame, package: str, order: str, body: str, budget: int) -> DataFrame:
-    """(package, tokens, head): each package's number of tokens, and the first ``budget`` of them, documents in order.
+    """(package, tokens, head): each package's number of tokens, and the first ``budget`` of them, documents in order; null is no package.
 
     A document that isn't blank has a token, so ``budget`` documents of a package at most are ranked (after partial limits) and gathered.
     """

@@ -6,7 +6,7 @@ from tessera.operators import contexts
 def test_acquire(spark):
     docs = spark.createDataFrame([("a", 1, "one two"), ("a", 2, " "), ("a", 3, "three four  five six"), ("b", 1, "x y z"), ("c", 1, None), (None, 1, "null package")], "p string, d int, t string")
     heads = contexts.package_heads(docs, "p", "d", "t", 5)
-    assert {r["package"]: (r["tokens"], r["head"]) for r in heads.collect()} == {"a": (6, "one two three four five"), "b": (3, "x y z"), None: (2, "null package")}
+    assert {r["package"]: (r["tokens"], r["head"]) for r in heads.collect()} == {"a": (6, "one two three four five"), "b": (3, "x y z")}
     tasks = spark.createDataFrame(
         [(1, "corpus", "", ["b", "a", "a", "zzz"]), (2, "corpus", None, ["zzz"]), (3, "cached", None, None), (4, "cached", "", None), (5, "retrieved", "", None), (6, "retrieved", "", None), (7, None, "", None), (8, "retrieved", "kept", None), (9, "odd", "", [])],
         "task int, way string, context string, packages array<string>",
