@@ -24,7 +24,8 @@ def answer_f1(prediction: Column, truth: Column, classes: Column) -> Column:
     return multiset_f1(tokens(prediction), tokens(truth))
 
 
-#: Word segmenters by language, functions from a text column to an array of words; without one, characters are words.
+#: Word segmenters by language, functions from a text column to an array of words by built-in functions (columns are cut beforehand by
+#: others, see ``operators/segmentation.py``); without one, characters are words.
 SEGMENTERS: dict[str, Callable[[Column], Column]] = {}
 
 

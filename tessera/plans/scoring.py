@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import pyfuncs, text, vectors
-from tessera.operators import plugins
+from tessera.functions import metrics, pyfuncs, text, vectors
+from tessera.operators import plugins, segmentation
 from tessera.operators.bounded import broadcast_if_small, spread
 from tessera.plans.base import query
 
@@ -88,6 +88,15 @@ def rouge_l(t):
     return _pairs(t).select("conv_id", "u", F.round(pyfuncs.rouge("b", "a"), 6).alias("rouge"))
 
 
+@query()
+def segmented_scores(t):
+    """Replies against questions, both without spaces, cut into words again by a lexicon of the documents."""
+    cut = segmentation.segmenter(segmentation.lexicon(t("documents"), "text"))
+    pairs = spread(_pairs(t)).select("conv_id", "u", *[cut(F.regexp_replace(c, r"\s+", "")).alias(c) for c in ("a", "b")])
+    rouge = pyfuncs.rouge(F.array_join("b", " "), F.array_join("a", " "))
+    return pairs.select("conv_id", "u", F.round(metrics.multiset_f1(F.col("b"), F.col("a")), 6).alias("f1"), F.round(rouge, 6).alias("rouge"))
+
+
 @query()
 def fuzzy_first_line(t):
     return _pairs(t).select("conv_id", "u", pyfuncs.fuzzy("b", "a").alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import threading
@@ -45,6 +46,17 @@ _kept = _Kept()
 _loose: list[tuple[str, Any]] = []
 
 
+_at_exit: set[str] = set()
+
+
+def _last_sweep(spark: SparkSession) -> None:
+    try:
+        for path, _ in _loose:
+            delete(spark, path)
+    except Exception:  # the session has ended; the shared folder's owner cleans up
+        pass
+
+
 def _sweep(spark: SparkSession) -> None:
     """Removes loose tables that no plan can read any more."""
     for entry in [e for e in _loose if e[1].get() is None]:
@@ -74,6 +86,10 @@ def written(df: DataFrame) -> DataFrame:
 
 def _loosen(table: DataFrame) -> None:
     index = table._jdf.queryExecution().analyzed().relation().location()
+    application = table.sparkSession.sparkContext.applicationId
+    if application not in _at_exit:
+        _at_exit.add(application)
+        atexit.register(_last_sweep, table.sparkSession)
     _loose.append((table._written_path, table.sparkSession._jvm.java.lang.ref.WeakReference(index)))
 
 
