@@ -20,8 +20,8 @@ from tessera.tables import working, written
 
 CHUNK, FAN = 4_096, 64
 
-#: (state before, item) -> (state after, whether the item begins a new part); arrays of states and of marks.
-Step = Callable[[np.ndarray, float], tuple[np.ndarray, np.ndarray]]
+#: (states before, items) -> (states after, whether the items begin new parts), on arrays; items broadcast against states.
+Step = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _composed(functions: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -31,25 +31,47 @@ def _composed(functions: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return after, marks
 
 
+def _pieces(ordinals: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks among sorted rows begin, and their lengths, longest first."""
+    begin = np.flatnonzero(ordinals % chunk == 0)
+    length = np.diff(begin, append=len(ordinals))
+    order = np.argsort(-length, kind="stable")
+    return begin[order], length[order]
+
+
+def _walk(items: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, step: Step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks at once, place by place: their last states, their marks, and for a single state a chunk the marks at each item."""
+    marks, each = np.zeros(state.shape, dtype=np.int64), np.zeros(len(items), dtype=np.int64)
+    for t in range(int(length.max(initial=0))):
+        n = int(np.searchsorted(-length, -t, side="left"))  # chunks that have a t-th item
+        at = begin[:n] + t
+        item = items[at] if state.ndim == 1 else items[at, None]
+        state[:n], begins = step(state[:n], item)
+        marks[:n] += begins
+        if state.ndim == 1:
+            each[at] = marks[:n]
+    return state, marks, each
+
+
 def numbered_parts(rows: DataFrame, group: str, order: list[str], item: str, step: Step, states: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """``rows`` with ``ordinal`` (from 0 in ``order``) and ``part``: how many of the items up to it, less one, begin a part, by ``step`` from state 0."""
+    """``rows`` with ``ordinal`` (from 0 in ``order``) and ``part``: how many of the items up to it, less one, begin a part, by ``step`` from state 0.
+
+    Chunks are dealt to units of about ``chunk`` rows, so that short sequences are walked many at a time.
+    """
     spark = rows.sparkSession
     with working(spark) as keep:
-        placed = written(ordinal(rows, order, within=(group,)).withColumn("_chunk", F.floor(F.col("ordinal") / chunk)))
+        numbered = ordinal(rows, order, within=(group,)).withColumn("_chunk", F.floor(F.col("ordinal") / chunk))
+        units = max(1, -(-rows.count() // chunk))
+        placed = written(numbered.withColumn("_unit", F.pmod(F.xxhash64(group, "_chunk"), F.lit(units)).cast("int")))
         kind, columns = placed.schema[group].dataType.simpleString(), placed.columns
         function = f"{group} {kind}, _chunk long, after array<int>, marks array<long>"
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
 
-        def walk(values: list, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            marks, each = np.zeros(len(state), dtype=np.int64), []
-            for value in values:
-                state, begins = step(state, value)
-                marks = marks + begins
-                each.append(marks)
-            return state, marks, each
-
-        def as_function(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            after, marks, _ = walk(pdf.sort_values("ordinal")[item].tolist(), np.arange(states))
-            return pd.DataFrame({group: [key[0]], "_chunk": [key[1]], "after": [after.tolist()], "marks": [marks.tolist()]})
+        def as_functions(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([group, "ordinal"])
+            begin, length = _pieces(pdf["ordinal"].to_numpy(), chunk)
+            after, marks, _ = _walk(pdf[item].to_numpy(), begin, length, np.tile(np.arange(states), (len(begin), 1)), step)
+            return pd.DataFrame({group: pdf[group].to_numpy()[begin], "_chunk": pdf["_chunk"].to_numpy()[begin], "after": after.tolist(), "marks": marks.tolist()})
 
         def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_chunk")
@@ -65,18 +87,14 @@ def numbered_parts(rows: DataFrame, group: str, order: list[str], item: str, ste
             return pd.DataFrame(out, columns=[group, "_chunk", "state", "before"])
 
         def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("ordinal")
-            _, _, each = walk(pdf[item].tolist(), np.array([pdf["state"].iloc[0]]))
-            pdf["part"] = pdf["before"].iloc[0] + np.array([int(m[0]) for m in each], dtype=np.int64) - 1
+            pdf = pdf.sort_values([group, "ordinal"])
+            begin, length = _pieces(pdf["ordinal"].to_numpy(), chunk)
+            _, _, each = _walk(pdf[item].to_numpy(), begin, length, pdf["state"].to_numpy()[begin].astype(np.int64), step)
+            pdf["part"] = pdf["before"].to_numpy() + each - 1
             return pdf[[*columns, "part"]]
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
-        if not (placed.agg(F.max("_chunk")).first()[0] or 0):  # all sequences are one chunk
-            ready = placed.withColumn("state", F.lit(0)).withColumn("before", F.lit(0).cast("long"))
-            done = written(ready.groupBy(group, "_chunk").applyInPandas(finish, f"{fields}, part long"))
-            keep.append(done)
-            return done.drop("_chunk")
-        levels = [written(placed.select(group, "_chunk", "ordinal", item).groupBy(group, "_chunk").applyInPandas(as_function, function))]
+        long = placed.filter("_chunk > 0").select(F.col(group).alias("_group")).distinct()
+        levels = [written(placed.select(group, "_chunk", "_unit", "ordinal", item).join(long, F.col(group).eqNullSafe(F.col("_group")), "left_semi").groupBy("_unit").applyInPandas(as_functions, function))]
         while (levels[-1].agg(F.max("_chunk")).first()[0] or 0) > 0:
             below = levels[-1].select(group, F.col("_chunk").alias("_below"), "after", "marks", F.floor(F.col("_below") / fan).alias("_chunk"))
             grouped = below.withColumnsRenamed({"_chunk": "_up", "_below": "_chunk"}).groupBy(group, F.col("_up"))
@@ -87,8 +105,11 @@ def numbered_parts(rows: DataFrame, group: str, order: list[str], item: str, ste
             above = begins.select(F.col(group).alias("_group"), F.col("_chunk").alias("_up"), "state", "before")
             joined = level.join(above, F.col(group).eqNullSafe(F.col("_group")) & (F.floor(F.col("_chunk") / fan) == F.col("_up"))).drop("_group")
             begins = joined.groupBy(group, "_up").applyInPandas(descend, entry)
-        begins = begins.select(F.col(group).alias("_group"), F.col("_chunk").alias("_at"), "state", "before")
-        ready = placed.join(begins, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_chunk") == F.col("_at"))).drop("_group", "_at")
-        done = written(ready.groupBy(group, "_chunk").applyInPandas(finish, f"{fields}, part long"))
+        if len(levels) > 1:
+            begins = begins.select(F.col(group).alias("_group"), F.col("_chunk").alias("_at"), "state", "before")
+            ready = placed.join(begins, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_chunk") == F.col("_at")), "left").drop("_group", "_at").fillna(0, ["state", "before"])
+        else:  # every sequence is one chunk
+            ready = placed.withColumns({"state": F.lit(0), "before": F.lit(0).cast("long")})
+        done = written(ready.groupBy("_unit").applyInPandas(finish, f"{fields}, part long"))
         keep.append(done)
-    return done.drop("_chunk")
+    return done.drop("_chunk", "_unit")

@@ -44,7 +44,7 @@ def bounded_segments(rows: DataFrame, seq: str, pos: str, least: int, most: int,
     from tessera.operators.scans import numbered_parts
 
     def step(run, flag):
-        begins = (run == 0) | (bool(flag) & (run >= least)) | (run >= most)
+        begins = (run == 0) | (flag & (run >= least)) | (run >= most)
         return np.where(begins, 1, run + 1).clip(max=most), begins
 
     parts = numbered_parts(rows.select(seq, pos, F.coalesce(boundary, F.lit(False)).cast("boolean").alias("flag")), seq, [pos], "flag", step, most + 1)
