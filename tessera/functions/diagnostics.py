@@ -46,6 +46,13 @@ def unittest_summary(log: Column) -> Column:
     )
 
 
+def _called(line: Column) -> Column:
+    """The dotted name before the first bracket that has one before it; null if none has."""
+    before = F.split(line, r"\(")
+    names = F.transform(F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0))), lambda p: F.regexp_replace(F.regexp_extract(F.rtrim(p), r"[A-Za-z0-9_.]+$", 0), "^[0-9.]+", ""))
+    return F.get(F.filter(names, lambda n: n != ""), F.lit(0))
+
+
 def error_api(message: Column) -> Column:
     """struct(api, owner, kind, module) of a checker's message; all null if none of the known forms fits."""
 
@@ -56,12 +63,13 @@ def error_api(message: Column) -> Column:
         return F.struct(api.alias("api"), owner.alias("owner"), F.lit(kind).alias("kind"), module.alias("module"))
 
     none, text = F.lit(None).cast("string"), F.lit("f-string")
+    # fixed values: the checker's messages
     attribute = r'Cannot access attribute "([^"]+)" for class "([^"]+)"'
     method = r'Cannot call method "([^"]+)" on type "([^"]+)"'
     missing = r'Import "([^"]+)" could not be resolved'
     member = r'"([^"]+)" is not a known attribute of module "([^"]+)"'
     parameter = r'No parameter named "([^"]+)"'
-    call = r"Line [0-9]+: [^\n]*?([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\s*\("
+    called = _called(part(r"Line [0-9]+: ([^\n]*)", 1))
     is_fstring = F.contains(message, F.lit("Format strings are only supported in Python 3.6 and greater")) & F.regexp_like(message, F.lit(r"f[\"'].*?[\"']"))
     return (
         F.when(is_fstring, found(text, F.lit("string"), "syntax", none))
@@ -69,7 +77,7 @@ def error_api(message: Column) -> Column:
         .when(F.regexp_like(message, F.lit(method)), found(part(method, 1), part(method, 2), "method", none))
         .when(F.regexp_like(message, F.lit(missing)), found(part(missing, 1), part(missing, 1), "import", part(missing, 1)))
         .when(F.regexp_like(message, F.lit(member)), found(part(member, 1), part(member, 2), "module_attribute", part(member, 2)))
-        .when(F.regexp_like(message, F.lit(parameter)) & F.regexp_like(message, F.lit(call)), found(part(parameter, 1), part(call, 1), "parameter", none))
+        .when(F.regexp_like(message, F.lit(parameter)) & called.isNotNull(), found(part(parameter, 1), called, "parameter", none))
     )
 
 

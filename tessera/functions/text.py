@@ -119,7 +119,11 @@ def normalize_answer(text: Column) -> Column:
     return F.array_join(words(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " ")), " ")
 
 
-def normalize_zh_answer(text: Column, punctuation: str = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏") -> Column:
+#: Fixed value: full-width punctuation.
+ZH_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏"
+
+
+def normalize_zh_answer(text: Column, punctuation: str = ZH_PUNCTUATION) -> Column:
     """Lower case, neither ASCII nor full-width punctuation, no white space."""
     return F.regexp_replace(F.translate(F.lower(text), PUNCTUATION + punctuation, ""), r"\s+", "")
 
@@ -180,6 +184,9 @@ def clean_loose(text: Column) -> Column:
     return _between(text, ("<end>", "</end>"))
 
 
+# The marks after "###" below are fixed values: headings that models' outputs have.
+
+
 def clean_lora(text: Column) -> Column:
     return _before(_before(clean_basic(text), "### Refactored new code"), "### Explanation")
 
