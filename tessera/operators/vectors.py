@@ -15,6 +15,8 @@ from tessera.operators.blocksearch import BlockSearch
 
 #: Queries that are held on every executor; more of them look into blocks of about ROW_BLOCK rows (``blocksearch``).
 QUERY_BLOCK, ROW_BLOCK = 4_096, 32_768
+#: Scores that a worker holds at a time, and pairs whose vectors it gathers.
+SCORES, PAIRS = 1_000_000, 50_000
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -23,12 +25,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray, n: int, measure: str) -> np.ndar
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if measure == "cosine" else x
 
 
-def _nearest(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
-    """(query_id, vec_id, score) of the k + 1 best rows of each query and those that equal the last."""
-    scores = q @ x.T
-    least = np.partition(scores, len(vec) - k - 1, axis=1)[:, len(vec) - k - 1] - 1e-9 if len(vec) > k + 1 else np.full(len(q), -np.inf)
-    i, j = np.nonzero(scores >= least[:, None])
-    return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vec[j]), pa.array(np.einsum("ij,ij->i", q[i], x[j]))], names=["query_id", "vec_id", "score"])
+def _nearest(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) of the k + 1 best rows of each query and those that equal the last; SCORES products at a time."""
+    step = max(1, SCORES // max(1, len(vec)))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        scores = part @ x.T
+        least = np.partition(scores, len(vec) - k - 1, axis=1)[:, len(vec) - k - 1] - 1e-9 if len(vec) > k + 1 else np.full(len(part), -np.inf)
+        i, j = np.nonzero(scores >= least[:, None])
+        for begin in range(0, len(i), PAIRS):  # equal rows can be many
+            a, b = i[begin : begin + PAIRS], j[begin : begin + PAIRS]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at + a]), pa.array(vec[b]), pa.array(np.einsum("ij,ij->i", part[a], x[b]))], names=["query_id", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, measure: str = "dot") -> DataFrame:
@@ -44,7 +51,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, measure: str = "dot") ->
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(q):
-                    yield _nearest(ids, q, batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), batch.num_rows, measure), k)
+                    yield from _nearest(ids, q, batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), batch.num_rows, measure), k)
 
         found = given.mapInArrow(run, _FOUND)
     else:
