@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.tables import working, written
 
 SAMPLE, MOST_BLOCKS, BLOCK_ROWS, QUERIES = 8_192, 4_096, 32_768, 4_096
+#: Scores, or (query, block) rows with their vectors, that a worker holds at a time.
+SCORES, VISITS = 1_000_000, 20_000
 SLACK = 1e-9
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -95,12 +97,14 @@ class BlockSearch:
                 return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
             q, x = _matrix(a.column("embedding"), a.num_rows), _matrix(b.column("embedding"), b.num_rows)
             ids, vec = a.column("query_id").to_numpy(), b.column("vec_id").to_numpy()
-            out = []
-            for at in range(0, len(q), 256):
-                scores = q[at : at + 256] @ x.T
-                least = np.partition(scores, len(vec) - k - 1, axis=1)[:, len(vec) - k - 1] - SLACK if len(vec) > k + 1 else np.full(len(scores), -np.inf)
+            out, step = [], max(1, SCORES // len(vec))
+            for at in range(0, len(q), step):
+                part = q[at : at + step]
+                scores = part @ x.T
+                least = np.partition(scores, len(vec) - k - 1, axis=1)[:, len(vec) - k - 1] - SLACK if len(vec) > k + 1 else np.full(len(part), -np.inf)
                 i, j = np.nonzero(scores >= least[:, None])
-                out.append((ids[at + i], vec[j], np.einsum("ij,ij->i", q[at + i], x[j])))
+                score = np.concatenate([np.einsum("ij,ij->i", part[i[b : b + VISITS]], x[j[b : b + VISITS]]) for b in range(0, max(1, len(i)), VISITS)])
+                out.append((ids[at + i], vec[j], score))
             return pa.table({name: pa.array(np.concatenate(c)) for name, c in zip(("query_id", "vec_id", "score"), zip(*out))})
 
         return left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(meet, _FOUND)
@@ -114,9 +118,8 @@ class BlockSearch:
 
             def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 """Each query with the block that it looks into first (no bar) or those that its bar leaves open besides."""
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
+                step = max(1, VISITS // max(1, len(made.size)))  # a query can go to every block
+                for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
                     q = made.scaled(_matrix(batch.column("embedding"), batch.num_rows))
                     bound = made.bounds(q)
                     first = bound.argmax(axis=1)
