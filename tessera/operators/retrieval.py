@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,8 @@ from tessera.operators.overlap import best_overlaps
 
 #: Postings (token, item) that may be held by every worker; more of them are joined by shuffle.
 POSTINGS = 200_000
+#: Hits of tokens in postings that a worker counts at a time, and rows of its results.
+HITS, LEAVING = 1_000_000, 50_000
 
 
 def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc: str = "doc_id", body: str = "text", best: int | None = None) -> DataFrame:
@@ -26,7 +29,7 @@ def token_overlap(items: DataFrame, docs: DataFrame, item: str = "item_id", doc:
     The postings of the stated items are small (checked): they go to the workers, and a document's matches are counted
     where it is read, so that only pairs leave.  Beyond that bound documents' tokens meet the postings by an equi-join.
     With ``best`` the pairs may be only those that can be among the ``best`` of their item, smaller documents first among equals:
-    each batch then leaves that many rows an item, and beyond the bound an index with bounds is asked (``overlap``), so that frequent
+    each task then leaves that many rows an item, and beyond the bound an index with bounds is asked (``overlap``), so that frequent
     tokens aren't joined whole.
     """
     asked = items.select(F.col(item).cast("long").alias(item), text.token_set(F.col(body)).alias("q"))
@@ -54,7 +57,11 @@ def _contenders(item: np.ndarray, doc: np.ndarray, similarity: np.ndarray, best:
 
 
 def _counted_in_place(own: DataFrame, held: list, item: str, doc: str, best: int | None) -> DataFrame:
-    """(item, doc, nq, nd, common) by looking up each document's tokens in the postings."""
+    """(item, doc, nq, nd, common) by looking up each document's tokens in the postings.
+
+    Postings are one array, each token's beside each other.  A few documents at a time are counted in a table of documents by items, HITS
+    numbers at most; with ``best`` a task's contenders are all that stays, and what leaves at its end.
+    """
     ids = np.array(sorted({r[item] for r in held}), dtype=np.int64)
     place = {i: k for k, i in enumerate(ids.tolist())}
     sizes = np.zeros(len(ids), dtype=np.int64)
@@ -62,30 +69,48 @@ def _counted_in_place(own: DataFrame, held: list, item: str, doc: str, best: int
     for r in held:
         sizes[place[r[item]]] = r["nq"]
         by_token.setdefault(r["token"], []).append(place[r[item]])
+    names, length = list(by_token), np.array([len(at) for at in by_token.values()], dtype=np.int64)
+    flat, begin = np.array([k for at in by_token.values() for k in at], dtype=np.int32), np.cumsum(length) - length
+
+    def counted(tokens: pa.ListArray, known: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place of the document, place of the item, tokens of the document, tokens in common), part by part."""
+        own_size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+        found = pc.fill_null(pc.index_in(tokens.flatten(), known), -1).to_numpy()
+        row = np.repeat(np.arange(len(own_size)), own_size)[found >= 0]
+        token = found[found >= 0]
+        hits = np.cumsum(np.bincount(row, weights=length[token], minlength=len(own_size)).astype(np.int64) + len(ids))
+        at = 0
+        while at < len(own_size):
+            end = max(at + 1, int(np.searchsorted(hits, (hits[at - 1] if at else 0) + HITS, side="right")))
+            low, high = np.searchsorted(row, [at, end])
+            mine, n = token[low:high], length[token[low:high]]
+            places = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            table = np.bincount(np.repeat(row[low:high] - at, n) * len(ids) + flat[places], minlength=(end - at) * len(ids))
+            pair = np.flatnonzero(table)
+            yield at + pair // len(ids), pair % len(ids), own_size[at + pair // len(ids)], table[pair]
+            at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = {token: np.array(at, dtype=np.int32) for token, at in by_token.items()}
+        known = pa.array(names, pa.string())
+        batch_of = lambda at, name, size, common: pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(name), pa.array(sizes[at]), pa.array(size), pa.array(common)], names=[item, doc, "nq", "nd", "common"])
+        kept = None
         for batch in batches:
-            names, found, counts, rows = batch.column(0).to_numpy(), [], [], []
-            lengths = []
-            for k, tokens in enumerate(batch.column(1)):
-                known = [lists[t] for t in tokens.as_py() or () if t in lists]
-                common = np.bincount(np.concatenate(known), minlength=len(ids)) if known else np.zeros(0, dtype=np.int64)
-                at = np.flatnonzero(common)
-                found.append(at)
-                counts.append(common[at])
-                rows.append(np.full(len(at), k))
-                lengths.append(len(tokens.as_py() or ()))
-            if rows:
-                at, row, common = np.concatenate(found).astype(np.int64), np.concatenate(rows).astype(np.int64), np.concatenate(counts).astype(np.int64)
-                name, own_size = names[row], np.array(lengths, dtype=np.int64)[row]
-                if best is not None and len(at):
-                    union = sizes[at] + own_size - common
-                    similarity = np.minimum(1.0, common / union + np.where(common == np.minimum(sizes[at], own_size), 0.3, 0.0))
-                    kept = _contenders(at, name, similarity, best)
-                    at, name, own_size, common = at[kept], name[kept], own_size[kept], common[kept]
-                columns = [pa.array(ids[at]), pa.array(name), pa.array(sizes[at]), pa.array(own_size), pa.array(common)]
-                yield pa.RecordBatch.from_arrays(columns, names=[item, doc, "nq", "nd", "common"])
+            if not len(ids):
+                continue
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, at, size, common in counted(batch.column(1), known):
+                part = (at, doc_ids[row], size, common)
+                if best is None:
+                    if len(at):
+                        yield batch_of(*part)
+                    continue
+                at, name, size, common = part if kept is None else [np.concatenate(c) for c in zip(kept, part)]
+                union = sizes[at] + size - common
+                similarity = np.minimum(1.0, common / union + np.where(common == np.minimum(sizes[at], size), 0.3, 0.0))
+                first = _contenders(at, name, similarity, best)
+                kept = at[first], name[first], size[first], common[first]
+        for begin_ in range(0, len(kept[0]) if kept is not None else 0, LEAVING):
+            yield batch_of(*[c[begin_ : begin_ + LEAVING] for c in kept])
 
     return own.mapInArrow(run, f"{item} long, {doc} long, nq long, nd long, common long")
 

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from tessera.operators import blocksearch, vectors
+from tessera.operators import blocksearch, retrieval, vectors
 
 
 def peak_mb(run):
@@ -42,3 +42,29 @@ def test_blocks_hold_few_visits(spark, monkeypatch, scores, visits):
     near = x @ x.T
     np.fill_diagonal(near, -np.inf)
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == {(i, n + 1): int(j) for i in range(120) for n, j in enumerate(np.argsort(-near[i])[:4])}
+
+
+@pytest.mark.parametrize("best", [None, 3])
+def test_hits_are_counted_in_parts(spark, monkeypatch, best):
+    """Whatever is counted at a time, pairs are the same, and with ``best`` a task leaves that many an item, not a batch."""
+    texts = [" ".join(f"t{(i * k) % 17}" for k in range(1, 2 + i % 9)) if i % 10 else None for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = docs.filter("doc_id % 9 = 1").withColumnRenamed("doc_id", "item_id")
+    monkeypatch.setattr(retrieval, "spread", lambda df: df)
+
+    def found(batch):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        return sorted(map(tuple, retrieval.token_overlap(items, docs, best=best).collect()))
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        whole = found("10000")
+        monkeypatch.setattr(retrieval, "HITS", 40)
+        monkeypatch.setattr(retrieval, "LEAVING", 7)
+        assert found("10") == whole and whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    per_item = {}
+    for item, *_ in whole:
+        per_item[item] = per_item.get(item, 0) + 1
+    assert best is None or max(per_item.values()) <= best
