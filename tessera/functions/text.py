@@ -241,11 +241,10 @@ def stop_word_at_end(text: Column, stops: tuple[str, ...], tail: int = 15) -> Co
 
 
 def normalize_indentation(code: Column) -> Column:
-    """The first non-blank line's indent taken off each line that begins with it."""
-    lines = F.split(code, "\n")
-    first = F.try_element_at(F.filter(lines, lambda x: squeeze(x) != ""), F.lit(1))
-    indent = F.regexp_extract(F.coalesce(first, F.lit("")), r"^([ \t]*)", 1)
-    return F.array_join(F.transform(lines, lambda x: F.when(F.startswith(x, indent), F.substr(x, F.length(indent) + 1)).otherwise(x)), "\n")
+    """The first non-blank line's indent taken off each line that begins with it: a line feed and the indent become a line feed."""
+    blank = F.regexp_extract(code, r"^([ \t\n\r\f\x0B]*)[^ \t\n\r\f\x0B]", 1)  # all before the first character that isn't white space
+    indent = F.regexp_extract(F.substring_index(blank, "\n", -1), r"^([ \t]*)", 1)
+    return F.substr(F.replace(F.concat(F.lit("\n"), code), F.concat(F.lit("\n"), indent), F.lit("\n")), F.lit(2))
 
 
 def repetitive(text: Column, most: int = 3) -> Column:
