@@ -83,11 +83,16 @@ def fine_tune_records(t):
 
 @query()
 def best_api_match(t):
-    """The most similar candidate of the same package by sequence ratio; ties to the first, no similarity no match."""
-    part = t("part")
-    candidates = part.select("p_brand", F.lower("p_type").alias("candidate")).distinct()
-    pairs = part.select("p_partkey", "p_brand", "p_name").join(candidates, "p_brand")
-    return joins.best_match(pairs, ["p_partkey"], pyfuncs.ratio("p_name", "candidate"), ["candidate"]).select("p_partkey", "candidate", F.round("score", 6).alias("score"))
+    """The most similar candidate of the same package by sequence ratio; ties to the first, no similarity no match.
+
+    Each different name of a package is compared once, however many parts have it.
+    """
+    part = t("part").select("p_partkey", "p_brand", F.coalesce("p_name", F.lit("")).alias("p_name"))
+    candidates = t("part").select("p_brand", F.lower("p_type").alias("candidate")).distinct()
+    pairs = part.select("p_brand", "p_name").distinct().join(candidates, "p_brand")
+    named = joins.best_match(pairs, ["p_brand", "p_name"], pyfuncs.ratio("p_name", "candidate"), ["candidate"])
+    found = part.join(named, ["p_brand", "p_name"])
+    return joins.best_match(found, ["p_partkey"], F.col("score"), ["candidate"]).select("p_partkey", "candidate", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT conv_id, (3 + sum(CASE WHEN role IS NULL THEN 0 ELSE 1 + len(list_filter(string_split_regex(role, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) END
