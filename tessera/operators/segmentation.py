@@ -8,9 +8,12 @@ word is longest counts, and so on to the front.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ from tessera.functions.text import words
 
 #: Entries of a lexicon, the most frequent ones, and characters that one may have.
 ENTRIES, LONGEST = 50_000, 24
+#: Characters of texts whose words a worker holds at a time.
+CHARACTERS = 500_000
 
 
 def lexicon(texts: DataFrame, body: str, entries: int = ENTRIES) -> dict[str, int]:
@@ -66,3 +71,21 @@ def segmenter(counts: dict[str, int]) -> Callable[[Column], Column]:
         return texts.map(lattice.cut)
 
     return F.pandas_udf(cut, T.ArrayType(T.StringType()))
+
+
+def segmented(rows: DataFrame, columns: list[str], counts: dict[str, int]) -> DataFrame:
+    """``rows`` with the text ``columns`` cut to arrays of words, as by ``segmenter``; a worker holds the words of a few texts at a time."""
+    lattice = Lattice(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = lambda column: pa.array((lattice.cut(x.as_py()) for x in column), pa.list_(pa.string()))
+        for batch in batches:
+            upto, at = np.cumsum(sum(pc.fill_null(pc.utf8_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in columns)), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHARACTERS, side="right")))
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([cut(c) if n in columns else c for n, c in zip(part.schema.names, part.columns)], names=part.schema.names)
+                at = end
+
+    fields = [T.StructField(f.name, T.ArrayType(T.StringType())) if f.name in columns else f for f in rows.schema.fields]
+    return rows.mapInArrow(run, T.StructType(fields))

@@ -91,8 +91,8 @@ def rouge_l(t):
 @query()
 def segmented_scores(t):
     """Replies against questions, both without spaces, cut into words again by a lexicon of the documents."""
-    cut = segmentation.segmenter(segmentation.lexicon(t("documents"), "text"))
-    pairs = spread(_pairs(t)).select("conv_id", "u", *[cut(F.regexp_replace(c, r"\s+", "")).alias(c) for c in ("a", "b")])
+    whole = spread(_pairs(t)).select("conv_id", "u", *[F.regexp_replace(c, r"\s+", "").alias(c) for c in ("a", "b")])
+    pairs = segmentation.segmented(whole, ["a", "b"], segmentation.lexicon(t("documents"), "text"))
     rouge = pyfuncs.rouge(F.array_join("b", " "), F.array_join("a", " "))
     return pairs.select("conv_id", "u", F.round(metrics.multiset_f1(F.col("b"), F.col("a")), 6).alias("f1"), F.round(rouge, 6).alias("rouge"))
 

@@ -38,3 +38,12 @@ def test_segmented_columns_in_metrics(spark):
     found = rows.select("p", metrics.multiset_f1(F.col("p"), F.col("t")).alias("f"), pyfuncs.rouge(F.array_join("p", " "), F.array_join("t", " ")).alias("r")).collect()
     assert found[0]["p"] == ["我们", "喜欢", "学习"] and math.isclose(found[0]["f"], 0.8) and math.isclose(found[0]["r"], 0.8)
     assert [r["p"] for r in found[1:]] == [[], []] and [r["f"] for r in found[1:]] == [0.0, 0.0]
+
+
+def test_segmented_in_parts(spark, monkeypatch):
+    """The words are those of the column function, whatever a worker holds at a time."""
+    monkeypatch.setattr(segmentation, "CHARACTERS", 5)
+    counts = {"ab": 3, "c": 2, "abc": 1}
+    rows = spark.createDataFrame([(i, "abcab" * (i % 4), None if i % 5 == 0 else "cc d" * i) for i in range(40)], "i int, a string, b string").coalesce(1)
+    cut = segmentation.segmenter(counts)
+    assert sorted(segmentation.segmented(rows, ["a", "b"], counts).collect()) == sorted(rows.select("i", cut("a").alias("a"), cut("b").alias("b")).collect())
