@@ -23,8 +23,9 @@ def _tasks(t):
     return own.select("task", dispatch.way(n, F.col("task") % 5 == 0, F.col("task") % 7 == 6).alias("way"))
 
 
-def _ways(t):
-    top = ranked(t, 5).withColumn("task", F.expr("item_id div 4"))
+def _ways(near):
+    """The ways that ask for no rounds, of the nearest documents (item_id, doc_id, rank)."""
+    top = near.filter("rank <= 5").withColumn("task", F.expr("item_id div 4"))
     fixed = retrieval.first_seen(top, "task", "doc_id", ["item_id", "rank"])
     fixed = fixed.select("task", F.row_number().over(Window.partitionBy("task").orderBy("first")).cast("long").alias("place"), F.col("doc_id").alias("doc"))
     single = top.filter("item_id % 4 = 0").select("task", F.col("rank").cast("long").alias("place"), F.col("doc_id").alias("doc"))
@@ -34,7 +35,8 @@ def _ways(t):
 @query()
 def dispatch_contexts(t):
     """Each task's documents by its way: fixed ones, rounds over its queries, one query's five nearest, none where it is locked."""
-    return dispatch.dispatch(_tasks(t), _ways(t) | {dispatch.ROUNDS: packing.fill_tasks(fill_candidates(t, 12), 2000)})
+    near = written(ranked(t, 12).select("item_id", "doc_id", "rank"))  # the search runs once for all ways
+    return dispatch.dispatch(_tasks(t), _ways(near) | {dispatch.ROUNDS: packing.fill_tasks(fill_candidates(t, 12, near=near), 2000)})
 
 
 @query(f"""WITH {_OVERLAP}, n AS (SELECT item_id // 4 AS task, count(*) AS n FROM benchmark GROUP BY 1), w AS (SELECT task, CASE WHEN task % 7 = 6 THEN 'locked' WHEN task % 5 = 0 THEN 'fixed'
@@ -44,7 +46,7 @@ d AS (SELECT task, 'fixed' AS way, row_number() OVER (PARTITION BY task ORDER BY
 SELECT w.task::BIGINT AS task, w.way, d.place::BIGINT AS place, d.doc FROM w LEFT JOIN d USING (task, way) WHERE w.way <> 'rounds'""")
 def dispatch_without_rounds(t):
     """The tasks that take no rounds, whose documents SQL can tell."""
-    return dispatch.dispatch(_tasks(t).filter("way <> 'rounds'"), _ways(t))
+    return dispatch.dispatch(_tasks(t).filter("way <> 'rounds'"), _ways(written(ranked(t, 5).select("item_id", "doc_id", "rank"))))
 
 
 @query("""WITH q AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 'python.' || p_size ELSE lower(split_part(p_type, ' ', 1)) || '.' || p_size END AS api FROM part),

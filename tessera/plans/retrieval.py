@@ -60,11 +60,12 @@ def exact_then_similarity(t):
     return best.select("item_id", "doc_id", "exact", F.round(F.when(F.col("exact"), 1.0).otherwise(F.col("similarity")), 6).alias("score"), "rank")
 
 
-def fill_candidates(t, top_n: int, most_tokens: int | None = None):
+def fill_candidates(t, top_n: int, most_tokens: int | None = None, near=None):
     """task, phase, query, rank, doc, tokens.  Phase one: every document that holds the query, in order, or else the nearest one;
     phase two: the ``top_n`` nearest (what was chosen in phase one is skipped when it is filled).  A task is four queries.
-    Both searches run once.  With ``most_tokens`` a document counts as what is left of it after a cut, and blank ones are left out."""
-    near, exact = written(ranked(t, top_n).select("item_id", "doc_id", "rank")), written(retrieval.containment(t("benchmark"), t("documents")))
+    Both searches run once (``near``: the nearest documents, where they are known already).  With ``most_tokens`` a document counts as what is left of it after a cut, and blank ones are left out."""
+    near = written(ranked(t, top_n).select("item_id", "doc_id", "rank")) if near is None else near
+    exact = written(retrieval.containment(t("benchmark"), t("documents")))
     first = exact.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
     first = first.unionByName(near.filter("rank = 1").join(exact, "item_id", "left_anti")).withColumn("phase", F.lit(1))
     rest = near.withColumn("phase", F.lit(2))
