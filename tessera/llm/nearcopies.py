@@ -4,17 +4,19 @@ Two texts are linked if the sets of their five-word shingles have a Jaccard simi
 A radius of 3 bits of 64 can't say that: at 0.8 a bit differs with probability 0.15.  So fingerprints are wider here, BITS bits, and the
 radius follows from the threshold.  Over all sizes of two sets at 0.8, nested ones included, a bit differs with probability 0.1612 at most
 (0.151 in large ones), but for 4 of 5 shingles; so more than RADIUS bits differ in one such pair of 10^17, while unrelated texts differ
-in 128.  Pairs whose smaller set has SMALL shingles or fewer aren't discarded by fingerprints at all.  Wide radii can't be filed by bit blocks; what two linked texts
-must have in common is a shingle of their prefixes, and that is what fingerprints are filed under:
-
-1. Shingles have one order for all texts (those found to be common in a sample last, others by hash).  Two linked sets share 0.8 of the
-   larger one at least, so the first n - ceil(0.8 n) + 1 shingles of each share one.  A text is filed under the prefix shingles that
-   other texts are filed under too.
-2. Under a shingle, pairs are discarded by size, by the greatest coordinate difference of their distances to PIVOTS reference
-   fingerprints, and by their own distance.  Shingles with many texts are compared in pairs of blocks of BLOCK texts.
-3. The components of the candidates are compared in pairs of blocks: whole shingle sets, exact counts.  A unit returns links that span
+in 128.  Pairs whose smaller set has SMALL shingles or fewer aren't discarded by fingerprints at all.
+
+1. Fingerprints are filed as in operator 8, each of their 64-bit words under its ten pairs of bit blocks.  Under a key, pairs are discarded by
+   size, by the greatest coordinate difference of their distances to PIVOTS reference fingerprints, and by their own distance.  Most
+   near copies are found here; wide radii can't be filed by bit blocks for certain, so there is an exact way for the rest.
+2. What two linked texts must have in common is a shingle of their prefixes.  Shingles have one order for all texts (those found to be common in a
+   sample last, others by hash).  Two linked sets share 0.8 of the larger one at least, so the first n - ceil(0.8 n) + 1 shingles
+   of each share one.  Shingles whose texts step 1 has all connected add nothing and go; under the others pairs that aren't connected yet
+   are discarded as in step 1.
+3. The components of the candidates of both are compared in pairs of blocks: whole shingle sets, exact counts.  A unit returns links that span
    its components, at most one a text.
 
+Keys with many texts are compared in pairs of blocks of BLOCK texts.
 Which shingles count as common decides how many candidates there are, never what is linked.
 
 Edge cases: a text of fewer words is one shingle; null, empty or blank texts are one another's copies; ASCII letters are lower-cased.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import column_names, forget, in_arrow, scope, stored
 from tessera.llm.components import block_pairs, components
 from tessera.llm.groups import Forest, whole_groups
-from tessera.llm.simhash import SEED
+from tessera.llm.simhash import SEED, block_keys
 
 SHINGLE, BITS, RADIUS, SMALL, PIVOTS = 5, 256, 98, 5, 4
 BLOCK = 512
@@ -140,32 +142,35 @@ def _nodes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                     node.append(xxh64_intdigest(found.tobytes()))
                     size.append(len(found))
                     new = node[-1] not in had
-                    fps.append(fingerprint(found).tobytes() if new else None)
+                    fps.append(fingerprint(found).view(np.int64) if new else None)
                     keys.append(prefix(found, common).view(np.int64) if new else None)
                     had.add(node[-1])
-                columns = [rows.column("doc_id"), rows.column("copy"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                columns = [rows.column("doc_id"), rows.column("copy"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "node", "size", "fp", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy"))
-    return stored(named.transform(in_arrow, run, f"doc_id {kind}, copy long, node long, size int, fp binary, keys array<long>"))
+    return stored(named.transform(in_arrow, run, f"doc_id {kind}, copy long, node long, size int, fp array<long>, keys array<long>"))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links (a, b) of the pairs under each (key, i, j) that sizes and fingerprints allow."""
+    """Spanning links (a, b) of the pairs under each (key, i, j) that sizes and fingerprints allow, between ``part``s: what is connected already."""
     pivots = references()
     for table, group in whole_groups(batches, ["key", "i", "j"]):
-        node, size = table.column("node").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+        part, size = table.column("part").to_numpy(), table.column("size").to_numpy().astype(np.int64)
         across = table.column("i").to_numpy() != table.column("j").to_numpy()
         left = table.column("left").to_numpy(zero_copy_only=False)
-        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(len(node), -1)
+        fps = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(part), -1)
         distance = np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
         order = np.lexsort((size, group))
-        node, size, across, left, fps, distance, group = node[order], size[order], across[order], left[order], fps[order], distance[order], group[order]
-        forest, active, step = Forest(len(node)), np.arange(len(node) - 1), 0
+        part, size, across, left, fps, distance, group = part[order], size[order], across[order], left[order], fps[order], distance[order], group[order]
+        forest, active, step = Forest(len(part)), np.arange(len(part) - 1), 0
+        known = np.lexsort((part, group))
+        again = np.flatnonzero((part[known][1:] == part[known][:-1]) & (group[known][1:] == group[known][:-1]))
+        forest.join(known[again], known[again + 1])
         while len(active):
             step += 1
-            active = active[active + step < len(node)]
+            active = active[active + step < len(part)]
             other = active + step
             near = (group[active] == group[other]) & (5 * size[active] >= 4 * size[other])
             active, other = active[near], other[near]  # the rows after it in the sorted group are larger still
@@ -176,9 +181,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, small = a[fits], b[fits], small[fits]
             same = small | (np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int16) <= RADIUS)
             forest.join(a[same], b[same])
-        hung = np.flatnonzero(forest.root != np.arange(len(node)))
+        hung = np.flatnonzero(part[forest.root] != part)
         if len(hung):
-            yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(node[forest.root[hung]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[hung]), pa.array(part[forest.root[hung]])], names=["a", "b"])
 
 
 def spanning(sets: list[np.ndarray], left: np.ndarray | None = None) -> np.ndarray:
@@ -251,6 +256,37 @@ def without_names(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left_anti")
 
 
+def _compared(filed: DataFrame, told: DataFrame) -> DataFrame:
+    """Spanning links (a, b) between parts of ``filed`` (key, node, part), by the sizes and fingerprints that ``told`` holds of nodes."""
+    parts = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = block_pairs(filed, ["key"], "node", BLOCK).join(told.select("node", "size", "fp"), "node")
+    return units.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, _candidates, "a long, b long")
+
+
+def close(told: DataFrame) -> DataFrame:
+    """(node, component) of the texts among ``told`` (node, size, fp) that lie within RADIUS of another under a key of their fingerprints."""
+    words = [F.col("fp")[w] for w in range(BITS // 64)]
+    keys = [F.lit(w << 30) + key for w, word in enumerate(words) for key in block_keys(word)]
+    filed = told.filter(F.col("size") > SMALL).select(F.explode(F.array(*keys)).alias("key"), "node", F.col("node").alias("part"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    many = stored(filed.join(shared, "key", "left_semi"))
+    found = stored(components(_compared(many, told)))
+    forget(many)
+    return found
+
+
+def _connected(rows: DataFrame, told: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, component): ``near`` joined with what texts that share a shingle of their prefixes add."""
+    few = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    placed = rows.filter("keys IS NOT NULL").join(F.broadcast(near) if few else near, "node", "left")
+    filed = placed.select(F.explode("keys").alias("key"), "node", F.coalesce("component", "node").alias("part"))
+    shared = stored(filed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key"))
+    many = stored(filed.join(shared, "key").distinct())
+    found = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_compared(many, told)))
+    forget(shared, many)
+    return found
+
+
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, copy (xxhash64 of the text), group_id of each row."""
     with scope() as own:
@@ -259,16 +295,11 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = _nodes(docs, text, doc_id)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = rows.select(F.explode("keys").alias("key"), "node")
-    shared = stored(filed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key"))
     told = rows.filter("fp IS NOT NULL").groupBy("node").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min(F.struct("copy", "doc_id")).alias("row"))
     told = stored(told.select("node", "size", "fp", "row.copy", "row.doc_id"))
-    many = stored(filed.join(shared, "key").distinct())
-    units = block_pairs(many, ["key"], "node", BLOCK).join(told.select("node", "size", "fp"), "node")
-    found = components(units.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, _candidates, "a long, b long"))
+    found = _connected(rows, told, close(told))
     candidates = stored(found.join(told, "node").select("component", "node", "copy", "doc_id"))
-    forget(shared, many)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = with_names(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), block_pairs(candidates, ["component"], "node", BLOCK), "inner")
     links = texts.select("component", "i", "j", "node", "left", "text").repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node").transform(in_arrow, _verified, "a long, b long")
     linked = components(links).withColumnsRenamed({"component": "group_id"})

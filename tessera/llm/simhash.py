@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import in_arrow, stored
@@ -84,13 +84,17 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(in_arrow, run, f"doc_id {kind}, fp long")
 
 
-def _filed(nodes: DataFrame) -> DataFrame:
-    """(key, fp): each fingerprint under its ten pairs of bit blocks."""
+def block_keys(fp: Column) -> list[Column]:
+    """The ten keys of a 64-bit fingerprint: its pairs of bit blocks."""
     starts = [sum(BLOCK_BITS[:i]) for i in range(len(BLOCK_BITS))]
-    parts = [F.shiftrightunsigned("fp", s).bitwiseAND((1 << n) - 1) for s, n in zip(starts, BLOCK_BITS)]
+    parts = [F.shiftrightunsigned(fp, s).bitwiseAND((1 << n) - 1) for s, n in zip(starts, BLOCK_BITS)]
     pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
-    keys = [F.lit(k << 26) + F.shiftleft(parts[a], BLOCK_BITS[b]) + parts[b] for k, (a, b) in enumerate(pairs)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return [F.lit(k << 26) + F.shiftleft(parts[a], BLOCK_BITS[b]) + parts[b] for k, (a, b) in enumerate(pairs)]
+
+
+def _filed(nodes: DataFrame) -> DataFrame:
+    """(key, fp): each fingerprint under its ten pairs of bit blocks."""
+    return nodes.select(F.explode(F.array(*block_keys(F.col("fp")))).alias("key"), "fp")
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

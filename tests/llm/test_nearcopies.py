@@ -108,6 +108,19 @@ def test_nested_texts_are_never_lost(spark):
     assert sorted(r["doc_id"] for r in run(spark, rows).collect()) == [2 * k for k in range(len(texts))]
 
 
+def test_close_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Copies of a changed word in 600 are filed under bit blocks of their fingerprints: no shingle is needed to find them."""
+    monkeypatch.setattr(nearcopies, "prefix", lambda found, common: found[:0])
+    rng = random.Random(19)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(600)]
+        for side in range(3):
+            rows.append((3 * k + side, " ".join(words)))
+            words[rng.randrange(600)] = f"new{k}"
+    assert sorted(r["doc_id"] for r in run(spark, rows).collect()) == [3 * k for k in range(40)]
+
+
 def test_prefix_order_puts_common_last():
     found = nearcopies.shingles(" ".join(f"w{i}" for i in range(54)))
     common = found[:45]
