@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; larger sides are joined by shuffle (and AQE's skew handling).
 BROADCAST_ROWS = 200_000
+#: Rows that a task sorts and groups, some 300 bytes each.
+TASK_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
@@ -26,3 +28,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows dealt by ``key`` over partitions for TASK_ROWS of ``rows`` each, where the session's own would be fewer: what a task holds doesn't
+    grow with the input, joins and groups by ``key`` need no other shuffle, and AQE doesn't merge the partitions.
+
+    Both sides of a join take the same ``rows``.
+    """
+    spark = df.sparkSession
+    parts = -(-rows // TASK_ROWS)
+    usual = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key) if parts > usual else df

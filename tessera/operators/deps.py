@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.bounded import dealt
+
 
 def dependency_maps(edges: DataFrame, task: str = "task", pkg: str = "pkg", version: str = "version") -> DataFrame:
     """(task, dependency): edges gathered to sorted maps, duplicates once."""
@@ -38,9 +40,13 @@ def combine_dependencies(target: DataFrame, source: DataFrame, task: str = "task
     return sides.groupBy(task, pkg).agg(F.array_sort(F.collect_set(version)).alias("versions"), (F.max("t") == 0).alias("missing_in_target"))
 
 
-def mask_dependencies(edges: DataFrame, allowed: DataFrame, task: str = "task", pkg: str = "pkg") -> DataFrame:
-    """Edges of tasks by their allow-list (task, packages); tasks without a list stay whole, an empty list empties them."""
-    joined = edges.join(allowed.select(task, "packages"), task, "left")
+def mask_dependencies(edges: DataFrame, allowed: DataFrame, task: str = "task", pkg: str = "pkg", known: int | None = None) -> DataFrame:
+    """Edges of tasks by their allow-list (task, packages); tasks without a list stay whole, an empty list empties them.
+
+    ``known`` is an upper bound of the rows of ``edges``, which are counted without it; the more there are, the more partitions join.
+    """
+    rows = edges.count() if known is None else known
+    joined = dealt(edges, task, rows).join(dealt(allowed.select(task, "packages"), task, rows), task, "left")
     return joined.filter(F.col("packages").isNull() | F.array_contains("packages", F.col(pkg))).drop("packages")
 
 

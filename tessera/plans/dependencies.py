@@ -41,7 +41,7 @@ WHERE a.packages IS NULL OR list_contains(a.packages, e.pkg) GROUP BY ALL""")
 def mask_dependencies(t):
     few = F.array(*[F.lit(f"Brand#{i}") for i in (1, 2, 3)])
     allowed = t("orders").filter("o_orderpriority < '3'").select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderpriority").startswith("1"), few).otherwise(F.array().cast("array<string>")).alias("packages"))
-    return deps.mask_dependencies(edges(t), allowed).groupBy("task", "pkg", "version").agg(F.count("*").alias("n"))
+    return deps.mask_dependencies(edges(t), allowed, known=t("lineitem").count()).groupBy("task", "pkg", "version").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {EDGES_SQL}, pairs AS (SELECT DISTINCT task, pkg, version FROM edges),
