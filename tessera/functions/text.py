@@ -50,7 +50,7 @@ def _lookup(table: dict[str, str]) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Text without white space at its ends (ASCII kinds)."""
-    return F.regexp_replace(F.regexp_replace(text, r"^[ \t\n\r\f\x0B]+", ""), r"[ \t\n\r\f\x0B]+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
 def words(text: Column) -> Column:
